@@ -61,7 +61,7 @@ def fit(vectors: np.ndarray, total: int) -> dict:
 
 
 def search(
-    base: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, probes: float = 0.5, rerank: int = 256
+    base: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, probes: float = 0.75, rerank: int = 256
 ) -> DataFrame:
     """query_id, rank (from 1), key, score: the k nearest found of each query. ``probes``: share of the cells that are searched."""
     spark = base.sparkSession

@@ -1,6 +1,6 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-Features of a text: densities of a lexicon (words that labelled toxic texts hold far more often),
+Features of a text: densities of a lexicon (words and word beginnings that mostly toxic texts hold),
 lexicon words near second-person words, capitals, punctuation and obfuscation rates, lengths. The lexicon, the trees
 and the calibration are fitted by Spark ML on at most ``SAMPLE`` labelled rows, chosen by the hash of their id; one in
 four of them is kept from the trees for the calibration. Scoring is one pass over whole texts without a shuffle.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SAMPLE, LEXICON, LEAST_DOCS, CALIBRATION = 20_000, 400, 5, 4
+SAMPLE, LEXICON, LEAST_DOCS, PRECISION, BEGINNINGS, CALIBRATION = 12_000, 400, 4, 0.6, (4, 5, 6, 7), 4
 #: Second-person words of English, German, French and Spanish.
 SECOND = frozenset(w.encode() for w in "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi vous votre ton ta usted tú ti su".split())
 _UPPER = bytes(range(65, 91))
@@ -33,11 +33,11 @@ _DIGITS = b"0123456789@$*"
 FEATURES = ["n_words", "lexicon", "lexicon_rate", "lexicon_kinds", "near_second", "second_rate", "capital_rate", "exclaim_rate", "question_rate", "punctuation_rate", "obfuscated_rate"]
 
 
-def features(text: str | None, lexicon: frozenset[bytes]) -> list[float]:
+def features(text: str | None, lexicon: "Lexicon") -> list[float]:
     raw = (text or "").encode()
     words = raw.translate(_PLAIN).split()
     n = max(1, len(words))
-    hits = [i for i, w in enumerate(words) if w in lexicon]
+    hits = lexicon.hits(words)
     near = sum(not SECOND.isdisjoint(words[max(0, i - 5) : i + 6]) for i in hits)
     letters = max(1, len(raw) - len(raw.translate(None, _LETTERS)))
     capitals = len(raw) - len(raw.translate(None, _UPPER))
@@ -57,8 +57,9 @@ def featured(docs: DataFrame, lexicon: frozenset[bytes], key: str, text: str, mo
     carried = [key, *([more] if more else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Lexicon(lexicon)
         for batch in batches:
-            rows = [features(t.as_py(), lexicon) for t in batch.column(0)]
+            rows = [features(t.as_py(), known) for t in batch.column(0)]
             columns = [pa.array([r[k] for r in rows], pa.float64()) for k in range(len(FEATURES))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=[*carried, *FEATURES])
 
@@ -76,13 +77,31 @@ def sampled(labels: DataFrame, key: str, label: str, sample: int) -> DataFrame:
 
 
 def learn_lexicon(rows: DataFrame, text: str) -> frozenset[bytes]:
-    """Words of the sampled rows (text, _y) that toxic texts hold far more often than others; at most LEXICON."""
-    words = rows.select("_y", F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}@$*]+"))).alias("word"))
-    sums = words.filter("length(word) between 2 and 40").groupBy("word").agg(F.sum("_y").alias("bad"), F.count("*").alias("n"))
-    share = rows.agg(F.avg("_y")).first()[0] or 0.0
-    odds = F.log((F.col("bad") + share) / (F.col("n") + 1.0) / max(share, 1e-9))
-    best = sums.filter(F.col("bad") >= LEAST_DOCS).select("word", odds.alias("odds"), "bad").filter("odds > 0.9")
-    return frozenset(r["word"].encode() for r in best.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "word").limit(LEXICON).collect())
+    """Words and word beginnings (with ``*``) that mostly toxic texts among the sampled rows (text, _y) hold; at most LEXICON."""
+    words = F.filter(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}@$*]+")), lambda w: F.length(w).between(2, 40))
+    terms = F.flatten(
+        F.transform(words, lambda w: F.array(w, *[F.when(F.length(w) >= k, F.concat(F.substring(w, 1, k), F.lit("*"))) for k in BEGINNINGS]))
+    )
+    held = rows.select("_y", F.explode(F.array_distinct(F.array_compact(terms))).alias("term"))
+    sums = held.groupBy("term").agg(F.sum("_y").alias("bad"), F.count("*").alias("n"))
+    share = (F.col("bad") + 0.1) / (F.col("n") + 1.0)
+    best = sums.filter((F.col("bad") >= LEAST_DOCS) & (share > PRECISION))
+    return frozenset(r["term"].encode() for r in best.orderBy(F.desc(share * F.sqrt("bad")), "term").limit(LEXICON).collect())
+
+
+class Lexicon:
+    """Terms as sets of bytes; ``heads`` are the first three bytes of all, which most words don't have."""
+
+    def __init__(self, terms: frozenset[bytes]):
+        self.words = frozenset(t for t in terms if not t.endswith(b"*"))
+        self.starts = frozenset(t[:-1] for t in terms if t.endswith(b"*"))
+        self.sizes = sorted({len(t) for t in self.starts})
+        self.heads = frozenset(t[:3] for t in self.words | self.starts)
+
+    def hits(self, words: list[bytes]) -> list[int]:
+        heads = self.heads
+        near = [i for i, w in enumerate(words) if w[:3] in heads]
+        return [i for i in near if words[i] in self.words or any(words[i][:k] in self.starts for k in self.sizes)]
 
 
 def score(docs: DataFrame, labels: DataFrame, learn_from, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:

@@ -78,21 +78,24 @@ def minhash(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Per row: id, n (set size), fp (fingerprint of the set), sig (MinHash values, big-endian)."""
+    """Per row: id, n (set size), fp (fingerprint of the set), sig (MinHash values, big-endian), low (their low bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, fp, sig = [], [], []
+            n, fp, sig, low = [], [], [], []
             for t in batch.column(1):
                 s = shingles(t.as_py(), size)
                 n.append(len(s))
                 fp.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
-                sig.append(minhash(s).astype(">u4").tobytes() if len(s) else None)
+                m = minhash(s) if len(s) else None
+                sig.append(None if m is None else m.astype(">u4").tobytes())
+                low.append(None if m is None else m.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], names=["id", "n", "fp", "sig"]
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())],
+                names=["id", "n", "fp", "sig", "low"],
             )
 
-    return docs.select(key, text).mapInArrow(run, "id long, n long, fp binary, sig binary")
+    return docs.select(key, text).mapInArrow(run, "id long, n long, fp binary, sig binary, low binary")
 
 
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,12 +191,12 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p, q = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, 4 * HASHES)[:, 3::4] for c in batch.columns[2:])
+            p, q = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, HASHES) for c in batch.columns[2:])
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array((p == q).sum(axis=1) >= least))
 
-    side = lambda end: sets.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}"))
+    side = lambda end: sets.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("low").alias(f"low_{end}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "low_a", "low_b").mapInArrow(run, "a long, b long")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -258,7 +261,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     by_set = with_set.groupBy("fp").agg(F.min("id").alias("id"))
     # The signature of a set comes from the row whose id is the set's smallest.
     first_of = by_set.select("id", F.col("fp").alias("of"))
-    sets = with_set.join(first_of, "id").filter("fp = of").dropDuplicates(["id"]).select("id", "n", "sig")
+    sets = with_set.join(first_of, "id").filter("fp = of").dropDuplicates(["id"]).select("id", "n", "sig", "low")
     pairs = stored(plausible(candidates(sets), sets, percent), "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     whole = stored(_texts_of(docs, ids, key, text, size), "sets")

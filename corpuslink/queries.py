@@ -1,6 +1,386 @@
-"""Registered queries of the library, with their SQL."""
+"""Registered queries of the library over the given tables, with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import grouping as G
+from .operators import linking as L
+from .operators import search as S
+from .streaming import counters as C
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+STOP = ["the", "and", "for", "with", "that", "this", "was", "are"]
+DIRECTIVES = ["discuss", "explain", "examine", "the", "und"]
+TERMS = ["the", "tion", "ing"]
+
+
+def query(sql: str | None = None):
+    """Register a query under its name; its function takes a reader of tables."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+NORMAL = "trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'))"
+TOKS = f"list_filter(string_split({NORMAL}, ' '), lambda t: t <> '')"
+QNORMAL = (
+    "trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[‘’''\"“”]', '', 'g'), "
+    r"'\(?[0-9]+\s*(marks?|words?)\)?', ' ', 'g'), '^\s*(q(uestion)?\s*)?[0-9]+\s*[.):-]\s*', ''), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+)
+STEM = (
+    "CASE WHEN t LIKE '%isation' THEN regexp_replace(t, 'isation$', 'ization') WHEN t LIKE 'analys%' THEN 'analysis' "
+    "WHEN t LIKE '%ies' AND length(t) > 4 THEN regexp_replace(t, 'ies$', 'y') WHEN t LIKE '%ing' AND length(t) > 6 THEN regexp_replace(t, 'ing$', '') "
+    "WHEN t LIKE '%ed' AND length(t) > 5 THEN regexp_replace(t, 'ed$', '') WHEN t LIKE '%s' AND t NOT LIKE '%ss' AND length(t) > 3 THEN regexp_replace(t, 's$', '') ELSE t END"
+)
+STOPS = ", ".join(f"'{w}'" for w in STOP)
+LTOKS = (
+    f"list_filter(list_transform(list_filter(string_split({QNORMAL}, ' '), lambda x: x <> ''), lambda t: {STEM}), "
+    f"lambda t: (length(t) >= 3 OR regexp_full_match(t, '[0-9]{{2,4}}')) AND t NOT IN ({STOPS}))"
+)
+
+
+# ---- text functions ----
+
+
+@query(f"SELECT doc_id, {NORMAL} AS normal, md5(array_to_string({TOKS}, '|')) AS toks FROM documents")
+def text_search_normalise(t):
+    n = T.search_normalise("text")
+    return t("documents").select("doc_id", n.alias("normal"), F.md5(F.array_join(T.tokens(n), "|").cast("binary")).alias("toks"))
+
+
+@query(f"SELECT doc_id, {QNORMAL} AS normal, array_to_string({LTOKS}, ' ') AS toks, array_to_string(list_sort(list_distinct({LTOKS})), ' ') AS sig FROM documents")
+def text_link_tokens(t):
+    toks = T.link_tokens("text", STOP)
+    return t("documents").select("doc_id", T.question_normalise("text").alias("normal"), F.array_join(toks, " ").alias("toks"), T.signature(toks).alias("sig"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS tight,
+  trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS wide FROM documents""")
+def text_fuzzy_keys(t):
+    return t("documents").select("doc_id", T.fuzzy_key("text").alias("tight"), T.fuzzy_key("text", " ").alias("wide"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^\s]+', ' ', 'g'),
+  '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', ' ', 'g'), '[+]?[0-9][0-9 ()-]{8,}[0-9]', ' ', 'g'), '[ \t]+', ' ', 'g')) AS safe FROM documents""")
+def text_scrub(t):
+    return t("documents").select("doc_id", T.scrub("text").alias("safe"))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'),
+  '(?i)<br */?>|</(p|div|li|tr|h[1-6])>', chr(10), 'g'), '<[^>]*>', ' ', 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')) AS body FROM pages""")
+def text_from_html(t):
+    return t("pages").select("page_id", T.html_to_text("html").alias("body"))
+
+
+@query("""SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 120), ''), 'q') AS slug,
+  'doc_' || substr(sha256(lang || '|' || source || '|' || doc_id), 1, 12) AS sid, regexp_matches(lower(text), 'the') AS has FROM documents""")
+def text_slug_and_id(t):
+    return t("documents").select("doc_id", T.slug("text").alias("slug"), T.stable_id("doc_", 12, "lang", "source", "doc_id").alias("sid"), F.lower("text").contains("the").alias("has"))
+
+
+@query("""WITH x AS (SELECT doc_id, text, substr(text, 1, 200) AS h FROM documents), y AS (SELECT *, length(h) - (instr(reverse(h), ' ')) AS last FROM x)
+SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE rtrim(CASE WHEN instr(h, ' ') > 0 AND last > 100 THEN substr(h, 1, last) ELSE h END) || '...' END AS clipped,
+len(regexp_extract_all(text, '[A-Za-z0-9_]+'))::BIGINT AS words FROM y""")
+def text_clip_and_count(t):
+    return t("documents").select("doc_id", T.clip("text", 200).alias("clipped"), T.word_count("text").alias("words"))
+
+
+@query("""SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 'license' WHEN contains(lower(text), 'the') THEN 'the' WHEN contains(lower(text), 'und') THEN 'und' END AS directive,
+CASE WHEN regexp_matches(text, '(?i)licen[sc]e|copyright') THEN 'legal' WHEN regexp_matches(text, '[0-9]{4,}') THEN 'numeric' WHEN regexp_matches(text, '[éèçñüöä]') THEN 'accented' ELSE 'Other' END AS class FROM documents""")
+def text_classify(t):
+    rules = [("legal", "(?i)licen[sc]e|copyright"), ("numeric", "[0-9]{4,}"), ("accented", "[éèçñüöä]")]
+    return t("documents").select("doc_id", T.first_contained("text", ["license", "the", "und"]).alias("directive"), T.classify("text", rules, "Other").alias("class"))
+
+
+@query("""WITH h AS (SELECT doc_id, len(regexp_extract_all(text, 'th')) AS a, len(regexp_extract_all(text, 'ch')) AS b, len(regexp_extract_all(text, 'que')) AS c FROM documents)
+SELECT doc_id, CASE WHEN greatest(a, b, c) = 0 THEN 'none' WHEN a >= b AND a >= c THEN 'th' WHEN b >= c THEN 'ch' ELSE 'que' END AS class FROM h""")
+def text_most_hits(t):
+    return t("documents").select("doc_id", T.most_hits("text", [("th", "th"), ("ch", "ch"), ("que", "que")], "none").alias("class"))
+
+
+@query("""SELECT doc_id, len(l)::INT AS n, array_to_string(l, '|') AS lines FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)),
+lambda x: length(x) BETWEEN 28 AND 320 AND (x LIKE '%?' OR regexp_matches(lower(x), '(^|[^a-z])(discuss|explain|examine|the|und)([^a-z]|$)')))[:80] AS l FROM documents)""")
+def text_question_lines(t):
+    lines = T.question_lines("text", 28, 320, DIRECTIVES)
+    return t("documents").select("doc_id", F.size(lines).alias("n"), F.array_join(lines, "|").alias("lines"))
+
+
+@query("""SELECT event_id, coalesce(TRY_CAST(regexp_extract(event_type || '', '^\\s*([+-]?[0-9]{1,9})', 1) AS INT), -1) AS bad, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS n,
+floor(value * 1000 + 0.5) / 1000.0 AS rounded, (ts::DATE - CAST(dayofweek(ts) AS INT))::DATE AS week, ts::DATE AS day FROM events""")
+def fields_numbers_and_dates(t):
+    d = F.to_date("ts")
+    return t("events").select(
+        "event_id", F.coalesce(T.lenient_int("event_type"), F.lit(-1)).alias("bad"), F.regexp_extract("props", "([0-9]+)", 1).try_cast("int").alias("n"),
+        T.round_half_up(F.col("value"), 3).alias("rounded"), F.date_sub(d, F.dayofweek(d) - 1).alias("week"), d.alias("day"),
+    )
+
+
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(url), '#.*$', ''), '\?.*$', ''), '^https?://(www\.|m\.)?', '') AS canonical,
+regexp_extract(lower(url), '^https?://([^/?#]+)', 1) AS host, starts_with(url, 'https://') AND NOT contains(url, '?') AND NOT contains(url, '#') AS allowed FROM pages""")
+def fields_urls(t):
+    u = F.lower("url")
+    canonical = F.regexp_replace(F.regexp_replace(F.regexp_replace(u, "#.*$", ""), r"\?.*$", ""), r"^https?://(www\.|m\.)?", "")
+    ok = F.col("url").startswith("https://") & ~F.col("url").contains("?") & ~F.col("url").contains("#")
+    return t("pages").select("page_id", canonical.alias("canonical"), F.regexp_extract(u, r"^https?://([^/?#]+)", 1).alias("host"), ok.alias("allowed"))
+
+
+# ---- linking ----
+
+IDF = f"""d AS (SELECT doc_id, {LTOKS} AS toks FROM documents), q AS (SELECT item_id, {LTOKS} AS toks FROM benchmark),
+dt AS (SELECT DISTINCT doc_id, unnest(toks) AS token FROM d), qt AS (SELECT DISTINCT item_id, unnest(toks) AS token FROM q),
+idf AS (SELECT token, count(*) AS df, ln(((SELECT count(*) FROM d) + 1) / (count(*) + 1)) + 1 AS weight FROM dt GROUP BY token)"""
+
+
+@query(f"WITH {IDF} SELECT token, df, round(weight, 6) AS weight FROM idf")
+def linking_idf(t):
+    d = t("documents").select("doc_id", T.link_tokens("text", STOP).alias("toks"))
+    return L.idf(d, "toks").select("token", "df", F.round("weight", 6).alias("weight"))
+
+
+@query(f"""WITH {IDF}, ask AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, token) AS r FROM qt JOIN idf USING (token)),
+pair AS (SELECT DISTINCT item_id, doc_id FROM ask JOIN dt USING (token) WHERE r <= 10 AND (weight >= 1.65 OR r = 1)),
+ls AS (SELECT item_id, count(*) AS nl, sum(weight) AS wl FROM qt JOIN idf USING (token) GROUP BY 1), rs AS (SELECT doc_id, count(*) AS nr, sum(weight) AS wr FROM dt JOIN idf USING (token) GROUP BY 1),
+sh AS (SELECT item_id, doc_id, count(*) AS k, sum(weight) AS wk FROM pair JOIN qt USING (item_id) JOIN dt USING (doc_id, token) JOIN idf USING (token) GROUP BY 1, 2),
+sc AS (SELECT item_id, doc_id, k / nl AS cover, least(0.99, 0.24 * k / nl + 0.18 * k / nr + 0.15 * k / (nl + nr - k) + 0.24 * wk / wl + 0.09 * wk / wr) AS c FROM sh JOIN ls USING (item_id) JOIN rs USING (doc_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(c, 9) DESC, doc_id) AS rank FROM sc)
+SELECT item_id, doc_id, rank::INT AS rank, round(cover, 6) AS cover, round(c, 6) AS confidence, CASE WHEN cover >= 0.72 THEN 'strong' WHEN cover >= 0.3 THEN 'topic-match' ELSE 'none' END AS class FROM rk WHERE rank <= 5""")
+def linking_candidates(t):
+    d = t("documents").select("doc_id", T.link_tokens("text", STOP).alias("toks"))
+    q = t("benchmark").select("item_id", T.link_tokens("text", STOP).alias("toks"))
+    weights = L.idf(d, "toks").select("token", "weight")
+    pairs = L.candidates(q, d, weights, "item_id", "doc_id", "toks")
+    scores = L.pair_scores(pairs, q, d, weights, "item_id", "doc_id", "toks")
+    top = G.top_per_group(scores, ["item_id"], [F.desc(F.round("confidence", 9)), "doc_id"], 5)
+    return top.select("item_id", "doc_id", "rank", F.round("cover", 6).alias("cover"), F.round("confidence", 6).alias("confidence"), L.classed(F.col("cover")).alias("class"))
+
+
+@query(f"WITH n AS (SELECT doc_id, {NORMAL} AS k FROM documents) SELECT a.doc_id AS left_id, b.doc_id AS right_id FROM n a JOIN (SELECT k, min(doc_id) AS doc_id FROM n WHERE k <> '' GROUP BY k) b USING (k) WHERE a.doc_id <> b.doc_id")
+def linking_exact(t):
+    n = t("documents").select("doc_id", T.search_normalise("text").alias("k"))
+    first = n.filter("k != ''").groupBy("k").agg(F.min("doc_id").alias("right_id"))
+    return L.exact_links(n, first, "k").filter("doc_id != right_id").select(F.col("doc_id").alias("left_id"), "right_id")
+
+
+@query(f"""WITH v AS (SELECT DISTINCT unnest({TOKS}) AS token FROM documents), q AS (SELECT DISTINCT unnest({TOKS}) AS term FROM benchmark)
+SELECT term, token FROM q JOIN v ON term = token OR (contains(term, token) AND length(token) >= 4) OR (contains(token, term) AND length(term) >= 4)
+OR levenshtein(term, token) <= CASE WHEN greatest(length(term), length(token)) <= 5 THEN 1 ELSE 2 END""")
+def linking_vocabulary(t):
+    v = t("documents").select(F.explode(T.tokens(T.search_normalise("text"))).alias("token")).distinct()
+    q = t("benchmark").select(F.explode(T.tokens(T.search_normalise("text"))).alias("term")).distinct()
+    return L.vocabulary_join(q, v, "term", "token")
+
+
+@query("SELECT o_orderkey, c.c_name, n.n_name, r.r_name FROM orders JOIN customer c ON o_custkey = c_custkey JOIN nation n ON c_nationkey = n_nationkey JOIN region r ON n_regionkey = r_regionkey WHERE o_totalprice > 1000")
+def joins_hierarchy(t):
+    o = t("orders").filter("o_totalprice > 1000").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    n = t("nation").withColumnRenamed("n_nationkey", "c_nationkey").join(t("region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
+    return o.join(t("customer"), "c_custkey").join(n, "c_nationkey").select("o_orderkey", "c_name", "n_name", "r_name")
+
+
+@query("SELECT doc_id, coalesce(l.quality, h.quality, -1) AS quality, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT source, min(quality) AS quality FROM documents JOIN labels USING (doc_id) GROUP BY source) h USING (source)")
+def joins_fallback(t):
+    d, lab = t("documents").select("doc_id", "source"), t("labels").select("doc_id", "quality", F.lit(True).alias("has"))
+    h = d.join(lab, "doc_id").groupBy("source").agg(F.min("quality").alias("fallback"))
+    return d.join(lab, "doc_id", "left").join(h, "source", "left").select("doc_id", F.coalesce("quality", "fallback", F.lit(-1)).alias("quality"), F.col("has").isNotNull().alias("labelled"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def joins_anti(t):
+    return t("customer").join(t("orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def joins_semi(t):
+    return t("part").join(t("lineitem").filter("l_quantity > 45").withColumnRenamed("l_partkey", "p_partkey"), "p_partkey", "left_semi").select("p_partkey", "p_name")
+
+
+@query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")
+def joins_edges(t):
+    return t("lineitem").select("l_partkey", "l_suppkey").dropDuplicates()
+
+
+# ---- grouping and rollups ----
+
+
+@query(f"SELECT {NORMAL} AS group_key, min_by(lang, doc_id) AS lang, min_by(text, doc_id) AS text, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, count(*) AS n FROM documents GROUP BY 1")
+def grouping_by_key(t):
+    g = G.grouped(t("documents"), T.search_normalise("text"), "doc_id", ["lang", "text"], "source")
+    return g.select("group_key", "lang", "text", F.array_join("source_set", ",").alias("sources"), "n")
+
+
+@query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM orders)
+SELECT count(*) FILTER (best IS NULL OR o_totalprice > best) AS kept_moves, count(*) FILTER (best IS NOT NULL) AS reviews, o_custkey FROM x GROUP BY o_custkey""")
+def grouping_running_best(t):
+    o = t("orders")
+    lost = G.running_best(o, "o_custkey", "o_totalprice", "o_orderkey").withColumn("moved", (F.col("lost") != F.col("o_orderkey")).cast("long"))
+    per = lost.groupBy("o_custkey").agg(F.count("*").alias("reviews"), F.sum("moved").alias("moved"))
+    return o.select("o_custkey").distinct().join(per, "o_custkey", "left").select((F.coalesce("moved", F.lit(0)) + 1).alias("kept_moves"), F.coalesce("reviews", F.lit(0)).alias("reviews"), "o_custkey")
+
+
+@query("SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id), -1) AS signup FROM events")
+def grouping_carried(t):
+    return G.carried(t("events"), "user_id", "event_id", F.when(F.col("event_type") == "signup", F.col("event_id")), "signup").select("event_id", F.coalesce("signup", F.lit(-1)).alias("signup"))
+
+
+@query("SELECT event_id, CASE WHEN n = 1 THEN user_id::VARCHAR ELSE user_id || '-' || n END AS uid FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)")
+def grouping_suffixed(t):
+    return G.suffixed(t("events"), "user_id", "event_id", "uid").select("event_id", "uid")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) AS new_id FROM events WHERE event_type <> 'error'")
+def grouping_dense_ids(t):
+    return G.dense_ids(t("events").filter("event_type != 'error'"), "event_id", "new_id").select("event_id", F.col("new_id").cast("long").alias("new_id"))
+
+
+@query("SELECT o_custkey, o_orderkey, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3")
+def grouping_top_n(t):
+    return G.top_per_group(t("orders"), ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], 3).select("o_custkey", "o_orderkey", "rank")
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS seen FROM events GROUP BY 1, 2)
+SELECT user_id, arg_max(event_type, {'n': n, 's': -seen}) AS event_type, max(n) AS votes FROM c GROUP BY 1""")
+def grouping_votes(t):
+    return G.votes(t("events"), "user_id", "event_type", "event_id")
+
+
+@query("""SELECT doc_id, text, source_rank::INT AS source_rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY source_rank) AS r FROM (
+SELECT d.doc_id, 'labelled' AS text, 0 AS source_rank FROM documents d JOIN labels USING (doc_id) UNION ALL SELECT doc_id, lang, 1 FROM documents)) WHERE r = 1""")
+def sets_ordered_union(t):
+    a = t("documents").join(t("labels"), "doc_id", "left_semi").select("doc_id", F.lit("labelled").alias("text"))
+    return G.ordered_union(a, t("documents").select("doc_id", F.col("lang").alias("text")), "doc_id", "text")
+
+
+@query("SELECT lang, source, count(*) AS docs, sum(n_chars)::BIGINT AS chars, count(*) FILTER (n_chars > 1000) AS long_docs, round(avg(n_chars), 6) AS mean FROM documents GROUP BY ALL")
+def rollup_counters(t):
+    return t("documents").groupBy("lang", "source").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"), F.count_if(F.col("n_chars") > 1000).alias("long_docs"), F.round(F.avg("n_chars"), 6).alias("mean"))
+
+
+@query("""SELECT p_brand AS theme, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_orderkey) AS orders, count(DISTINCT p_type) > 1 AS cross_type, count(*) AS n
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+def rollup_themes(t):
+    j = t("lineitem").join(t("part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
+    return j.groupBy(F.col("p_brand").alias("theme")).agg(
+        F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct("l_orderkey").alias("orders"), (F.count_distinct("p_type") > 1).alias("cross_type"), F.count("*").alias("n")
+    )
+
+
+@query("""SELECT c_mktsegment AS name, count(*) AS n_people, min(c_acctbal) AS least, min_by(c_name, c_custkey) AS first_name, array_to_string(list_sort(list_distinct(list(c_nationkey)))[:12], ',') AS nations
+FROM customer GROUP BY 1""")
+def rollup_entities(t):
+    return t("customer").groupBy(F.col("c_mktsegment").alias("name")).agg(
+        F.count("*").alias("n_people"), F.min("c_acctbal").alias("least"), F.min_by("c_name", "c_custkey").alias("first_name"),
+        F.array_join(F.slice(F.array_sort(F.collect_set("c_nationkey")), 1, 12).cast("array<string>"), ",").alias("nations"),
+    )
+
+
+@query("""SELECT l_partkey, l_suppkey, count(*) AS n, array_to_string(list_sort(list(l_orderkey))[:8], ',') AS examples FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
+def rollup_review_queue(t):
+    g = t("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("l_orderkey")), 1, 8).cast("array<string>"), ",").alias("examples"))
+    return g.filter("n > 1")
+
+
+@query("""SELECT facet, value, n FROM (SELECT 'lang' AS facet, lang AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, lang) AS r FROM documents GROUP BY lang) WHERE r <= 3
+UNION ALL SELECT facet, value, n FROM (SELECT 'source', source, count(*), row_number() OVER (ORDER BY count(*) DESC, source) FROM documents GROUP BY source) x(facet, value, n, r) WHERE r <= 10""")
+def search_facets(t):
+    return S.facets(t("documents"), {"lang": 3, "source": 10})
+
+
+# ---- search ----
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 40")
+def search_page(t):
+    return S.page(t("documents").filter("lang = 'en'").select("doc_id", "n_chars"), [F.desc("n_chars"), "doc_id"], 40, 20)
+
+
+@query(f"""WITH d AS (SELECT doc_id, {TOKS} AS toks FROM documents), s AS (SELECT doc_id, len(toks) AS n, unnest(toks) AS term FROM d),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM s WHERE term IN ('the', 'tion', 'ing') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+a AS (SELECT count(*) AS total, avg(len(toks)) AS al FROM d)
+SELECT doc_id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / al))), 6) AS score FROM tf JOIN df USING (term), a GROUP BY 1""")
+def search_bm25(t):
+    d = t("documents").select("doc_id", T.tokens(T.search_normalise("text")).alias("toks"))
+    return S.bm25(d, "doc_id", "toks", TERMS).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {NORMAL} AS hay, {TOKS} AS toks FROM documents)
+SELECT doc_id, round(0.44 * len(list_filter(['the', 'tion', 'ing'], lambda x: list_contains(toks, x))) / 3 + CASE WHEN contains(hay, 'the tion ing') THEN 0.16 ELSE 0 END
++ 0.22 * len(list_intersect(['the', 'tion', 'ing'], toks)) / greatest(len(list_distinct(list_concat(['the', 'tion', 'ing'], toks))), 1) + 0.1, 6) AS score FROM d""")
+def search_spine(t):
+    n = T.search_normalise("text")
+    d = t("documents").select("doc_id", n.alias("hay"), T.tokens(n).alias("toks"))
+    return d.select("doc_id", F.round(S.spine_score(TERMS, F.col("hay"), F.col("toks"), F.lit(0.1)), 6).alias("score"))
+
+
+@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_sum(list_transform(list_zip(embedding, e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))
+/ (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x::DOUBLE)))) AS score FROM embeddings, q)
+SELECT vec_id, round(score, 6) AS score FROM s ORDER BY score DESC, vec_id LIMIT 25""")
+def search_vectors(t):
+    e = t("embeddings")
+    q = e.filter("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)  # one row
+    s = e.join(F.broadcast(q)).select("vec_id", S.cosine(F.col("embedding"), F.col("q")).alias("score"))
+    return s.orderBy(F.desc("score"), "vec_id").limit(25).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT o_orderkey, round(0.5 * least(1.0, o_totalprice / 100000) + 0.5 * least(1.0, (900 + floor(13 * (o_orderkey % 100) + 0.5)) / 2200), 6) AS score FROM orders""")
+def search_default_rank(t):
+    elo = 900 + F.floor(13 * (F.col("o_orderkey") % 100) + 0.5)
+    return t("orders").select("o_orderkey", F.round(0.5 * F.least(F.lit(1.0), F.col("o_totalprice") / 100000) + 0.5 * F.least(F.lit(1.0), elo / 2200), 6).alias("score"))
+
+
+# ---- streams' batch twins ----
+
+
+@query("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS hits FROM events GROUP BY 1, 2")
+def stream_window_hits(t):
+    return C.window_hits(t("events"), ["user_id"], width="1 hour").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""SELECT user_id, event_id, s::BIGINT AS window_start, hit::INT AS hit, hit <= 2 AS ok, greatest(0, 2 - hit)::INT AS remaining, (s + 86400)::BIGINT AS reset_at FROM (
+SELECT *, row_number() OVER (PARTITION BY user_id, s ORDER BY ts, event_id) AS hit FROM (SELECT *, floor(floor(epoch(ts)) / 86400) * 86400 AS s FROM events))""")
+def stream_quota_flags(t):
+    return C.quota_flags(t("events"), ["user_id"], "event_id", 2, seconds=86400)
+
+
+@query()
+def stream_anchored_quota(t):
+    return C.anchored_quota(t("events"), "user_id", "event_id", 3, 86400.0)
+
+
+@query("SELECT user_id, ts::DATE AS day, sum(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 END)::BIGINT AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2")
+def stream_daily_activity(t):
+    return C.daily_activity(t("events"), "user_id", {"click": 1, "view": 2})
+
+
+@query("""SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
+def stream_upsert(t):
+    e = t("events").select("user_id", "event_type", "event_id", "value", "ts")
+    half = F.col("event_id") % 2 == 0
+    return C.upsert(e.filter(half), e.filter(~half), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+def stream_unseen(t):
+    return C.unseen(t("pages"), t("pages").filter("page_id % 3 = 0"), "url")
+
+
+@query("""SELECT user_id, coalesce(b.n, a.n) AS n FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) a
+FULL JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) b USING (user_id)""")
+def stream_reconciled(t):
+    one = lambda k: t("events").filter(F.col("event_type") == k).groupBy("user_id").agg(F.count("*").alias("n"))
+    return C.reconciled(one("view"), one("click"), ["user_id"], "n")

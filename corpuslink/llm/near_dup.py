@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, stored
 
-HASHES, TREES, LEAST, LEVELS, NEAR, SLACK = 128, 32, 4, 8, 3, 0.2
+HASHES, TREES, LEAST, LEVELS, NEAR, SLACK = 128, 32, 4, 10, 3, 0.2
+#: Bytes of a path: a hash of the first LEAST values, then two of each further one.
+PREFIX, WIDTH = 8, 8 + 2 * (LEVELS - LEAST)
 WORDS_CACHE = 300_000
 _rng = np.random.default_rng(20240229)
 MULTIPLY = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,9 +106,13 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             sig = np.frombuffer(b"".join(part.column(1).to_pylist()), ">u4").reshape(part.num_rows, HASHES)
-            rows = np.ascontiguousarray(sig[:, places]).reshape(-1, LEVELS)
-            data = pa.py_buffer(rows.tobytes())
-            offsets = pa.py_buffer(np.arange(0, (len(rows) + 1) * 4 * LEVELS, 4 * LEVELS, dtype=np.int32).tobytes())
+            values = sig[:, places].astype(np.uint64).reshape(-1, LEVELS)
+            prefix = np.full(len(values), 7, np.uint64)
+            for k in range(LEAST):
+                prefix = _mix(prefix * np.uint64(0x9E3779B97F4A7C15) + values[:, k])
+            rows = np.concatenate([prefix[:, None].view(np.uint8), values[:, LEAST:].astype(">u2").view(np.uint8)], axis=1)
+            data = pa.py_buffer(np.ascontiguousarray(rows).tobytes())
+            offsets = pa.py_buffer(np.arange(0, (len(rows) + 1) * WIDTH, WIDTH, dtype=np.int32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.tile(np.arange(TREES, dtype=np.int32), part.num_rows)),
@@ -127,7 +133,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             tree, path, i = row
-            here = (tree, path[: 4 * LEAST])
+            here = (tree, path[:PREFIX])
             if here != region:
                 region, pivot, held = here, i, []
             else:
@@ -173,7 +179,7 @@ def candidates(sets: DataFrame) -> DataFrame:
     inside = found.filter("a is not null").select("a", "b")
     # Where one partition ends and the next begins: a few rows a partition.
     edges = found.filter("a is null").select("tree", "path", F.col("b").alias("id")).distinct()
-    near = Window.partitionBy("tree", F.substring("path", 1, 4 * LEAST)).orderBy("path", "id")
+    near = Window.partitionBy("tree", F.substring("path", 1, PREFIX)).orderBy("path", "id")
     across = edges.select("id", *[F.lead("id", k).over(near).alias(f"n{k}") for k in range(1, NEAR + 1)])
     across = across.select("id", F.explode(F.array(*[f"n{k}" for k in range(1, NEAR + 1)])).alias("o")).filter("o is not null and o != id")
     return inside.union(across.select(F.greatest("id", "o").alias("a"), F.least("id", "o").alias("b"))).distinct()
@@ -200,15 +206,15 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Whole shingle sets (id, s) of the documents in ``ids``."""
+    """Whole shingle sets (id, s) of the documents in ``ids``; these have no bound, so they are never broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = [shingles(t.as_py(), size).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.binary())], names=["id", "s"])
 
-    chosen = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    return chosen.mapInArrow(run, "id long, s binary").dropDuplicates(["id"])
+    chosen = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids.hint("merge"), "id", "left_semi")
+    return chosen.dropDuplicates(["id"]).mapInArrow(run, "id long, s binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -112,5 +112,10 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    return quality(docs, **options).filter("kept").select("doc.*")
+    """The documents that pass, with their own columns.
+
+    Catalyst would push a filter on ``kept`` below the projections and repeat their sorts in its condition for every use of a
+    count. A row number is never negative, but not deterministic, so the filter stays above and each count is made once.
+    """
+    once = F.col("kept") & (F.monotonically_increasing_id() >= 0)
+    return quality(docs, **options).select("doc", once.alias("kept")).filter("kept").select("doc.*")

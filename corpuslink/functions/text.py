@@ -60,6 +60,12 @@ def link_tokens(c: Column | str, stop: list[str]) -> Column:
     return F.filter(stemmed, lambda t: ((F.length(t) >= 3) | t.rlike("^[0-9]{2,4}$")) & ~t.isin(stop))
 
 
+def link_token_set(c: Column | str, stop: list[str]) -> Column:
+    """The distinct ``link_tokens``; a repeated word is stemmed once."""
+    stemmed = F.transform(F.array_distinct(tokens(question_normalise(c))), stem)
+    return F.array_distinct(F.filter(stemmed, lambda t: ((F.length(t) >= 3) | t.rlike("^[0-9]{2,4}$")) & ~t.isin(stop)))
+
+
 def signature(toks: Column) -> Column:
     """Ordered distinct tokens joined."""
     return F.array_join(F.sort_array(F.array_distinct(toks)), " ")

@@ -22,30 +22,35 @@ def exact_links(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return left.filter(F.col(on) != "").join(right.filter(F.col(on) != ""), on)
 
 
-def candidates(left: DataFrame, right: DataFrame, weights: DataFrame, left_id: str, right_id: str, toks: str, rare: int = 10, least: float = 1.65) -> DataFrame:
-    """Distinct (left_id, right_id) that share one of the left row's ``rare`` rarest tokens; past the first that
-    hits anything, tokens must weigh ``least`` or more."""
-    asked = left.select(left_id, F.explode(F.array_distinct(toks)).alias("token")).join(weights, "token")
+def asking(left: DataFrame, weights: DataFrame, left_id: str, toks: str, rare: int = 10, least: float = 1.65) -> DataFrame:
+    """(left_id, token, weight, asked): the distinct tokens of each left row. Asked by are its ``rare`` rarest; past the first that
+    hits anything, they must weigh ``least`` or more."""
+    rows = left.select(left_id, F.explode(F.array_distinct(toks)).alias("token")).join(weights, "token")
     rank = F.row_number().over(Window.partitionBy(left_id).orderBy(F.desc("weight"), "token"))
-    asked = asked.withColumn("r", rank).filter((F.col("r") <= rare) & ((F.col("weight") >= least) | (F.col("r") == 1)))
+    return rows.withColumn("r", rank).select(left_id, "token", "weight", ((F.col("r") <= rare) & ((F.col("weight") >= least) | (F.col("r") == 1))).alias("asked"))
+
+
+def candidates(left: DataFrame, right: DataFrame, weights: DataFrame, left_id: str, right_id: str, toks: str, rare: int = 10, least: float = 1.65) -> DataFrame:
+    """Distinct (left_id, right_id) that share a token the left row asks by."""
+    asked = asking(left, weights, left_id, toks, rare, least).filter("asked").select(left_id, "token")
     held = right.select(right_id, F.explode(F.array_distinct(toks)).alias("token"))
-    return asked.select(left_id, "token").join(held, "token").select(left_id, right_id).distinct()
+    return asked.join(held, "token").select(left_id, right_id).distinct()
 
 
-def pair_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, weights: DataFrame, left_id: str, right_id: str, toks: str) -> DataFrame:
-    """cover, mapped_cover, jaccard, idf_cover, idf_mapped and confidence of each pair.
+def linked(left: DataFrame, right: DataFrame, weights: DataFrame, left_id: str, right_id: str, toks: str, rare: int = 10, least: float = 1.65) -> DataFrame:
+    """The candidates with shared, cover, mapped_cover, jaccard, idf_cover, idf_mapped and confidence.
 
-    Sums of idf per row are made once; shared weights are summed over the shared tokens of a pair, so no map of the vocabulary is sent anywhere.
+    One join on tokens finds the candidates and sums what they share; a pair is kept if one of its shared tokens was asked by.
+    The right rows' tokens are dealt out by token once, for their weights and for this join, and no map of the vocabulary is sent anywhere.
     """
-    def side(rows: DataFrame, ident: str, name: str) -> tuple[DataFrame, DataFrame]:
-        t = rows.select(ident, F.explode(F.array_distinct(toks)).alias("token")).join(weights, "token")
-        return t, t.groupBy(ident).agg(F.count("*").alias(f"n_{name}"), F.sum("weight").alias(f"w_{name}"))
-
-    lt, ls = side(left, left_id, "left")
-    rt, rs = side(right, right_id, "right")
-    shared = pairs.join(lt.select(left_id, "token", "weight"), left_id).join(rt.select(right_id, "token"), [right_id, "token"])
-    shared = shared.groupBy(left_id, right_id).agg(F.count("*").alias("shared"), F.sum("weight").alias("w_shared"))
-    rows = shared.join(ls, left_id).join(rs, right_id)
+    lt = asking(left, weights, left_id, toks, rare, least)
+    held = right.select(right_id, F.explode(F.array_distinct(toks)).alias("token"))
+    sums = lambda t, ident, name: t.groupBy(ident).agg(F.count("*").alias(f"n_{name}"), F.sum("weight").alias(f"w_{name}"))
+    ls, rs = sums(lt, left_id, "left"), sums(held.join(weights, "token"), right_id, "right")
+    shared = held.join(lt, "token").groupBy(left_id, right_id).agg(
+        F.count("*").alias("shared"), F.sum("weight").alias("w_shared"), F.max("asked").alias("asked")
+    )
+    rows = shared.filter("asked").join(ls, left_id).join(rs, right_id)
     cover, mapped = F.col("shared") / F.col("n_left"), F.col("shared") / F.col("n_right")
     jaccard = F.col("shared") / (F.col("n_left") + F.col("n_right") - F.col("shared"))
     heavy, heavy_mapped = F.col("w_shared") / F.col("w_left"), F.col("w_shared") / F.col("w_right")

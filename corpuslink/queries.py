@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import tags as TG
 from .functions import text as T
 from .operators import grouping as G
 from .operators import linking as L
+from .operators import people as P
 from .operators import search as S
+from .sources import trees as TR
+from .streaming import calendar as CAL
 from .streaming import counters as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,7 +153,7 @@ idf AS (SELECT token, count(*) AS df, ln(((SELECT count(*) FROM d) + 1) / (count
 
 @query(f"WITH {IDF} SELECT token, df, round(weight, 6) AS weight FROM idf")
 def linking_idf(t):
-    d = t("documents").select("doc_id", T.link_tokens("text", STOP).alias("toks"))
+    d = t("documents").select("doc_id", T.link_token_set("text", STOP).alias("toks"))
     return L.idf(d, "toks").select("token", "df", F.round("weight", 6).alias("weight"))
 
 
@@ -161,11 +165,10 @@ sc AS (SELECT item_id, doc_id, k / nl AS cover, least(0.99, 0.24 * k / nl + 0.18
 rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(c, 9) DESC, doc_id) AS rank FROM sc)
 SELECT item_id, doc_id, rank::INT AS rank, round(cover, 6) AS cover, round(c, 6) AS confidence, CASE WHEN cover >= 0.72 THEN 'strong' WHEN cover >= 0.3 THEN 'topic-match' ELSE 'none' END AS class FROM rk WHERE rank <= 5""")
 def linking_candidates(t):
-    d = t("documents").select("doc_id", T.link_tokens("text", STOP).alias("toks"))
-    q = t("benchmark").select("item_id", T.link_tokens("text", STOP).alias("toks"))
+    d = t("documents").select("doc_id", T.link_token_set("text", STOP).alias("toks"))
+    q = t("benchmark").select("item_id", T.link_token_set("text", STOP).alias("toks"))
     weights = L.idf(d, "toks").select("token", "weight")
-    pairs = L.candidates(q, d, weights, "item_id", "doc_id", "toks")
-    scores = L.pair_scores(pairs, q, d, weights, "item_id", "doc_id", "toks")
+    scores = L.linked(q, d, weights, "item_id", "doc_id", "toks")
     top = G.top_per_group(scores, ["item_id"], [F.desc(F.round("confidence", 9)), "doc_id"], 5)
     return top.select("item_id", "doc_id", "rank", F.round("cover", 6).alias("cover"), F.round("confidence", 6).alias("confidence"), L.classed(F.col("cover")).alias("class"))
 
@@ -384,3 +387,92 @@ FULL JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click'
 def stream_reconciled(t):
     one = lambda k: t("events").filter(F.col("event_type") == k).groupBy("user_id").agg(F.count("*").alias("n"))
     return C.reconciled(one("view"), one("click"), ["user_id"], "n")
+
+
+# ---- people, tags, documents of unknown shape, calendars ----
+
+NOISE = ["test", "series", "copy", "pdf", "the"]
+NAME_KEY = (
+    r"lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)\b(?:air|rank)\s*[0-9]+\b', ' ', 'g'), '\b[0-9]{4}\b', ' ', 'g'), "
+    r"'(?i)\b(?:test|series|copy|pdf|the)\b', ' ', 'g'), '[^A-Za-z .''-]', ' ', 'g'), ' +', ' ', 'g')))"
+)
+CONCEPTS = ["the", "tion", "une", "der", "on the", "is and", "les", "und die"]
+ALIASES = {"eau": "French", "ment": "French", "sch": "German", "the ": "English", "ción": "Spanish", "tion": "Abstract"}
+CATEGORY = {"en": ["Latin", "English"], "de": ["Latin", "German"]}
+KINDS = [("year", r"(?<![A-Za-z0-9_])[12][0-9]{3}(?![A-Za-z0-9_])"), ("mail", r"[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+")]
+
+
+@query(f"SELECT doc_id, {NAME_KEY} AS name_key, regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g') AS letters FROM documents")
+def people_name_keys(t):
+    return t("documents").select("doc_id", P.name_key("text", NOISE).alias("name_key"), P.letters_key("text").alias("letters"))
+
+
+@query("""WITH v AS (SELECT l_partkey, l_returnflag || l_linestatus AS name, sum(CASE WHEN l_linestatus = 'F' THEN 8 ELSE 5 END + CASE WHEN l_quantity > 25 THEN 2 ELSE 0 END + CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END)::BIGINT AS score, count(*) AS hits FROM lineitem GROUP BY 1, 2)
+SELECT l_partkey, name, score, hits FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY score DESC, hits DESC, name) AS r FROM v) WHERE r = 1""")
+def people_source_votes(t):
+    weight = F.when(F.col("l_linestatus") == "F", 8).otherwise(5) + F.when(F.col("l_quantity") > 25, 2).otherwise(0) + F.when(F.col("l_discount") > 0.05, 1).otherwise(0)
+    return P.weighted_votes(t("lineitem").withColumn("label", F.concat("l_returnflag", "l_linestatus")), "l_partkey", "label", weight, "name")
+
+
+@query("""WITH e AS (SELECT *, nullif(event_id % 5, 0) AS rank, nullif(event_id % 3, 0) AS year FROM events), s AS (
+SELECT user_id, rank, year, event_type AS source, CASE event_type WHEN 'signup' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS src, event_id FROM e WHERE event_type IN ('signup', 'click', 'view') AND (rank IS NOT NULL OR year IS NOT NULL))
+SELECT user_id, coalesce(rank, -1) AS rank, coalesce(year, -1) AS year, source FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rank IS NULL, src, event_id) AS r FROM s) WHERE r = 1""")
+def people_lookup(t):
+    e = t("events").withColumn("rank", F.col("event_id") % 5).withColumn("year", F.col("event_id") % 3)
+    found = P.first_or_ranked([(k, e.filter(F.col("event_type") == k)) for k in ("signup", "click", "view")], "user_id", "event_id", "rank", "year")
+    return found.select("user_id", F.coalesce("rank", F.lit(-1)).alias("rank"), F.coalesce("year", F.lit(-1)).alias("year"), "source")
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter(['und die', 'on the', 'is and', 'tion', 'the', 'une', 'der', 'les'], lambda c:
+CASE WHEN contains(c, ' ') THEN contains(lower(text), c) ELSE regexp_matches(lower(text), '\b' || c || '\b') END)[:3], '|') AS concepts FROM documents""")
+def tags_concepts(t):
+    return t("documents").select("doc_id", F.array_join(TG.concepts("text", CONCEPTS, 3), "|").alias("concepts"))
+
+
+@query("""WITH x AS (SELECT doc_id, list_concat(list_transform(list_filter([['eau', 'French'], ['ment', 'French'], ['sch', 'German'], ['the ', 'English'], ['ción', 'Spanish'], ['tion', 'Abstract']], lambda a: contains(lower(text), a[1])), lambda a: a[2]),
+CASE lang WHEN 'en' THEN ['Latin', 'English'] WHEN 'de' THEN ['Latin', 'German'] ELSE [] END) AS l FROM documents)
+SELECT doc_id, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i)[:3], '|') AS tags FROM x""")
+def tags_aliases(t):
+    return t("documents").select("doc_id", F.array_join(TG.alias_tags("text", ALIASES, "lang", CATEGORY, 3), "|").alias("tags"))
+
+
+@query()
+def tags_mentions(t):
+    return t("documents").select("doc_id", F.explode(TG.mentions("text", KINDS)).alias("m")).select("doc_id", "m.kind", "m.value")
+
+
+@query(r"""WITH p AS (SELECT page_id, html, regexp_extract_all(html, '(?i)<h[1-6][^>]*>([^<]*)', 1) AS heads, regexp_split_to_array(html, '(?i)<h[1-6][^>]*>([^<]*)') AS bodies FROM pages)
+SELECT page_id, i::INT AS n, heads[i] AS heading, bodies[i + 1] AS body FROM (SELECT *, unnest(range(1, len(heads) + 1)) AS i FROM p)
+UNION ALL SELECT page_id, 1, NULL, html FROM p WHERE len(heads) = 0""")
+def documents_segments(t):
+    return t("pages").select("page_id", F.explode(TG.segments("html", "(?i)<h[1-6][^>]*>([^<]*)")).alias("s")).select("page_id", "s.n", "s.heading", "s.body")
+
+
+@query("""SELECT DISTINCT c_custkey, c_name AS question, o_orderpriority AS name, 'o/' || o_orderkey AS link FROM customer JOIN orders ON c_custkey = o_custkey""")
+def documents_json_harvest(t):
+    o = t("orders").select(F.col("o_custkey").alias("c_custkey"), F.struct(F.col("o_orderpriority").alias("topper_name"), F.concat(F.lit("o/"), "o_orderkey").alias("url")).alias("o"))
+    nested = t("customer").join(o, "c_custkey").groupBy("c_custkey", "c_name").agg(F.collect_list("o").alias("answers"))
+    body = nested.select("c_custkey", F.to_json(F.struct(F.col("c_name").alias("question"), F.struct("answers").alias("data"))).alias("body"))
+    return TR.harvested(body, "c_custkey", "body", ["question", "text"], ["topper_name", "name"], ["pdf_url", "url"])
+
+
+CELLS = """e AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2), a AS (SELECT (max(day) - CAST(dayofweek(max(day)) AS INT) - 119)::DATE AS s FROM e),
+c AS (SELECT u.user_id, (s + i::INT)::DATE AS day, i // 7 AS week, coalesce(n, 0) AS n FROM (SELECT DISTINCT user_id FROM e) u CROSS JOIN a CROSS JOIN range(126) r(i) LEFT JOIN e ON e.user_id = u.user_id AND e.day = (s + i::INT)::DATE)"""
+
+
+def _cells(t):
+    counts = t("events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    newest = t("events").agg(F.max(F.to_date("ts"))).first()[0]
+    return CAL.grid(counts, "user_id", F.lit(newest))
+
+
+@query(f"""WITH {CELLS}, w AS (SELECT *, (day - (dayofweek(day))::INT)::DATE AS sunday FROM c)
+SELECT user_id, day, week::INT AS week, n, CASE WHEN n <= 0 THEN 0 WHEN n = 1 THEN 1 WHEN n <= 3 THEN 2 WHEN n <= 6 THEN 3 ELSE 4 END AS level,
+CASE WHEN week = 0 OR month(sunday) <> month(sunday - 7) THEN strftime(sunday, '%b') ELSE '' END AS label FROM w""")
+def calendar_grid(t):
+    return _cells(t)
+
+
+@query(f"WITH {CELLS} SELECT user_id, sum(n)::BIGINT AS total, count(*) FILTER (n > 0) AS active_days, sum(CASE WHEN week = 17 THEN n ELSE 0 END)::BIGINT AS this_week FROM c GROUP BY 1")
+def calendar_totals(t):
+    return CAL.totals(_cells(t), "user_id")

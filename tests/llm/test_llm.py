@@ -36,6 +36,12 @@ def test_quality(odd, none):
     assert quality_rules.keep_good(none).columns == none.columns and quality_rules.keep_good(none).count() == 0
 
 
+def test_keep_good_is_the_kept_rows(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = quality_rules.quality(docs).select("doc.doc_id", "kept").collect()
+    assert sorted(r[0] for r in quality_rules.keep_good(docs).select("doc_id").collect()) == sorted(r["doc_id"] for r in want if r["kept"])
+
+
 def test_quality_main_path_is_native(odd):
     plan = quality_rules.quality(odd)._jdf.queryExecution().executedPlan().toString() + mixing.mix(odd)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

@@ -1,7 +1,7 @@
 """Linking one corpus to another: idf, exact and signature joins, rare-token candidates, pair scores, classes.
 
-The candidate join explodes tokens on both sides. A left row asks by its rarest tokens only, and tokens held by more than
-``common`` documents are not asked by at all unless a row has nothing rarer, so a frequent token can't pair everything with everything.
+The candidate join explodes tokens on both sides. A left row asks by its rarest tokens only, and a token
+too light is not asked by at all unless a row has nothing rarer, so a frequent token alone can't pair everything with everything.
 """
 
 from __future__ import annotations
@@ -94,3 +94,38 @@ def _deletions(c: Column) -> Column:
 def _grams(c: Column, size: int = 4) -> Column:
     spots = F.sequence(F.lit(1), F.greatest(F.length(c) - (size - 1), F.lit(1)))
     return F.array_distinct(F.transform(spots, lambda i: F.substring(c, i, F.lit(size))))
+
+
+def anchor_phrases(rows: DataFrame, weights: DataFrame, ident: str, toks: str, noise: list[str], sizes: tuple[int, ...] = (3, 2)) -> DataFrame:
+    """(ident, phrase, ord): phrases of neighbouring tokens that are specific and weighty, once each, in order of size and place.
+
+    Specific: a token of two to four digits, or one outside ``noise`` that has five characters or weighs 2.4. Weighty: 2.2 on average, or
+    a token of eight characters. A token without a weight weighs 1.
+    """
+    places = rows.select(ident, F.posexplode(toks).alias("i", "token")).join(weights, "token", "left")
+    one = F.struct("i", "token", F.coalesce("weight", F.lit(1.0)).alias("w"))
+    lists = places.groupBy(ident).agg(F.sort_array(F.collect_list(one)).alias("t"))
+    grams = []
+    for k, n in enumerate(sizes):
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("t"), F.lit(1))), lambda i: i + (n - 1) <= F.size("t"))
+        grams.append(F.transform(starts, lambda i: F.struct((i + k * 10_000_000).alias("ord"), F.slice("t", i, F.lit(n)).alias("g"))))
+    each = lists.select(ident, F.explode(F.concat(*grams)).alias("x")).select(ident, "x.ord", "x.g")
+    digits = lambda x: x["token"].rlike("^[0-9]{2,4}$")
+    specific = F.exists("g", lambda x: digits(x) | (~x["token"].isin(noise) & ((F.length(x["token"]) >= 5) | (x["w"] >= 2.4))))
+    mean = F.aggregate("g", F.lit(0.0), lambda a, x: a + x["w"]) / F.size("g")
+    weighty = (mean >= 2.2) | F.exists("g", lambda x: F.length(x["token"]) >= 8)
+    phrase = F.array_join(F.transform("g", lambda x: x["token"]), " ")
+    return each.filter(specific & weighty).groupBy(ident, phrase.alias("phrase")).agg(F.min("ord").alias("ord"))
+
+
+def strong_anchors(left: DataFrame, right: DataFrame, weights: DataFrame, left_id: str, right_id: str, toks: str, noise: list[str], most: int = 8) -> DataFrame:
+    """(left_id, right_id, anchors): the first ``most`` anchor phrases of the left row that the right row holds; pairs without one are left out.
+
+    The right rows' distinct phrases are joined on equality, so no text is searched for each pair.
+    """
+    asked = anchor_phrases(left, weights, left_id, toks, noise)
+    spots = lambda n: F.filter(F.sequence(F.lit(1), F.greatest(F.size(toks), F.lit(1))), lambda i: i + (n - 1) <= F.size(toks))
+    grams = [F.transform(spots(n), lambda i: F.array_join(F.slice(toks, i, F.lit(n)), " ")) for n in (2, 3)]
+    held = right.select(right_id, F.explode(F.array_distinct(F.concat(*grams))).alias("phrase"))
+    both = held.join(asked, "phrase").groupBy(left_id, right_id).agg(F.sort_array(F.collect_list(F.struct("ord", "phrase"))).alias("p"))
+    return both.select(left_id, right_id, F.slice(F.transform("p", lambda x: x["phrase"]), 1, most).alias("anchors"))

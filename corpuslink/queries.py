@@ -173,6 +173,20 @@ def linking_candidates(t):
     return top.select("item_id", "doc_id", "rank", F.round("cover", 6).alias("cover"), F.round("confidence", 6).alias("confidence"), L.classed(F.col("cover")).alias("class"))
 
 
+@query(f"""WITH {IDF}, gram AS (SELECT item_id, s, i, toks[i:i + s - 1] AS g FROM (SELECT item_id, toks, s, unnest(range(1, len(toks) - s + 2)) AS i FROM q, (VALUES (3), (2)) z(s))),
+gt AS (SELECT item_id, s, i, array_to_string(g, ' ') AS phrase, unnest(g) AS token FROM gram),
+gs AS (SELECT item_id, s, i, phrase, avg(coalesce(weight, 1.0)) AS w, bool_or(length(token) >= 8) AS long,
+bool_or(regexp_full_match(token, '[0-9]{{2,4}}') OR (token <> 'thea' AND (length(token) >= 5 OR coalesce(weight, 1.0) >= 2.4))) AS specific FROM gt LEFT JOIN idf USING (token) GROUP BY ALL),
+p AS (SELECT item_id, phrase, min((3 - s) * 10000000 + i) AS ord FROM gs WHERE specific AND (w >= 2.2 OR long) GROUP BY 1, 2),
+dg AS (SELECT DISTINCT doc_id, array_to_string(toks[i:i + s - 1], ' ') AS phrase FROM (SELECT doc_id, toks, s, unnest(range(1, len(toks) - s + 2)) AS i FROM d, (VALUES (3), (2)) z(s)))
+SELECT item_id, doc_id, array_to_string(list(phrase ORDER BY ord)[:8], '|') AS anchors FROM p JOIN dg USING (phrase) GROUP BY 1, 2""")
+def linking_anchors(t):
+    d = t("documents").select("doc_id", T.link_tokens("text", STOP).alias("toks"))
+    q = t("benchmark").select("item_id", T.link_tokens("text", STOP).alias("toks"))
+    weights = L.idf(d, "toks").select("token", "weight")
+    return L.strong_anchors(q, d, weights, "item_id", "doc_id", "toks", ["thea"]).select("item_id", "doc_id", F.array_join("anchors", "|").alias("anchors"))
+
+
 @query(f"WITH n AS (SELECT doc_id, {NORMAL} AS k FROM documents) SELECT a.doc_id AS left_id, b.doc_id AS right_id FROM n a JOIN (SELECT k, min(doc_id) AS doc_id FROM n WHERE k <> '' GROUP BY k) b USING (k) WHERE a.doc_id <> b.doc_id")
 def linking_exact(t):
     n = t("documents").select("doc_id", T.search_normalise("text").alias("k"))
@@ -436,9 +450,10 @@ def tags_aliases(t):
     return t("documents").select("doc_id", F.array_join(TG.alias_tags("text", ALIASES, "lang", CATEGORY, 3), "|").alias("tags"))
 
 
-@query()
+@query(r"""SELECT doc_id, 'year' AS kind, unnest(list_distinct(regexp_extract_all(text, '\b[12][0-9]{3}\b'))) AS value FROM documents
+UNION ALL SELECT doc_id, 'mail', unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+'))) FROM documents""")
 def tags_mentions(t):
-    return t("documents").select("doc_id", F.explode(TG.mentions("text", KINDS)).alias("m")).select("doc_id", "m.kind", "m.value")
+    return t("documents").select("doc_id", F.explode(TG.mentions("text", KINDS, 100_000, 200_000)).alias("m")).select("doc_id", "m.kind", "m.value")
 
 
 @query(r"""WITH p AS (SELECT page_id, html, regexp_extract_all(html, '(?i)<h[1-6][^>]*>([^<]*)', 1) AS heads, regexp_split_to_array(html, '(?i)<h[1-6][^>]*>([^<]*)') AS bodies FROM pages)

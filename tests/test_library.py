@@ -7,10 +7,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslink.functions import tags
 from corpuslink.functions import text as T
 from corpuslink.operators import grouping as G
+from corpuslink.operators import people
 from corpuslink.queries import ORACLES, QUERIES
-from corpuslink.sources import files
+from corpuslink.sources import files, trees
 from corpuslink.streaming import counters as C
 
 DATA = "/root/testdata/sf0.001"
@@ -75,3 +77,25 @@ def test_publish_only_changes(spark, tmp_path):
     assert files.publish(df, str(tmp_path), "v1")
     assert not files.publish(df, str(tmp_path), "v2")
     assert files.publish(spark.range(4), str(tmp_path), "v3")
+
+
+def test_harvest_inherits_the_question(spark):
+    body = '{"question": "Why?", "list": [{"name": " Ann ", "url": "u1"}, {"text": "How?", "x": {"name": "Bo", "url": "u2"}}]}'
+    df = spark.createDataFrame([(1, body), (2, "no json"), (3, None), (4, "[1, 2]")], "id int, body string")
+    got = {tuple(r) for r in trees.harvested(df, "id", "body", ["question", "text"], ["name"], ["url"]).collect()}
+    assert got == {(1, "Why?", "Ann", "u1"), (1, "How?", "Bo", "u2")}
+
+
+def test_segments_and_mentions(spark):
+    df = spark.createDataFrame([("before # A\none # B\ntwo",), ("plain",), (None,)], "t string")
+    got = [[(s["n"], s["heading"], s["body"]) for s in r[0]] for r in df.select(tags.segments("t", "# ([A-Z])\n")).collect()]
+    assert got == [[(1, "A", "one "), (2, "B", "two")], [(1, None, "plain")], [(1, None, "")]]
+    found = df.select(tags.mentions("t", [("cap", "[A-Z]"), ("word", "[a-z]{6}")])).collect()[0][0]
+    assert [tuple(x) for x in found] == [("cap", "A"), ("cap", "B"), ("word", "before")]
+
+
+def test_names(spark):
+    df = spark.createDataFrame([("drive_Ann-Lee_AIR 12 Test 2019.pdf",), (None,)], "t string")
+    assert [tuple(r) for r in df.select(people.file_name_text("t"), people.name_key("t", ["test", "pdf"])).collect()] == [
+        ("Ann Lee AIR 12 Test 2019", "drive ann-lee air ."), ("", ""),
+    ]

@@ -269,7 +269,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     first_of = by_set.select("id", F.col("fp").alias("of"))
     sets = with_set.join(first_of, "id").filter("fp = of").dropDuplicates(["id"]).select("id", "n", "sig", "low")
     pairs = stored(plausible(candidates(sets), sets, percent), "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # Each end is aggregated by itself: in a crowded region a set has up to TREES * (NEAR + 1) pairs, but is one id.
+    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
     whole = stored(_texts_of(docs, ids, key, text, size), "sets")
     first = stored(confirmed(pairs.groupBy("a").agg(F.min("b").alias("b")), whole, percent), "links")
     # One step towards the smallest: pairs that this already joins need no test.

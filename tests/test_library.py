@@ -99,3 +99,18 @@ def test_names(spark):
     assert [tuple(r) for r in df.select(people.file_name_text("t"), people.name_key("t", ["test", "pdf"])).collect()] == [
         ("Ann Lee AIR 12 Test 2019", "drive ann-lee air ."), ("", ""),
     ]
+
+
+def test_placement_of_odd_rows(spark):
+    from corpuslink.operators import placement
+
+    nodes = spark.createDataFrame([("n1", "a", "river basin", "A", 1), ("n2", "b", "river basin", "B", 2), ("n3", "a", None, None, 3)], "node_id string, subject string, label string, paper string, ord long")
+    rows = spark.createDataFrame(
+        [(1, ["River-Basin II"], "x", None, None, "b"), (2, None, None, ["a"], "a", "a"), (3, ["hills"], "a river", ["b"], "b", "b"), (4, ["hills"], "x", ["a"], None, "c"), (5, ["river basin"], "q", ["b"], "b", "b")],
+        "row string, tags array<string>, question string, subjects array<string>, hint string, fallback string",
+    )
+    args = ("tags", "question", "subjects", "hint", "fallback", ["paper"], ["the"])
+    got = {r["row"]: (r["node_id"], r["stage"]) for r in placement.placed(rows, nodes, *args).collect()}
+    assert got == {"1": ("n1", "matched"), "2": ("a:topic:fallback:q", "made"), "3": ("n2", "within"), "4": ("c:topic:fallback:hills", "made"), "5": ("n2", "matched")}
+    assert {r["stage"] for r in placement.placed(rows, nodes.limit(0), *args).collect()} == {"made"}
+    assert placement.placed(rows.limit(0), nodes, *args).count() == 0

@@ -5,14 +5,17 @@
 2. The forest: each of ``TREES`` orders sorts the sets by a signature of ``LEVELS`` values that starts at another place.
    Sorting is a range shuffle on (order, signature, id), so no group of copies is one key. A candidate of a
    set is a neighbour in some order with which it shares the first ``LEAST`` values: in a sparse region that is every
-   set with the same prefix; in a crowded one the ``NEAR`` neighbours, which share the longest
-   prefixes there - the depth adapts to the region. The region's first set is a candidate as well.
+   set with the same prefix; in a crowded one, at first, the ``NEAR`` neighbours, which share the longest
+   prefixes there, and the region's first set; step 5 does the rest.
 3. Candidates whose set sizes or signatures rule the similarity out are dropped; the others are confirmed on whole shingle sets: first each set with its candidate of smallest id,
    which joins most of a group of copies to one set, then every candidate pair that this left apart.
 4. Connected components by large-star and small-star steps, checkpointed.
+5. Crowded regions that hold several components are searched whole: all pairs of sets of different components by signatures, and where
+   a pair may belong, all pairs of such sets on whole shingle sets. A region is dealt in blocks of about ``BLOCK`` sets; the sets outside its
+   largest component visit every block. A task returns a spanning forest of the links it finds, so rows out grow with the sets.
 
-Memory and shuffles: whole texts are shuffled once, for documents with candidates; everything else
-is ids and signatures. Chance of a miss: a pair of similarity s agrees on a tree's prefix with probability
+Memory and shuffles: whole texts are shuffled for documents with candidates, and once a block for sets that step 5 compares; everything else
+is ids and signatures. A crowd of m sets that stay apart takes m * m comparisons a region. Chance of a miss: a pair of similarity s agrees on a tree's prefix with probability
 s**LEAST, so at 0.8 it is missed by all 32 trees with 0.59**32, below 1e-7.
 
 Defined results: null, empty or blank texts have no shingles, form their own component and are kept; repeated rows with one id
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, stored
 
-HASHES, TREES, LEAST, LEVELS, NEAR, SLACK = 128, 32, 4, 10, 3, 0.2
+HASHES, TREES, LEAST, LEVELS, NEAR, SLACK, BLOCK, SALT = 128, 32, 4, 10, 3, 0.2, 256, 16
 #: Bytes of a path: a hash of the first LEAST values, then two of each further one.
 PREFIX, WIDTH = 8, 8 + 2 * (LEVELS - LEAST)
 WORDS_CACHE = 300_000
@@ -124,17 +127,20 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted rows: pairs of sets close in one order, and the rows at the partition's two ends (a is null)."""
+    """Of sorted rows: pairs of sets close in one order, the rows at the partition's two ends (a is null), and the rows
+    of regions that are crowded or go on in another partition (b is null)."""
     held: list[tuple[int, bytes, int]] = []  # the last NEAR rows
     first: list[tuple[int, bytes, int]] = []
     region: tuple[int, bytes] | None = None
     pivot = 0
+    few: list[tuple[int, int, bytes]] | None = None  # rows of a region that is not crowded so far
     for batch in batches:
-        a, b = [], []
+        a, b, crowd = [], [], []
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             tree, path, i = row
             here = (tree, path[:PREFIX])
             if here != region:
+                few = None if region is None else []
                 region, pivot, held = here, i, []
             else:
                 for _, _, j in held:
@@ -144,11 +150,21 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     a.append(i)
                     b.append(pivot)
                 pivot = min(pivot, i)
+            if few is None:
+                crowd.append((i, *here))
+            else:
+                few.append((i, *here))
+                if len(few) > NEAR + 1:
+                    crowd, few = crowd + few, None
             held = [*held[1 - NEAR :], row] if len(held) == NEAR else [*held, row]
             if len(first) < NEAR:
                 first.append(row)
         if a:
             yield _pairs(a, b)
+        if crowd:
+            yield _crowd(crowd)
+    if few:
+        yield _crowd(few)
     yield pa.RecordBatch.from_arrays(
         [
             pa.nulls(len(first) + len(held), pa.int64()),
@@ -168,21 +184,29 @@ def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
     )
 
 
+def _crowd(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    i, tree, path = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(i, pa.int64()), pa.nulls(len(i), pa.int64()), pa.array(tree, pa.int32()), pa.array(path, pa.binary())], names=["a", "b", "tree", "path"]
+    )
+
+
 PAIR_SCHEMA = "a long, b long, tree int, path binary"
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a > b, of sets (id, sig) that are neighbours in the forest."""
+def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b), a > b, of sets (id, sig) that are neighbours in the forest; rows (tree, path, id) of crowded regions."""
     trees = sets.select("id", "sig").mapInArrow(_tree_rows, "tree int, path binary, id long")
     ranged = trees.repartitionByRange("tree", "path", "id").sortWithinPartitions("tree", "path", "id")
     found = stored(ranged.mapInArrow(_neighbours, PAIR_SCHEMA), "forest")
-    inside = found.filter("a is not null").select("a", "b")
+    inside = found.filter("a is not null and b is not null").select("a", "b")
+    crowds = found.filter("a is not null and b is null").select("tree", "path", F.col("a").alias("id"))
     # Where one partition ends and the next begins: a few rows a partition.
     edges = found.filter("a is null").select("tree", "path", F.col("b").alias("id")).distinct()
     near = Window.partitionBy("tree", F.substring("path", 1, PREFIX)).orderBy("path", "id")
     across = edges.select("id", *[F.lead("id", k).over(near).alias(f"n{k}") for k in range(1, NEAR + 1)])
     across = across.select("id", F.explode(F.array(*[f"n{k}" for k in range(1, NEAR + 1)])).alias("o")).filter("o is not null and o != id")
-    return inside.union(across.select(F.greatest("id", "o").alias("a"), F.least("id", "o").alias("b"))).distinct()
+    return inside.union(across.select(F.greatest("id", "o").alias("a"), F.least("id", "o").alias("b"))).distinct(), crowds
 
 
 def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -260,6 +284,114 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def dealt(members: DataFrame, data: DataFrame) -> DataFrame:
+    """Rows (tree, path, block, visitor, id, component) of regions with several components, with the columns of ``data`` (by id).
+
+    Any two members of different components meet in one block, one of them as a visitor. Rows of a block follow each other, visitors last.
+    """
+    sizes = members.groupBy("tree", "path", "component").agg(F.count("*").alias("n"))
+    regions = sizes.groupBy("tree", "path").agg(F.sum("n").alias("m"), F.count("*").alias("k"), F.max_by("component", F.struct("n", "component")).alias("major"))
+    # Large regions are spread over SALT keys.
+    regions = regions.filter("k > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    hashed = F.xxhash64("id")
+    inside = members.withColumn("salt", F.pmod(hashed, F.lit(SALT)).cast("int")).join(regions, ["tree", "path", "salt"])
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    home = F.pmod(F.shiftright(hashed, 8), blocks).cast("int")
+    visits = F.when(F.col("component") != F.col("major"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>"))
+    visits = F.transform(visits, lambda x: F.struct(x.alias("block"), F.lit(1).alias("visitor")))
+    places = F.concat(F.array(F.struct(home.alias("block"), F.lit(0).alias("visitor"))), visits)
+    rows = inside.select("tree", "path", "id", "component", F.explode(places).alias("at")).select("tree", "path", "at.block", "at.visitor", "id", "component")
+    return rows.join(data, "id").repartition("tree", "path", "block").sortWithinPartitions("tree", "path", "block", "visitor")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, bytes], bool, list[tuple]]]:
+    """Of sorted rows (tree, path, block, visitor, ...): region, whether residents (all of a block) or visitors (some), and the rest of each row.
+
+    Blocks without residents are left out.
+    """
+    key, rows, home = None, [], None
+    for batch in batches:
+        for tree, path, block, visitor, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            now = (tree, path, block, visitor)
+            if rows and (now != key or visitor and len(rows) == 64):
+                yield key[:2], bool(key[3]), rows
+                rows = []
+            key = now
+            if not visitor:
+                home = now[:3]
+            if home == now[:3]:
+                rows.append(row)
+    if rows:
+        yield key[:2], bool(key[3]), rows
+
+
+def hopeful(rows: DataFrame, percent: int) -> DataFrame:
+    """(tree, path, id) of dealt rows that sizes and signatures let be similar to one of another component."""
+    least = HASHES * (percent / 100 - SLACK)
+
+    def arrays(part: list[tuple]) -> tuple[np.ndarray, ...]:
+        i, c, n, low = zip(*part, strict=True)
+        return np.array(i), np.array(c), np.array(n), np.frombuffer(b"".join(low), np.uint8).reshape(-1, HASHES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (tree, path), visitors, part in _blocks(batches):
+            if not visitors:
+                i, c, n, low = arrays(part)
+                continue
+            x, y, z, own = arrays(part)
+            may = (c[None] != y[:, None]) & (100 * np.minimum(n[None], z[:, None]) >= percent * np.maximum(n[None], z[:, None]))
+            u, v = np.nonzero(may)
+            for at in range(0, len(u), 8192):
+                p, q = u[at : at + 8192], v[at : at + 8192]
+                may[p, q] = (own[p] == low[q]).sum(axis=1) >= least
+            found = np.union1d(x[may.any(axis=1)], i[may.any(axis=0)])
+            if len(found):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([tree] * len(found), pa.int32()), pa.array([path] * len(found), pa.binary()), pa.array(found)], names=["tree", "path", "id"]
+                )
+
+    ready = rows.select("tree", "path", "block", "visitor", "id", "component", "n", "low")
+    return ready.mapInArrow(run, "tree int, path binary, id long").distinct()
+
+
+def linked(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of dealt rows with whole sets, links that join all components that similar sets of one block join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, visitors, part in _blocks(batches):
+            if not visitors:  # postings of the residents' shingles
+                ids, of = [r[0] for r in part], np.array([r[1] for r in part])
+                s = [np.frombuffer(r[2], np.uint64) for r in part]
+                n = np.array([len(x) for x in s])
+                all_of, who = np.concatenate(s), np.repeat(np.arange(len(s)), n)
+                order = np.argsort(all_of, kind="stable")
+                values, starts, counts = np.unique(all_of[order], return_index=True, return_counts=True)
+                who, root = who[order], {}
+                continue
+            a, b = [], []
+            for i, c, t in part:
+                t = np.frombuffer(t, np.uint64)
+                c = root.get(c, c)
+                if (of == c).all():
+                    continue
+                at = np.minimum(np.searchsorted(values, t), len(values) - 1)
+                at = at[values[at] == t]
+                ends = np.cumsum(counts[at])
+                places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - ends + counts[at], counts[at])
+                both = np.bincount(who[places], minlength=len(ids))
+                for j in np.nonzero(100 * both >= percent * (n + len(t) - both))[0]:
+                    if of[j] != c:
+                        a.append(max(i, ids[j]))
+                        b.append(min(i, ids[j]))
+                        old = of[j]
+                        of[of == old] = c
+                        root = {k: c if r == old else r for k, r in root.items()} | {old: c}
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.select("tree", "path", "block", "visitor", "id", "component", "s").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: key, n_shingles, component_id, kept."""
     rows = stored(signatures(docs, key, text, size), "signatures")
@@ -268,7 +400,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # The signature of a set comes from the row whose id is the set's smallest.
     first_of = by_set.select("id", F.col("fp").alias("of"))
     sets = with_set.join(first_of, "id").filter("fp = of").dropDuplicates(["id"]).select("id", "n", "sig", "low")
-    pairs = stored(plausible(candidates(sets), sets, percent), "candidates")
+    near, crowds = candidates(sets)
+    pairs = stored(plausible(near, sets, percent), "candidates")
     # Each end is aggregated by itself: in a crowded region a set has up to TREES * (NEAR + 1) pairs, but is one id.
     ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
     whole = stored(_texts_of(docs, ids, key, text, size), "sets")
@@ -283,6 +416,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     )
     rest = confirmed(apart.select("a", "b").join(first, ["a", "b"], "left_anti"), whole, percent)
     joined = components(first.union(rest))
+    members = stored(crowds.join(joined, "id", "left").select("tree", "path", "id", F.coalesce("component", "id").alias("component")), "crowds")
+    hope = stored(hopeful(dealt(members, sets.select("id", "n", "low")), percent), "hopeful")
+    if not hope.isEmpty():
+        few = stored(_texts_of(docs, hope.select("id").distinct(), key, text, size), "sets")
+        more = stored(linked(dealt(members.join(hope, ["tree", "path", "id"]), few), percent), "links")
+        joined = joined if more.isEmpty() else components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     labelled = by_set.join(joined, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
     out = rows.select("id", "n", "fp").join(labelled, "fp", "left")
     component = F.coalesce("component", "id")

@@ -58,6 +58,29 @@ def test_near_duplicates(spark, odd, none):
     assert sorted(r["doc_id"] for r in near_dup.deduplicated(odd).collect()) == [1, 2, 3, 4, 5, 6, 7]
 
 
+def test_near_duplicates_in_a_crowd(spark):
+    """One-sided copies of one text, alike it and not each other, where it has the largest id; against brute force."""
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(f"x{i}" if k in own else w for k, w in enumerate(base))) for i in range(1100) for own in [set(rng.choice(400, 18, replace=False).tolist())]]
+    rows.append((5000, " ".join(base)))
+    sets = [near_dup.shingles(t) for _, t in rows]
+    values = np.unique(np.concatenate(sets))
+    m = np.zeros((len(sets), len(values)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, np.searchsorted(values, s)] = 1
+    shared = np.flatnonzero(m.sum(axis=0) > 1)
+    both, n = m[:, shared] @ m[:, shared].T, m.sum(axis=1)
+    link = 100 * both >= 80 * (n[:, None] + n[None] - both)
+    assert link[-1].sum() > 1000 and np.triu(link[:-1, :-1], 1).sum() < 50
+    want = np.arange(len(rows))
+    while (new := np.where(link, want[None], len(rows)).min(axis=1)).tolist() != want.tolist():
+        want = new
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs).collect()}
+    assert got == {i: rows[w][0] for (i, _), w in zip(rows, want, strict=True)}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(1, 20)] + [(30, 25)], "a long, b long")
     got = {r["id"]: r["component"] for r in near_dup.components(edges).collect()}

@@ -3,7 +3,8 @@
 The cost of a value is the least product of guesses over all its segmentations into dictionary
 words, dates, repeats, keyboard walks and brute-force spans (dynamic programming over its
 positions, log10). Values whose cost reaches ``MIN_LOG10`` are likely real secrets and add a
-``guess`` span; base spans always stay.
+``guess`` span, also where it goes on after a base span; base spans always stay. In values without a digit a run of letters that
+reads like a word costs ``WORD_LOG10`` at most, so that prose after a context is no secret.
 
 One pass over the rows, no shuffle. Defined results: null text counts as empty and has no spans;
 repeated rows are scanned one by one; whole texts are scanned, however long; a value longer than
@@ -28,13 +29,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Further credential contexts, whose values are kept only when they are costly to guess.
 CONTEXT = re.compile(
-    r"""(?i:pwd|passphrase|passcode|credentials?|auth|bearer|private_?key|access_?key|client_?id|signature|session_?id|cookie)["']?\x20*(?:[:=]|\x20is\x20|\x20)\x20*["']?([^\x00-\x20"'<>,;]{8,})""",
+    r"""(?i:(?:(?:password|passwd|secret|token|(?:api|secret)[_\x20-]?key)["']?\x20*(?:[:=]|\x20is\x20)|(?:pwd|passphrase|passcode|credentials?|auth|bearer|private_?key|access_?key|client_?id|signature|session_?id|cookie)["']?\x20*(?:[:=]|\x20is\x20|\x20)))\x20*["']?([^\x00-\x20"'<>,;]{8,})""",
     re.ASCII,
 )
 HINTS = ("passw", "secret", "token", "key")
-CONTEXT_HINTS = ("pwd", "passphrase", "passcode", "credential", "auth", "bearer", "key", "client", "signature", "session", "cookie")
+CONTEXT_HINTS = ("passw", "secret", "token", "pwd", "passphrase", "passcode", "credential", "auth", "bearer", "key", "client", "signature", "session", "cookie")
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10 = 12.0
+WORD_LOG10 = 5.0
 MAX_DP = 64
 
 #: Common words inside passwords, by falling frequency.
@@ -48,6 +50,8 @@ LEET = str.maketrans("0134578@$!", "oleastbasi")
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz")
 NEXT = {(r[i], r[i + d]) for r in ROWS for d in (1, -1) for i in range(len(r)) if 0 <= i + d < len(r)}
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?")
+LETTERS = re.compile(r"[^\W\d_]{4,}")
+CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]{6,}")
 LONGEST_WORD = max(map(len, WORDS))
 
 
@@ -59,6 +63,14 @@ def _alphabet(value: str) -> int:
     ) or 1
 
 
+def _readable(value: str) -> dict[int, int]:
+    """End to start of runs of letters of one case, or capitalised, that read like words; none if the value has a digit."""
+    if any(c.isdigit() for c in value):
+        return {}
+    runs = ((m, m[0]) for m in LETTERS.finditer(value))
+    return {m.end(): m.start() for m, w in runs if (w[1:].islower() or w.isupper()) and re.search("[^b-df-hj-np-tv-xz]", w.lower()) and not CONSONANTS.search(w.lower())}
+
+
 def _cost(value: str) -> float:
     """log10 of the least guesses over all segmentations of at most MAX_DP code points."""
     n, lower = len(value), value.lower()
@@ -68,6 +80,7 @@ def _cost(value: str) -> float:
     best = [0.0] + [math.inf] * n
     walk = 1  # length of the keyboard walk that ends here
     run = 1
+    words = _readable(value)
     for j in range(1, n + 1):
         best[j] = best[j - 1] + step
         for i in range(max(0, j - LONGEST_WORD), j - 2):
@@ -76,6 +89,8 @@ def _cost(value: str) -> float:
                 best[j] = min(best[j], best[i] + math.log10(rank + 10) + extra)
             elif rank := RANK.get(plain[i:j]):
                 best[j] = min(best[j], best[i] + math.log10(rank + 10) + math.log10(4.0 + j - i))
+        if j in words:
+            best[j] = min(best[j], best[words[j]] + WORD_LOG10)
         for size in (4, 6, 7, 8, 10):
             if size <= j and DATE.fullmatch(value, j - size, j):
                 best[j] = min(best[j], best[j - size] + (2.1 if size == 4 else 4.6))
@@ -114,7 +129,7 @@ def find(text: str | None, min_log10: float = MIN_LOG10) -> tuple[list[tuple[int
     if any(h in low for h in CONTEXT_HINTS):
         for m in CONTEXT.finditer(text):
             a, b = m.span(1)
-            if guess_cost(m[1]) >= min_log10 and any(c.isdigit() for c in m[1]) and not any(s < b and a < e for s, _, e in base):
+            if guess_cost(m[1]) >= min_log10 and not any(s <= a and b <= e for s, _, e in base):
                 more.append((a, 3, b))
     return base, more
 

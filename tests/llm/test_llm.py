@@ -98,6 +98,24 @@ def test_secrets(odd, none):
     assert secret_scan.guess_cost("aaaaaaaaaaaa") < 5 and secret_scan.guess_cost("20240131") < 6
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("password: p@9$Wq!z7Lk# end", "[SECRET] end"), ("my password is 7hG$kQ2!xZ9w end", "[SECRET] end"), ("secret_key = 9fK!s8Qz@1Lp end", "[SECRET] end"),
+        ("password = Tr0ub4dor&3xyzQ end", "[SECRET] end"), ("bearer kVqXzRtYpLwNbVcKj end", "[SECRET] end"), ("api key: q7!Lm2#Zt9@w end", "[SECRET] end"),
+        ("the bearer identification is here", None), ("our secret is information alone", None), ("password: 'aaaaaaaaaaaaaaaa!'", None),
+    ],
+)
+def test_secrets_in_main_contexts(text, want):
+    base, more = secret_scan.find(text)
+    out = secret_scan.redact(text, sorted(base + more))
+    if want is None:
+        assert not more
+    else:
+        value = next(m[1] for m in secret_scan.CONTEXT.finditer(text))
+        assert value not in out and out.endswith(want) and value[-4:] not in out
+
+
 def test_mixing(odd, none):
     rows = mixing.mix(odd, keep=["doc_id", "source"]).select("doc.*", "size", "source_size", "target", "taken").collect()
     assert len(rows) == len(ODD)

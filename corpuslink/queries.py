@@ -309,7 +309,12 @@ def rollup_entities(t):
 
 @query("""SELECT l_partkey, l_suppkey, count(*) AS n, array_to_string(list_sort(list(l_orderkey))[:8], ',') AS examples FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
 def rollup_review_queue(t):
-    g = t("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("l_orderkey")), 1, 8).cast("array<string>"), ",").alias("examples"))
+    keys, rows = ["l_partkey", "l_suppkey"], t("lineitem")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("l_orderkey"))
+    first = rows.filter("l_orderkey is not null").select(*keys, "l_orderkey").withColumn("r", place).filter("r <= 8")  # all that a list holds
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("l_orderkey", F.lit(None).cast("long"))
+    both = counts.unionByName(first.select(*keys, F.lit(0).cast("long").alias("n"), F.col("l_orderkey").cast("long")))
+    g = both.groupBy(*keys).agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list("l_orderkey")).cast("array<string>"), ",").alias("examples"))
     return g.filter("n > 1")
 
 
@@ -467,8 +472,8 @@ def documents_segments(t):
 @query("""SELECT DISTINCT c_custkey, c_name AS question, o_orderpriority AS name, 'o/' || o_orderkey AS link FROM customer JOIN orders ON c_custkey = o_custkey""")
 def documents_json_harvest(t):
     o = t("orders").select(F.col("o_custkey").alias("c_custkey"), F.struct(F.col("o_orderpriority").alias("topper_name"), F.concat(F.lit("o/"), "o_orderkey").alias("url")).alias("o"))
-    nested = t("customer").join(o, "c_custkey").groupBy("c_custkey", "c_name").agg(F.collect_list("o").alias("answers"))
-    body = nested.select("c_custkey", F.to_json(F.struct(F.col("c_name").alias("question"), F.struct("answers").alias("data"))).alias("body"))
+    answers = F.struct(F.array("o").alias("answers")).alias("data")  # a small document an order, however many a customer has
+    body = t("customer").join(o, "c_custkey").select("c_custkey", F.to_json(F.struct(F.col("c_name").alias("question"), answers)).alias("body"))
     return TR.harvested(body, "c_custkey", "body", ["question", "text"], ["topper_name", "name"], ["pdf_url", "url"])
 
 

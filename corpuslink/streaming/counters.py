@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -41,22 +42,26 @@ def quota_flags(events: DataFrame, keys: list[str], order: str, quota: int, ts:
 def anchored_quota(events: DataFrame, key: str, order: str, quota: int, seconds: float = 60.0, ts: str = "ts") -> DataFrame:
     """Per event: ok. A window opens at the first event after the last one's end; refused events don't extend it.
 
-    Batch twin: one group a key, in time order.
+    Batch twin: rows sorted by key and time pass by in batches; only the key, its count and its window's end are carried, so a key may have any number of events.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", order])
-        ok, count, reset = [], 0, float("-inf")
-        for t in pdf["at"]:
-            if t >= reset:
-                count, reset = 0, t + seconds
-            ok.append(count < quota)
-            count += 1
-        return pdf.assign(ok=ok)[[key, order, "ok"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count, reset = None, 0, float("-inf")
+        for batch in batches:
+            ok = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != last:
+                    last, count, reset = k, 0, float("-inf")
+                if t is not None and t >= reset:
+                    count, reset = 0, t + seconds
+                ok.append(count < quota)
+                count += 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=[key, order, "ok"])
 
     rows = timed(events, ts).select(key, order, F.unix_micros(ts).cast("double").alias("us")).withColumn("at", F.col("us") / 1e6).drop("us")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, ok boolean")
+    ordered = rows.repartition(key).sortWithinPartitions(key, F.asc_nulls_last("at"), F.asc_nulls_last(order))
+    return ordered.mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, ok boolean")
 
 
 def anchored_quota_stream(events: DataFrame, key: str, order: str, quota: int, seconds: float = 60.0, ts: str = "ts") -> DataFrame:

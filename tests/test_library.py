@@ -62,6 +62,17 @@ def test_anchored_quota(spark):
     assert ok == {0: True, 1: True, 2: False, 3: False, 4: True}
 
 
+def test_unbounded_groups_stream(spark):
+    """No plan gathers all rows of a key; a key in many batches keeps its count; null keys and times have rows."""
+    for name, parts in (("stream_anchored_quota", ("FlatMapGroups",)), ("documents_json_harvest", ("collect_list",))):
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(x in plan for x in parts), name
+    assert "row_number" in QUERIES["rollup_review_queue"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 != 0, 1).alias("k"), "id", F.timestamp_seconds(F.floor(F.col("id") / 3)).alias("ts"))
+    got = C.anchored_quota(rows, "k", "id", 2).groupBy("k").agg(F.count("*").alias("n"), F.count_if("ok").alias("ok")).collect()
+    assert {tuple(r) for r in got} == {(1, 20_000, 2 * 167), (None, 10_000, 2 * 167)}
+
+
 def test_grid_to_records(spark):
     grid = spark.createDataFrame(
         [("f", "s", 0, ["Disclaimer: none", None]), ("f", "s", 1, ["Name", "Question Text"]), ("f", "s", 2, ["Ann", "Why?"]), ("f", "s", 3, ["", "How?"])],

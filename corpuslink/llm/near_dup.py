@@ -1,7 +1,7 @@
 """MinHash near-duplicates by an LSH forest.
 
 1. One pass over the texts makes, per document, the fingerprint of its shingle set and ``HASHES``
-   MinHash values. Documents with the same set collapse to the one of smallest id before anything else.
+   MinHash values. Documents with the same set collapse to one set, which gets a number of its own, before anything else.
 2. The forest: each of ``TREES`` orders sorts the sets by a signature of ``LEVELS`` values that starts at another place.
    Sorting is a range shuffle on (order, signature, id), so no group of copies is one key. A candidate of a
    set is a neighbour in some order with which it shares the first ``LEAST`` values: in a sparse region that is every
@@ -18,9 +18,10 @@ Memory and shuffles: whole texts are shuffled for documents with candidates, and
 is ids and signatures. A crowd of m sets that stay apart takes m * m comparisons a region. Chance of a miss: a pair of similarity s agrees on a tree's prefix with probability
 s**LEAST, so at 0.8 it is missed by all 32 trees with 0.59**32, below 1e-7.
 
-Defined results: null, empty or blank texts have no shingles, form their own component and are kept; repeated rows with one id
-give one row each, with the same component; words are split at ASCII white space and lower-cased in A-Z only;
-an empty table gives an empty table. Other columns are ignored by ``near_duplicates`` and kept by ``deduplicated``.
+Defined results: null, empty or blank texts have no shingles, form their own component and are kept; repeated rows give one row each; rows of
+one id with different texts are documents of their own, each in its text's component; a component of null ids only has a null id, others ignore
+null ids, and ``kept`` compares null-safe. Ids may be of any type that sorts. Words are split at ASCII white space and lower-cased in A-Z only;
+an empty table gives an empty table. Other columns are ignored by ``near_duplicates`` and kept by ``deduplicated``, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored
+from .common import checkpointed, discard, stored
 
 HASHES, TREES, LEAST, LEVELS, NEAR, SLACK, BLOCK, SALT = 128, 32, 4, 10, 3, 0.2, 256, 16
 #: Bytes of a path: a hash of the first LEAST values, then two of each further one.
@@ -83,12 +84,12 @@ def minhash(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Per row: id, n (set size), fp (fingerprint of the set), sig (MinHash values, big-endian), low (their low bytes)."""
+    """Per row: k (its id), t (hash of its text), n (set size), fp (fingerprint of the set), sig (MinHash values, big-endian), low (their low bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, fp, sig, low = [], [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 s = shingles(t.as_py(), size)
                 n.append(len(s))
                 fp.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
@@ -96,11 +97,20 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 sig.append(None if m is None else m.astype(">u4").tobytes())
                 low.append(None if m is None else m.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())],
-                names=["id", "n", "fp", "sig", "low"],
+                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())],
+                names=["k", "t", "n", "fp", "sig", "low"],
             )
 
-    return docs.select(key, text).mapInArrow(run, "id long, n long, fp binary, sig binary, low binary")
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), text).mapInArrow(run, f"k {kind}, t long, n long, fp binary, sig binary, low binary")
+
+
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """One row a set of ``signatures``: id (a number of its own), first (the least row that has it: no_id, k, t), n, fp, sig, low."""
+    first = F.struct(F.col("k").isNull().alias("no_id"), "k", "t")
+    same = [F.first(c).alias(c) for c in ("n", "sig", "low")]  # functions of the set
+    by_set = rows.filter("fp is not null").groupBy("fp").agg(F.min(first).alias("first"), *same)
+    return by_set.withColumn("id", F.monotonically_increasing_id())
 
 
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,16 +239,18 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "low_a", "low_b").mapInArrow(run, "a long, b long")
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Whole shingle sets (id, s) of the documents in ``ids``; these have no bound, so they are never broadcast."""
+def _texts_of(docs: DataFrame, sets: DataFrame, ids: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """Whole shingle sets (id, s) of the ``sets`` in ``ids``, from the first row of each; these have no bound, so they are never broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = [shingles(t.as_py(), size).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.binary())], names=["id", "s"])
 
-    chosen = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids.hint("merge"), "id", "left_semi")
-    return chosen.dropDuplicates(["id"]).mapInArrow(run, "id long, s binary")
+    wanted = sets.join(ids, "id").select("id", F.xxhash64("first.k").alias("h"), F.col("first.t").alias("t"))
+    rows = docs.select(F.xxhash64(key).alias("h"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    chosen = rows.join(wanted.hint("merge"), ["h", "t"]).dropDuplicates(["h", "t"])
+    return chosen.select("id", "text").mapInArrow(run, "id long, s binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -392,19 +404,15 @@ def linked(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("tree", "path", "block", "visitor", "id", "component", "s").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
-    """Per row of ``docs``: key, n_shingles, component_id, kept."""
+def labelled(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """Per row of ``docs``: k, t, n, fp, and best, the least (no_id, k, t) of its component; best is null for rows without shingles."""
     rows = stored(signatures(docs, key, text, size), "signatures")
-    with_set = rows.filter("fp is not null")
-    by_set = with_set.groupBy("fp").agg(F.min("id").alias("id"))
-    # The signature of a set comes from the row whose id is the set's smallest.
-    first_of = by_set.select("id", F.col("fp").alias("of"))
-    sets = with_set.join(first_of, "id").filter("fp = of").dropDuplicates(["id"]).select("id", "n", "sig", "low")
+    sets = stored(distinct_sets(rows), "distinct")
     near, crowds = candidates(sets)
     pairs = stored(plausible(near, sets, percent), "candidates")
     # Each end is aggregated by itself: in a crowded region a set has up to TREES * (NEAR + 1) pairs, but is one id.
     ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
-    whole = stored(_texts_of(docs, ids, key, text, size), "sets")
+    whole = stored(_texts_of(docs, sets, ids, key, text, size), "sets")
     first = stored(confirmed(pairs.groupBy("a").agg(F.min("b").alias("b")), whole, percent), "links")
     # One step towards the smallest: pairs that this already joins need no test.
     label = first.alias("x").join(first.alias("y"), F.col("x.b") == F.col("y.a"), "left").select(
@@ -416,21 +424,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     )
     rest = confirmed(apart.select("a", "b").join(first, ["a", "b"], "left_anti"), whole, percent)
     joined = components(first.union(rest))
+    discard(whole, pairs, first)
     members = stored(crowds.join(joined, "id", "left").select("tree", "path", "id", F.coalesce("component", "id").alias("component")), "crowds")
     hope = stored(hopeful(dealt(members, sets.select("id", "n", "low")), percent), "hopeful")
     if not hope.isEmpty():
-        few = stored(_texts_of(docs, hope.select("id").distinct(), key, text, size), "sets")
+        few = stored(_texts_of(docs, sets, hope.select("id").distinct(), key, text, size), "sets")
         more = stored(linked(dealt(members.join(hope, ["tree", "path", "id"]), few), percent), "links")
         joined = joined if more.isEmpty() else components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-    labelled = by_set.join(joined, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
-    out = rows.select("id", "n", "fp").join(labelled, "fp", "left")
-    component = F.coalesce("component", "id")
-    return out.select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept")
-    )
+        discard(few)
+    discard(members)
+    numbered = sets.select("id", "fp", "first").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    best = numbered.groupBy("component").agg(F.min("first").alias("best"))
+    return rows.select("k", "t", "n", "fp").join(numbered.join(best, "component").select("fp", "best"), "fp", "left")
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the smallest id, and its first row if the id is repeated."""
-    keep = near_duplicates(docs, key, text, size, percent).filter("kept").select(key).distinct()
-    return docs.join(keep, key, "left_semi").dropDuplicates([key])
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
+    """Per row of ``docs``: key, n_shingles, component_id, kept."""
+    out = labelled(docs, key, text, size, percent)
+    component = F.when(F.col("best").isNull(), F.col("k")).otherwise(F.col("best.k"))
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("k").eqNullSafe(component).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest id, and of several with this id the one of least text hash.
+
+    Documents without shingles all stay; of rows repeated in id and text, one does.
+    """
+    out = labelled(docs, key, text, size, percent)
+    keep = out.filter("best is null or (k <=> best.k and t = best.t)").select(F.xxhash64("k").alias("h"), "t").distinct()
+    rows = docs.select(F.xxhash64(key).alias("h"), F.xxhash64(text).alias("t"), F.struct("*").alias("doc"))
+    return rows.join(keep, ["h", "t"], "left_semi").dropDuplicates(["h", "t"]).select("doc.*")

@@ -1,16 +1,20 @@
 """Chat formatting of reply trees.
 
-Messages point to their parents. Root-to-leaf paths come from iterative self-joins with doubled steps: after
-round k every leaf knows its 2**k nearest ancestors, so a thread of n turns takes log2(n) rounds over ids alone. Branches are
-ranked by their score; each chosen path becomes one conversation. A turn is formatted by itself, and turns are written and read back
-in order, one stream per conversation: no task holds a conversation whole.
+Messages point to their parents. Paths come from iterative self-joins with doubled steps. First every node learns
+its distance and summed score from the root: after round k its pointer is 2**k ancestors up, so a thread of n turns takes log2(n) rounds
+of one narrow row a node. Leaves are ranked by the score of their path before any path is written out; only the chosen ones are
+enumerated, again by doubled steps, so work and rows grow with messages and chosen paths, not with leaves times depth. Each chosen path becomes
+one conversation. A turn is formatted by itself, and turns are written and read back in order, one stream per conversation: no task holds a
+conversation whole.
 
 Template: ``[INST]`` user ``[/INST]``, ``<<SYS>>`` system ``<</SYS>>``, assistant ``</s>``, any other role
 ``[ROLE]`` role ``[AS]`` text ``[/ROLE]``. Inside texts and roles a backslash goes before each ``[``, ``<`` and backslash, so no control
 string can begin there, and reading takes the backslashes away.
 
-Defined results: null text and null role count as empty; repeated rows are turns of their own, in order of (turn, role, text);
-messages whose chain of parents never reaches a root (a missing parent or a cycle) belong to no path.
+Defined results: null text and null role count as empty. In linear conversations repeated rows are turns of their own, in order of (turn, role, text).
+In trees, of several rows with one (tree, node) the least by (parent, score, role, text) counts, nulls first; a null parent makes a root; messages whose
+chain of parents never reaches a root (a missing parent or a cycle) belong to no path; a null score counts 0; of equal paths the one
+of the smaller leaf wins. Trees may have any type that sorts. An empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,34 +32,58 @@ from .common import checkpointed
 _BODY = r"((?:[^\[<\\]++|\\.)*+)"
 TURN = re.compile(rf"\[INST\]{_BODY}\[/INST\]|<<SYS>>{_BODY}<</SYS>>|\[ROLE\]{_BODY}\[AS\]{_BODY}\[/ROLE\]|{_BODY}</s>", re.DOTALL)
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
-MAX_ROUNDS = 40
-
-
-def paths(messages: DataFrame, tree: str, node: str, parent: str, score: str) -> DataFrame:
-    """(tree, leaf, node, place, path_score) of every root-to-leaf path; place counts from the root, 0."""
-    nodes = messages.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("up"), F.col(score).cast("double").alias("score"))
-    nodes = checkpointed(nodes)
+#: Turns a bucket when the turns of one conversation are numbered.
+TURNS = 4096
+
+
+def distinct_nodes(messages: DataFrame) -> DataFrame:
+    """(tree, node, up, score, role, text): the least row of each (tree, node)."""
+    rest = F.struct("up", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), "role", "text")
+    return messages.groupBy("tree", "node").agg(F.min(rest).alias("m")).select("tree", "node", "m.*")
+
+
+def climbed(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Of nodes (tree, node, up, score): (tree, node, path_score, depth) of those that reach a root, depth 0 at the root; and the jump
+    tables (tree, node, up) of 1, 2, 4 ... ancestors.
+
+    A round that settles no further node ends it: the rest hang on a cycle. Those whose chain meets a missing parent drop out.
+    """
+    done = nodes.filter("up is null").select("tree", "node", F.col("score").alias("path_score"), F.lit(0).cast("long").alias("depth"))
+    open_ = nodes.filter("up is not null").select("tree", "node", "up", "score", F.lit(1).cast("long").alias("steps"))
+    done, open_, jumps = checkpointed(done), checkpointed(open_), []
+    while (left := open_.count()) and (not jumps or left < before):
+        before = left
+        jumps.append(open_.select("tree", "node", "up"))
+        on = lambda x: (F.col("o.tree") == F.col(f"{x}.tree")) & (F.col("o.up") == F.col(f"{x}.node"))
+        settled = open_.alias("o").join(done.alias("d"), on("d")).select(
+            "o.tree", "o.node", (F.col("o.score") + F.col("d.path_score")).alias("path_score"), (F.col("o.steps") + F.col("d.depth")).alias("depth")
+        )
+        further = open_.alias("o").join(open_.alias("p"), on("p")).select(
+            "o.tree", "o.node", "p.up", (F.col("o.score") + F.col("p.score")).alias("score"), (F.col("o.steps") + F.col("p.steps")).alias("steps")
+        )
+        done, open_ = checkpointed(done.union(settled)), checkpointed(further)
+    return done, jumps
+
+
+def best_leaves(nodes: DataFrame, reached: DataFrame, per_tree: int) -> DataFrame:
+    """(tree, leaf, depth, path_score): of each tree the ``per_tree`` leaves of highest path score."""
     inner = nodes.filter("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    path = nodes.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("dist"))
-    jump = nodes.filter("up is not null").select("tree", "node", "up")
-    for k in range(MAX_ROUNDS):
-        more = path.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("dist") + 2**k).alias("dist"))
-        more = checkpointed(more)
-        if more.isEmpty():
-            break
-        path = checkpointed(path.union(more))
-        far = jump.alias("x").join(jump.alias("y"), (F.col("x.tree") == F.col("y.tree")) & (F.col("x.up") == F.col("y.node")))
-        jump = checkpointed(far.select("x.tree", "x.node", "y.up"))
-    known = path.join(nodes, ["tree", "node"])
-    whole = known.groupBy("tree", "leaf").agg(F.max("dist").alias("depth"), F.sum("score").alias("path_score"), F.max(F.col("up").isNull()).alias("rooted"))
-    return known.join(whole.filter("rooted"), ["tree", "leaf"]).select("tree", "leaf", "node", (F.col("depth") - F.col("dist")).alias("place"), "path_score")
-
-
-def best_paths(found: DataFrame, per_tree: int = 1) -> DataFrame:
-    """The ``per_tree`` paths of highest score of each tree; ties go to the smaller leaf."""
-    leaves = found.select("tree", "leaf", "path_score").distinct()
+    leaves = reached.join(inner, ["tree", "node"], "left_anti").withColumnRenamed("node", "leaf")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf"))
-    return found.join(leaves.withColumn("r", rank).filter(F.col("r") <= per_tree).select("tree", "leaf"), ["tree", "leaf"])
+    return leaves.withColumn("r", rank).filter(F.col("r") <= per_tree).select("tree", "leaf", "depth", "path_score")
+
+
+def best_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
+    """(tree, leaf, node, place, path_score) of the ``per_tree`` root-to-leaf paths of highest score in each tree of distinct nodes; place counts
+    from the root, 0."""
+    nodes = checkpointed(messages.select("tree", "node", "up", "score"))
+    reached, jumps = climbed(nodes)
+    path = best_leaves(nodes, reached, per_tree).select("tree", "leaf", F.col("leaf").alias("node"), F.col("depth").alias("place"), "path_score")
+    path = checkpointed(path)
+    for k, jump in enumerate(jumps):
+        more = path.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("place") - 2**k).alias("place"), "path_score")
+        path = checkpointed(path.union(more))
+    return path
 
 
 def escaped(c: Column) -> Column:
@@ -96,9 +124,9 @@ def digests(turns: DataFrame, partitions: int) -> DataFrame:
     """Per conversation, from formatted turns (tree, place, piece): what reading them back gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, state = None, None
+        tree, state, kind_of_tree = None, None, None
         for batch in batches:
-            done = []
+            done, kind_of_tree = [], batch.column(0).type
             for t, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if state is None or t != tree:
                     if state is not None:
@@ -111,19 +139,19 @@ def digests(turns: DataFrame, partitions: int) -> DataFrame:
                     if role == "assistant":
                         state[2] += len(text)
                         state[3].update(text.encode())
-            yield _rows(done)
+            yield _rows(done, batch.column(0).type)
         if state is not None:
-            yield _rows([(tree, *state)])
+            yield _rows([(tree, *state)], kind_of_tree)
 
     kind = turns.schema["tree"].dataType.simpleString()
     ordered = turns.repartition(partitions, "tree").sortWithinPartitions("tree", "place").select("tree", "piece")
     return ordered.mapInArrow(run, f"tree {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def _rows(done: list[tuple]) -> pa.RecordBatch:
+def _rows(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([r[0] for r in done], pa.int64()), pa.array([r[1] for r in done], pa.int64()),
+            pa.array([r[0] for r in done], kind), pa.array([r[1] for r in done], pa.int64()),
             pa.array([r[2].hexdigest() for r in done], pa.string()), pa.array([r[3] for r in done], pa.int64()),
             pa.array([r[4].hexdigest() for r in done], pa.string()), pa.array([r[5] for r in done], pa.int64()),
         ],
@@ -132,16 +160,30 @@ def _rows(done: list[tuple]) -> pa.RecordBatch:
 
 
 def threads(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Linear conversations as reply trees: (tree, node, up, score, role, text), each turn a reply to the one before."""
-    order = Window.partitionBy(conv).orderBy(F.col(turn).asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    node = F.row_number().over(order)
-    rows = conversations.select(F.col(conv).cast("long").alias("tree"), node.alias("node"), "role", "text")
-    return rows.withColumn("up", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.length(F.coalesce("text", F.lit(""))).cast("double"))
+    """Linear conversations as reply trees: (tree, node, up, score, role, text), each turn (a whole number) a reply to the one before.
+
+    Turns are counted in buckets of TURNS numbers, and rows are numbered inside theirs, so a long conversation is many tasks.
+    The tree is a struct of the conversation's id, which joins where the id is null, too.
+    """
+    rows = conversations.select(F.struct(F.col(conv).alias("id")).alias("tree"), F.col(turn).cast("long").alias("turn"), "role", "text")
+    rows = rows.withColumn("bucket", F.coalesce(F.floor(F.col("turn") / TURNS), F.lit(-(2**62))))
+    counts = rows.groupBy("tree", "bucket").agg(F.count("*").alias("n"))
+    starts = counts.withColumn("start", F.sum("n").over(Window.partitionBy("tree").orderBy("bucket")) - F.col("n")).drop("n")
+    order = Window.partitionBy("tree", "bucket").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    known = rows.withColumn("i", F.row_number().over(order)).join(starts, ["tree", "bucket"])
+    numbered = known.select("tree", (F.col("start") + F.col("i")).alias("node"), "role", "text")
+    return numbered.select(
+        "tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("up"), F.length(F.coalesce("text", F.lit(""))).cast("double").alias("score"), "role", "text"
+    )
+
 
+def conversations_formatted(messages: DataFrame, per_tree: int = 1, distinct: bool = False) -> DataFrame:
+    """(tree, leaf, place, role, text, piece) of the best paths of ``messages`` (tree, node, up, score, role, text).
 
-def conversations_formatted(messages: DataFrame, per_tree: int = 1) -> DataFrame:
-    """(tree, leaf, place, role, text, piece) of the best paths of ``messages`` (tree, node, up, score, role, text)."""
-    chosen = best_paths(paths(messages, "tree", "node", "up", "score"), per_tree)
-    return chosen.join(messages.select("tree", "node", "role", "text"), ["tree", "node"]).select(
+    ``distinct``: no (tree, node) is repeated and no score is null, so the rows need no look at that.
+    """
+    nodes = messages if distinct else distinct_nodes(messages)
+    chosen = best_paths(nodes, per_tree)
+    return chosen.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"]).select(
         "tree", "leaf", "place", "role", "text", formatted(F.col("role"), F.col("text")).alias("piece")
     )

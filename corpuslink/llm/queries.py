@@ -43,9 +43,9 @@ def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text")
     )
-    turns = chat.conversations_formatted(chat.threads(rows.union(probe)))
+    turns = chat.conversations_formatted(chat.threads(rows.union(probe)), distinct=True)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return chat.digests(turns, n).withColumnRenamed("tree", "conv_id")
+    return chat.digests(turns, n).withColumn("tree", F.col("tree.id")).withColumnRenamed("tree", "conv_id")
 
 
 def op7_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

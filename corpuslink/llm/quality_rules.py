@@ -25,7 +25,7 @@ STOP_WORDS = (
     "le la les de des et un une du dans est que pour qui sur pas au par avec ce il sont plus en "
     "el los las y se del lo no con una su al es por como para"
 ).split()
-SYMBOLS = r"[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
 
 
 @dataclass(frozen=True)
@@ -60,45 +60,39 @@ RULES = (
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc`` (all input columns) with the counts of its text."""
-    trimmed = F.trim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
-    start = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"), trimmed.alias("trimmed"))
+    held = lambda chars: F.length("t") - F.length(F.translate("t", chars, ""))
+    start = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     parts = start.select(
         "doc",
-        "t",
-        F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", f"{SPACE}+")).alias("w"),
+        (F.length("t") - held(" \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
+        held(SYMBOLS).cast("long").alias("n_symbols"),
+        held("!").cast("long").alias("n_exclamations"),
+        F.array_remove(F.split("t", f"{SPACE}+"), "").alias("w"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("line"),
     )
-    n = F.size("w")
-    window = F.transform(
-        F.slice(F.arrays_zip(F.col("w"), F.slice("w", 2, n), F.slice("w", 3, n)), 1, F.greatest(n - 2, F.lit(0))),
-        lambda x, i: F.struct(
-            F.xxhash64(x["w"], x["1"], x["2"]).alias("h"), x["w"].alias("a"), x["1"].alias("b"), x["2"].alias("c"), i.alias("i")
-        ),
-    )
+    places = F.when(F.size("w") > 2, F.sequence(F.lit(0), F.size("w") - 3)).otherwise(F.array().cast("array<int>"))
     counted = parts.select(
-        "doc",
-        n.cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        F.regexp_count("t", F.lit("!")).cast("long").alias("n_exclamations"),
+        "doc", "word_chars", "n_symbols", "n_exclamations", "w",
         F.size("line").cast("long").alias("n_lines"),
         (F.size("line") - F.size(F.array_distinct("line"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("w", lambda x: x.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.sort_array(window).alias("s"),
-    )
-    # Equal windows are neighbours in the sorted array; the hash only makes comparing cheap.
+        F.sort_array(F.transform(places, lambda i: F.struct(F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("h"), i.alias("i")))).alias("s"),
+    )
+    # Windows of one hash are neighbours in the sorted array; their words are looked up only where hashes are equal.
+    word = lambda x, k: F.get("w", x["i"] + k)
     same = F.zip_with(
-        "s",
+        F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))),
         F.slice("s", 2, F.greatest(F.size("s"), F.lit(1))),
-        lambda x, y: F.when(
-            (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.array(x["i"], y["i"])
-        ),
-    )
-    begins = counted.withColumn("begin", F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull())))).drop("s")
-    covered = F.concat(
-        F.col("begin"), F.transform("begin", lambda x: x + 1), F.transform("begin", lambda x: x + 2)
+        lambda x, y: F.when((x["h"] == y["h"]) & (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2)), F.array(x["i"], y["i"])),
     )
-    return begins.withColumn("n_repeat_words", F.size(F.array_distinct(covered)).cast("long")).drop("begin")
+    begins = counted.select(
+        "doc", "word_chars", "n_symbols", "n_exclamations", "n_lines", "n_dup_lines",
+        F.size("w").cast("long").alias("n_words"),
+        F.size(F.filter("w", lambda x: x.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull())))).alias("begin"),
+    )
+    # A window covers three words, fewer where the next one begins sooner.
+    gaps = F.zip_with("begin", F.slice("begin", 2, F.greatest(F.size("begin"), F.lit(1))), lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))))
+    return begins.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)).drop("begin")
 
 
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", min_words: int = 50, repeat_percent: int = 50) -> DataFrame:

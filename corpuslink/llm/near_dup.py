@@ -434,8 +434,11 @@ def labelled(docs: DataFrame, key: str, text: str, size: int, percent: int) -> D
         discard(few)
     discard(members)
     numbered = sets.select("id", "fp", "first").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    best = numbered.groupBy("component").agg(F.min("first").alias("best"))
-    return rows.select("k", "t", "n", "fp").join(numbered.join(best, "component").select("fp", "best"), "fp", "left")
+    # A large component is SALT keys: its members' least rows are gathered a salt, and the least of these goes back to the salts.
+    numbered = numbered.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)))
+    part = numbered.groupBy("component", "salt").agg(F.min("first").alias("least"))
+    best = part.select("component", "salt").join(part.groupBy("component").agg(F.min("least").alias("best")), "component")
+    return rows.select("k", "t", "n", "fp").join(numbered.join(best, ["component", "salt"]).select("fp", "best"), "fp", "left")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80) -> DataFrame:

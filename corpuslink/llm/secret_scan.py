@@ -6,10 +6,13 @@ positions, log10). Values whose cost reaches ``MIN_LOG10`` are likely real secre
 ``guess`` span, also where it goes on after a base span; base spans always stay. In values without a digit a run of letters that
 reads like a word costs ``WORD_LOG10`` at most, so that prose after a context is no secret.
 
-One pass over the rows, no shuffle. Defined results: null text counts as empty and has no spans;
-repeated rows are scanned one by one; whole texts are scanned, however long; a value longer than
-``MAX_DP`` code points needs no dynamic programming on the rest of it, as cost only adds up: each
-piece of that length is costed and the costs are added.
+The dictionary is the list of common password words, then the ``DICTIONARY`` commonest words of all texts, counted by Spark; these are all
+that the driver gathers and sends out. Then one pass over the rows. One programme runs over a value of any length; a segment
+looks back over the whole of a run or walk, else ``BACK`` code points at most, so it takes time in proportion to the length, and it ends
+as soon as every way on costs MIN_LOG10.
+
+Defined results: null text counts as empty and has no spans; repeated rows are scanned one by one; whole texts are scanned, however long; ids may be
+of any type; an empty table gives an empty table; other columns are ignored by ``scan`` and kept by ``redacted``, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed patterns of the base rule; ASCII letters only in either case.
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -37,7 +40,7 @@ CONTEXT_HINTS = ("passw", "secret", "token", "pwd", "passphrase", "passcode", "c
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10 = 12.0
 WORD_LOG10 = 5.0
-MAX_DP = 64
+DICTIONARY, LEAST_COUNT, BACK, CACHE = 20_000, 5, 20, 20_000
 
 #: Common words inside passwords, by falling frequency.
 WORDS = (
@@ -52,7 +55,6 @@ NEXT = {(r[i], r[i + d]) for r in ROWS for d in (1, -1) for i in range(len(r)) i
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?")
 LETTERS = re.compile(r"[^\W\d_]{4,}")
 CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]{6,}")
-LONGEST_WORD = max(map(len, WORDS))
 
 
 def _alphabet(value: str) -> int:
@@ -71,49 +73,70 @@ def _readable(value: str) -> dict[int, int]:
     return {m.end(): m.start() for m, w in runs if (w[1:].islower() or w.isupper()) and re.search("[^b-df-hj-np-tv-xz]", w.lower()) and not CONSONANTS.search(w.lower())}
 
 
-def _cost(value: str) -> float:
-    """log10 of the least guesses over all segmentations of at most MAX_DP code points."""
+def guess_cost(value: str, ranks: dict[str, int] = RANK, enough: float = math.inf) -> float:
+    """log10 of the least guesses over all segmentations of ``value``; where they reach ``enough``, something not below it."""
     n, lower = len(value), value.lower()
     if len(lower) != n:  # a letter that has no single lower-case code point
         lower = value
     plain, step = lower.translate(LEET), math.log10(_alphabet(value))
     best = [0.0] + [math.inf] * n
-    walk = 1  # length of the keyboard walk that ends here
-    run = 1
+    walk = run = 1  # lengths of the keyboard walk and of the run that end here
     words = _readable(value)
+    inside = {j: a for b, a in words.items() for j in range(a, b)}
     for j in range(1, n + 1):
-        best[j] = best[j - 1] + step
-        for i in range(max(0, j - LONGEST_WORD), j - 2):
-            if rank := RANK.get(lower[i:j]):
-                extra = 0.0 if value[i:j] == lower[i:j] else math.log10(2.0 + j - i)
-                best[j] = min(best[j], best[i] + math.log10(rank + 10) + extra)
-            elif rank := RANK.get(plain[i:j]):
-                best[j] = min(best[j], best[i] + math.log10(rank + 10) + math.log10(4.0 + j - i))
+        cost = best[j - 1] + step
+        for i in range(max(0, j - BACK), j - 2):
+            if rank := ranks.get(lower[i:j]):
+                cost = min(cost, best[i] + math.log10(rank + 10) + (0.0 if value[i:j] == lower[i:j] else math.log10(2.0 + j - i)))
+            elif rank := ranks.get(plain[i:j]):
+                cost = min(cost, best[i] + math.log10(rank + 10) + math.log10(4.0 + j - i))
         if j in words:
-            best[j] = min(best[j], best[words[j]] + WORD_LOG10)
+            cost = min(cost, best[words[j]] + WORD_LOG10)
         for size in (4, 6, 7, 8, 10):
             if size <= j and DATE.fullmatch(value, j - size, j):
-                best[j] = min(best[j], best[j - size] + (2.1 if size == 4 else 4.6))
+                cost = min(cost, best[j - size] + (2.1 if size == 4 else 4.6))
         if j > 1:
             walk = walk + 1 if (lower[j - 2], lower[j - 1]) in NEXT else 1
             run = run + 1 if value[j - 2] == value[j - 1] else 1
         if walk >= 3:
-            best[j] = min(best[j], best[j - walk] + math.log10(40.0 * walk))
+            cost = min(cost, best[j - walk] + math.log10(40.0 * walk))
         if run >= 3:
-            best[j] = min(best[j], best[j - run] + step + math.log10(run))
-        for size in range(2, j // 2 + 1):  # a block said twice
+            cost = min(cost, best[j - run] + step + math.log10(run))
+        for size in range(2, min(BACK, j // 2) + 1):  # a block said twice
             if value[j - size : j] == value[j - 2 * size : j - size]:
-                best[j] = min(best[j], best[j - size] + math.log10(2.0))
+                cost = min(cost, best[j - size] + math.log10(2.0))
+        best[j] = cost
+        # No later segment begins before these places.
+        if cost >= enough and min(*best[max(0, j - BACK) : j + 1], best[j - walk], best[j - run], best[inside.get(j, j)]) >= enough:
+            return cost
     return best[n]
 
 
-@lru_cache(maxsize=20_000)
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that ``value`` takes; pieces of MAX_DP code points add up."""
-    return sum(_cost(value[i : i + MAX_DP]) for i in range(0, len(value), MAX_DP))
+def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY, least: int = LEAST_COUNT) -> dict[str, int]:
+    """Word to rank: the password words, then the ``size`` commonest words of four to BACK letters that all texts hold ``least`` times or more."""
+    words = docs.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("w")).filter(F.length("w").between(4, BACK))
+    counts = words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    common = [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(size).collect()]
+    return {w: i + 1 for i, w in reversed(list(enumerate([*WORDS, *common])))}
+
+
+class Costs(dict):
+    """Values met lately, and whether each costs ``least`` or more."""
+
+    def __init__(self, ranks: dict[str, int] = RANK, least: float = MIN_LOG10):
+        super().__init__()
+        self.ranks, self.least = ranks, least
+
+    def __missing__(self, value: str) -> bool:
+        if len(self) > CACHE:
+            self.clear()
+        high = guess_cost(value, self.ranks, self.least) >= self.least
+        if len(value) <= 200:
+            self[value] = high
+        return high
 
 
-def find(text: str | None, min_log10: float = MIN_LOG10) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def find(text: str | None, costly: Costs) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and added spans: (start, index of the kind, end), in code points, each list sorted."""
     if not text:
         return [], []
@@ -129,7 +152,7 @@ def find(text: str | None, min_log10: float = MIN_LOG10) -> tuple[list[tuple[int
     if any(h in low for h in CONTEXT_HINTS):
         for m in CONTEXT.finditer(text):
             a, b = m.span(1)
-            if guess_cost(m[1]) >= min_log10 and not any(s <= a and b <= e for s, _, e in base):
+            if not any(s <= a and b <= e for s, _, e in base) and costly[m[1]]:
                 more.append((a, 3, b))
     return base, more
 
@@ -153,11 +176,13 @@ def redact(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", min_log10: float = MIN_LOG10) -> DataFrame:
-    """Per row: key, counts of the base kinds, digest of the base spans, all spans, and the costs' summary."""
+    """Per row: key, counts of the base kinds, digest of the base spans, all spans, and the number of added ones."""
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary(docs, text))  # DICTIONARY words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        costly = Costs(shared.value, min_log10)
         for batch in batches:
-            rows = [find(t.as_py(), min_log10) for t in batch.column(1)]
+            rows = [find(t.as_py(), costly) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -179,13 +204,15 @@ def redacted(docs: DataFrame, text: str = "text", length: str = "n_chars", min_l
     """``docs`` with secrets replaced in ``text`` and ``length``, where present, made to fit."""
     names, schema = docs.columns, docs.schema
     at, size = names.index(text), names.index(length) if length in names else None
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary(docs, text))  # DICTIONARY words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        costly = Costs(shared.value, min_log10)
         for batch in batches:
             columns = list(batch.columns)
             new = []
             for t in columns[at]:
-                base, more = find(t := t.as_py(), min_log10)
+                base, more = find(t := t.as_py(), costly)
                 new.append(redact(t, sorted(base + more)))
             old = columns[at]
             columns[at] = pa.array(new, old.type)

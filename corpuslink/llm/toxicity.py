@@ -6,7 +6,10 @@ and the calibration are fitted by Spark ML on at most ``SAMPLE`` labelled rows,
 four of them is kept from the trees for the calibration. Scoring is one pass over whole texts without a shuffle.
 
 Defined results: null and empty texts are scored from their (zero) features; repeated rows are scored one by one; without
-labelled rows, or with labels of one class only, every score is the share of that class (0 without rows).
+labelled rows, or with labels of one class only, every score is the share of that class (0 without rows). Labels of 0.5 and more are toxic, null ones
+no labels. If the calibration part lacks a class, scores are the trees' own probabilities; if the trees' part lacks one, all labelled rows train the
+trees. Ids may be of any type; repeated labels of an id count as rows of their own. An empty table gives an empty table; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -69,11 +72,11 @@ def featured(docs: DataFrame, lexicon: frozenset[bytes], key: str, text: str, mo
 
 def sampled(labels: DataFrame, key: str, label: str, sample: int) -> DataFrame:
     """At most ``sample`` labelled ids, by the hash of the id: every part of the table alike."""
-    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, F.col(label).cast("double").alias("_y"))
+    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), (F.col(label) >= 0.5).cast("double").alias("_y"))
     total = max(1, known.count())
-    unit = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_000))
+    unit = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1_000_000))
     few = known.filter(unit < int(1_000_000 * min(1.0, 1.1 * sample / total)) + 1)
-    return few.orderBy(unit, key).limit(sample)
+    return few.orderBy(unit, "id").limit(sample)
 
 
 def learn_lexicon(rows: DataFrame, text: str) -> frozenset[bytes]:
@@ -106,21 +109,26 @@ class Lexicon:
 
 def score(docs: DataFrame, labels: DataFrame, learn_from, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
     """Per row of ``docs``: key and score. ``learn_from``: Column on ``labels`` that says which may be learned from."""
+    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("body"))
     chosen = stored(sampled(labels.filter(learn_from), key, label, sample), "chosen")  # at most `sample` rows of two numbers
-    rows = stored(docs.select(key, text).join(F.broadcast(chosen), key), "labelled")
-    classes = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
+    rows = stored(docs.join(F.broadcast(chosen), "id"), "labelled")
+    turn = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("id")), F.lit(CALIBRATION)) == 0
+    held = {(r["held"], r["_y"]) for r in rows.groupBy(turn.alias("held"), "_y").count().collect()}  # four rows at most
+    classes = {y for _, y in held}
     if len(classes) < 2:
-        return docs.select(key, F.lit(float(next(iter(classes), 0.0))).alias("score"))
-    lexicon = learn_lexicon(rows, text)
+        return docs.select(F.col("id").alias(key), F.lit(next(iter(classes), 0.0)).alias("score"))
+    lexicon = learn_lexicon(rows, "body")
     table = VectorAssembler(inputCols=FEATURES, outputCol="x")
-    known = stored(featured(rows, lexicon, key, text, "_y"), "features")
-    turn = F.pmod(F.xxhash64(F.lit("calibrate"), F.col(key)), F.lit(CALIBRATION))
+    known = stored(featured(rows, lexicon, "id", "body", "_y"), "features")
+    apart = len({y for part, y in held if not part}) == 2
     trees = GBTClassifier(featuresCol="x", labelCol="_y", maxIter=20, maxDepth=4, stepSize=0.2, maxBins=64, minInstancesPerNode=8, seed=7)
-    model = trees.fit(table.transform(known.filter(turn != 0)))
+    model = trees.fit(table.transform(known.filter(~turn) if apart else known))
     raw = vector_to_array("probability")[1].alias("raw")
-    held = model.transform(table.transform(known.filter(turn == 0))).select("_y", raw)
-    calibrated = IsotonicRegression(featuresCol="raw", labelCol="_y").fit(held)
-    scored = model.transform(table.transform(featured(docs, lexicon, key, text))).select(key, raw)
+    scored = model.transform(table.transform(featured(docs, lexicon, "id", "body"))).select(F.col("id").alias(key), raw)
+    if not apart or len({y for part, y in held if part}) < 2:
+        return scored.withColumnRenamed("raw", "score")
+    part = model.transform(table.transform(known.filter(turn))).select("_y", raw)
+    calibrated = IsotonicRegression(featuresCol="raw", labelCol="_y").fit(part)
     # A hundredth of the raw probability orders the ties that a step function leaves.
     value = 0.99 * F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0)) + 0.01 * F.col("raw")
     return calibrated.transform(scored).select(key, value.alias("score"))

@@ -1,14 +1,18 @@
 """Mixing sources to target weights: hash-random order, distributed prefix sums, exact cuts.
 
-Every document gets a random key, a hash of its id. Within a source the documents are ordered by
-that key; the key's top bits name one of ``BUCKETS`` ranges, so a prefix sum is the sum of the
+Every document gets a random key, a hash of its id and text. Within a source the documents are ordered by
+that key; the key's top bits name one of the ranges, about ``RANGE_ROWS`` documents each, so a prefix sum is the sum of the
 ranges before (a small aggregate per source and range) plus a running sum inside one range. A hot
 source is spread over all its ranges, and the sums are made before anything is shuffled. A source is
 cut at its exact budget: whole epochs first, then the documents before the cut, the one at the cut in part.
 
+Words are counted once, in a pass that writes a narrow table of (key, size, place). The mix joins the
+ranges' sums with rows dealt by the same columns, so documents are shuffled once.
+
 Defined results: a null or blank text has size 0 and is never taken; null is a source of its own,
 last in order; with no words at all every target is 0; repeated rows are separate documents, in a
-stable order of (key, id, size); other input columns are carried in the struct column ``doc``.
+stable order of (key, id, size), equal ones as they come, which gives the same rows; other input columns are carried in the struct column ``doc``, so
+their names can't clash; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,11 +20,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, stored
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-BUCKETS = 1024
+RANGE_ROWS = 20_000
 
 
 def sizes(text: str = "text"):
@@ -54,6 +58,27 @@ def budgets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epoch
     )
 
 
+def placed(docs: DataFrame, key: str, text: str, source: str, seed: int, keep: list[str] | None) -> DataFrame:
+    """doc (the columns in ``keep``, all if None), source, sk (the source as a key without nulls), key, size, h (random key), bucket (its range)."""
+    ranges = max(16, -(-docs.count() // RANGE_ROWS))
+    h = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
+    return docs.select(
+        F.struct(*(docs[c] for c in keep or docs.columns)).alias("doc"), F.col(source).alias("source"),
+        F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("sk"), F.col(key).alias("key"), sizes(text).alias("size"), h.alias("h"),
+        F.coalesce(F.floor((h.cast("double") / 2.0**64 + 0.5) * ranges).cast("int"), F.lit(0)).alias("bucket"),
+    )
+
+
+def cuts(narrow: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """A row a source and range: sk, bucket, start (words before it in its source), source_size, target."""
+    part = narrow.groupBy("source", "sk", "bucket").agg(F.sum("size").alias("part_size"))
+    before = Window.partitionBy("sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = part.select("sk", "bucket", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("start"))
+    goal = budgets(part.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, max_epochs)
+    goal = goal.select(F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("sk"), "source_size", "target")
+    return starts.join(goal, "sk")
+
+
 def mix(
     docs: DataFrame,
     key: str = "doc_id",
@@ -61,32 +86,16 @@ def mix(
     source: str = "source",
     weights: tuple[int, ...] = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
-    buckets: int = BUCKETS,
     seed: int = 17,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Per document: doc (the columns in ``keep``, all if None), size, source_size, target, taken (words, repeats counted), before (its place)."""
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    sized = docs.select(
-        F.struct(*(docs[c] for c in keep or docs.columns)).alias("doc"), F.col(source).alias("source"), F.col(key).alias("key"), sizes(text).alias("size"), h.alias("h"),
-        F.floor((h.cast("double") / 2.0**64 + 0.5) * buckets).cast("int").alias("bucket"),
-    )
-    part = sized.groupBy("source", "bucket").agg(F.sum("size").alias("part_size"))
-    source_of = Window.partitionBy("source")
-    starts = part.select(
-        "source",
-        "bucket",
-        (F.sum("part_size").over(source_of.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("part_size")).alias("start"),
-    )
-    goal = budgets(part.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, max_epochs)
-    fixed = starts.alias("a").join(goal.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(
-        "a.source", "bucket", "start", "source_size", "target"
-    )
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sized.withColumn("run", F.sum("size").over(inside) - F.col("size"))
-    joined = placed.alias("p").join(
-        fixed.alias("f"), F.col("p.source").eqNullSafe(F.col("f.source")) & (F.col("p.bucket") == F.col("f.bucket"))
-    )
+    rows = placed(docs, key, text, source, seed, keep)
+    if keep is not None:  # narrow rows: counted once, read twice
+        rows = stored(rows, "sizes")
+    fixed = stored(cuts(rows, weights, max_epochs), "cuts")
+    inside = Window.partitionBy("sk", "bucket").orderBy("h", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.withColumn("run", F.sum("size").over(inside) - F.col("size")).join(fixed.hint("merge"), ["sk", "bucket"])
     budget = F.floor("target")
     full = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     before = F.col("start") + F.col("run")

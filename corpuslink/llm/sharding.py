@@ -1,15 +1,15 @@
 """Sharding by balanced label propagation.
 
 Documents start in the shard of their id's hash. Linked documents (here: equal texts, joined through a hub a group) move, round
-by round, to the shard that most of their neighbours are in, as far as that shard's quota has room. Loads and
-quotas are 40-row tables. In the end, a shard keeps as many documents as the law ``rows`` gives it - linked ones before single
-ones - and what is over fills the gaps elsewhere, so counts differ by one at most.
+by round, to the shard with room that most of their neighbours are in; a group larger than the room there takes as many of its next best shards
+as it needs. Loads and quotas are 40-row tables. ``ROUNDS`` rounds are made, fewer if nothing moves. In the end, a shard keeps as many documents
+as the law ``rows`` gives it - linked ones before single ones - and what is over fills the gaps elsewhere, so counts differ by one at most.
 
-Places are distributed ranks: counts by (shard, bucket of hashes) are added up, and rows are numbered inside a bucket. Groups of
-any size are spread over the buckets. A group's votes are counted by (group, shard) before any shuffle by group.
+Places are distributed ranks: counts by (shard, bucket of hashes) are added up, and rows are numbered inside a bucket. Members of a group are
+dealt to SPREAD salts: counts, votes and decisions are made for (group, salt, shard) and joined on them, so a hot group is many keys.
 
-Defined results: null text has size 16, equals the empty text and is linked with it; repeated rows are documents of their own; an empty table gives
-an empty table; other columns are ignored.
+Defined results: null text has size 16, equals the empty text and is linked with it; repeated rows are documents of their own; null ids have a shard
+like others; an empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
-SHARDS, ROUNDS, BUCKETS, SPREAD = 40, 3, 64, 16
+SHARDS, ROUNDS, BUCKETS, SPREAD = 40, 6, 64, 16
 
 
 def ranked(rows: DataFrame, by: str, order: Column, spread: Column, last: list[str]) -> DataFrame:
@@ -37,36 +37,49 @@ def bucket(c: Column, n: int, seed: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), c), F.lit(n)).cast("int")
 
 
+def decisions(rows: DataFrame, cap: int) -> DataFrame:
+    """(grp, salt, shard, wish): which members of a group go where; ``rows`` are linked ones."""
+    part = rows.groupBy("grp", "salt", "shard").agg(F.count("*").alias("n"), F.max("members").alias("members"))
+    votes = part.groupBy("grp", "shard").agg(F.sum("n").alias("n"), F.max("members").alias("members"))
+    room = part.groupBy("shard").agg((F.lit(cap) - F.sum("n")).alias("room")).filter("room > 0")  # single documents make room in the end
+    best = Window.partitionBy("grp").orderBy(F.desc("n"), F.xxhash64("grp", "shard"))
+    open_ = votes.join(F.broadcast(room), "shard").withColumn("top", F.sum("room").over(best)).filter("top - room < members")  # a row a shard is sent
+    to = open_.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("top", "shard", "n"))).alias("to"))  # at most a shard each
+    leaving = votes.join(to, "grp").filter(~F.exists("to", lambda x: x["shard"] == F.col("shard")) & (F.col("n") <= F.col("to")[0]["n"]))
+    moving = part.select("grp", "salt", "shard").join(leaving.select("grp", "shard", "to"), ["grp", "shard"])
+    at = F.pmod(F.xxhash64(F.lit("to"), "grp", "salt", "shard"), F.lit(10_000)) / 10_000 * F.element_at("to", -1)["top"]
+    return moving.select("grp", "salt", "shard", F.filter("to", lambda x: x["top"] > at)[0]["shard"].alias("wish"))
+
+
 def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Per row: key, size, text_crc32, group, shard, slot."""
     t = F.coalesce(F.col(text), F.lit(""))
     narrow = docs.select(
         F.col(key).alias("id"), (F.octet_length(t) + 16).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("crc"), F.xxhash64(t).alias("h")
     ).withColumn("grp", F.xxhash64("size", "crc", "h"))
-    rows = stored(narrow.select("id", "size", "crc", "grp", bucket(F.struct("id", "crc"), shards, "shard").alias("shard")), "rows")
+    ident = F.struct("id", "crc")
+    rows = stored(narrow.select("id", "size", "crc", "grp", bucket(ident, SPREAD, "salt").alias("salt"), bucket(ident, shards, "shard").alias("shard")), "rows")
     total = rows.count()
     cap = -(-total // shards)
     # Only groups with two rows or more have links.
-    linked = stored(rows.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1"), "groups")
-    rows = stored(rows.join(linked, "grp", "left").withColumn("members", F.coalesce("members", F.lit(1))), "rows")
+    parts = rows.groupBy("grp", "salt").agg(F.count("*").alias("n"))
+    linked = parts.groupBy("grp").agg(F.sum("n").alias("members")).filter("members > 1")
+    linked = stored(parts.select("grp", "salt").join(linked, "grp"), "groups")
+    names = ["id", "size", "crc", "grp", "salt", "shard", "members"]
+    rows = stored(rows.join(linked, ["grp", "salt"], "left").withColumn("members", F.coalesce("members", F.lit(1))).select(*names), "rows")
     for _ in range(rounds):
-        votes = rows.filter("members > 1").groupBy("grp", "shard").agg(F.count("*").alias("n"))
-        wish = votes.groupBy("grp").agg(F.max_by("shard", F.struct("n", F.xxhash64("grp", "shard").alias("s"))).alias("wish"))
-        movers = rows.filter("members > 1").join(wish, "grp").filter("wish != shard")
-        moves = stored(movers.select("id", "size", "crc", "grp", "shard", "members", "wish"), "moves")
-        if moves.isEmpty():
+        moving = stored(decisions(rows.filter("members > 1"), cap), "moving")
+        if moving.isEmpty():
             break
-        load = rows.groupBy("shard").agg(F.count_if(F.col("members") > 1).alias("load"))  # single documents make room in the end
-        out = moves.groupBy("shard").agg(F.count("*").alias("leaving"))
-        room = load.join(out, "shard", "full").select(
-            F.col("shard").alias("wish"), (F.lit(cap) - F.coalesce("load", F.lit(0)) + F.coalesce("leaving", F.lit(0))).alias("room")
-        )
-        placed = ranked(moves, "wish", bucket(F.col("grp"), BUCKETS, "order"), bucket(F.struct("id", "shard"), SPREAD, "spread"), ["grp", "id", "crc"])
-        decided = placed.join(F.broadcast(room), "wish", "left").select(  # a row a shard
-            "id", "size", "crc", "grp", F.when(F.col("place") < F.coalesce("room", F.lit(cap)), F.col("wish")).otherwise(F.col("shard")).alias("shard"), "members"
-        )
-        still = rows.join(wish, "grp", "left").filter("wish is null or wish = shard").select("id", "size", "crc", "grp", "shard", "members")
-        rows = stored(still.union(decided), "rows")
+        both = rows.join(moving, ["grp", "salt", "shard"], "left")
+        room = rows.filter("members > 1").groupBy("shard").agg((F.lit(cap) - F.count("*")).alias("room")).withColumnRenamed("shard", "wish")
+        going = both.filter("wish is not null")
+        placed = ranked(going, "wish", bucket(F.col("grp"), BUCKETS, "order"), bucket(F.struct("id", "shard"), SPREAD, "spread"), ["grp", "id", "crc"])
+        there = F.when(F.col("place") < F.coalesce("room", F.lit(cap)), F.col("wish")).otherwise(F.col("shard"))
+        decided = placed.join(F.broadcast(room), "wish", "left").withColumn("shard", there)  # a row a shard is sent
+        new = stored(both.filter("wish is null").select(*names).union(decided.select(*names)), "rows")
+        discard(rows, moving)
+        rows = new
     return _settled(rows, total, shards).select(F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), "grp", "shard", "slot")
 
 

@@ -4,9 +4,11 @@ Each language has a codeword; one linear classifier per bit, over hashed byte n-
 that bit. Decoding takes the codeword of least loss-weighted distance: a wrong bit costs its logistic loss times the bit's
 accuracy on rows kept from the fit. Texts whose two nearest codewords are almost as near are flagged as ambiguous.
 
-Fitted on at most ``PER_LANGUAGE`` labelled rows of each language and ``ROWS`` in all, chosen by the hash of their id; scoring is one pass over whole texts
-without a shuffle. Defined results: ``und`` with score 0 if the text is null or has no letters, or if nothing could be learned;
-repeated rows are predicted one by one.
+Fitted on at most ``PER_LANGUAGE`` labelled rows of each language and ``ROWS`` in all (one of each, if there are more languages), chosen by
+the hash of their id; their n-gram vectors, ``ROWS`` times 8 KB, are gathered by the driver. Every language that has a row is learned. Scoring is one pass
+over whole texts without a shuffle. Defined results: ``und`` with score 0 if the text is null or has no letters, or if nothing could be learned;
+with one language, it is predicted with score 1; repeated rows are predicted one by one; ids may be of any type; an empty table gives an
+empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-PER_LANGUAGE, LANGUAGES, ROWS, BITS, SLOTS, AMBIGUOUS = 400, 64, 8192, 15, 4096, 0.1
+PER_LANGUAGE, ROWS, BITS, SLOTS, AMBIGUOUS = 400, 8192, 15, 4096, 0.1
 _LETTER = regex.compile(r"\p{L}").search
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 64 and c != 39 else c for c in range(256))
 
@@ -42,17 +44,22 @@ def grams(text: str) -> np.ndarray:
     return v / max(float(np.linalg.norm(v)), 1e-9)
 
 
-def codewords(n: int, bits: int = BITS) -> np.ndarray:
-    """n codewords of +1 and -1, chosen greedily for distance from 2**16 fixed pseudo-random ones; no bit is the same for all."""
-    if n <= 5:  # every split of up to five languages into two sides
+def codewords(n: int, bits: int = BITS, tries: int = 400) -> np.ndarray:
+    """n codewords of +1 and -1; no bit is the same for all.
+
+    Up to five languages: every split into two sides. More: of ``tries`` pseudo-random codes (fewer for very many languages) the one whose
+    nearest two codewords are farthest apart.
+    """
+    if n <= 5:
         splits = [s for s in itertools.product((1, -1), repeat=n) if s[0] == 1 and -1 in s]
         return np.array(splits).T if splits else np.ones((n, 1), int)
     rng = np.random.default_rng(12)
     best, least = None, -1
-    for _ in range(400):
+    for _ in range(max(3, min(tries, tries * 2**12 // n**2))):
         code = rng.choice([-1, 1], (n, max(bits, 4 * int(np.ceil(np.log2(n))))))
         code = code[:, np.abs(code.sum(axis=0)) < n]
-        apart = min((a != b).sum() for a, b in itertools.combinations(code, 2))
+        agree = code @ code.T - 2 * code.shape[1] * np.eye(n, dtype=int)
+        apart = (code.shape[1] - agree.max()) // 2
         if apart > least:
             best, least = code, apart
     return best
@@ -99,17 +106,19 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, learn_from, key: str, text: str, lang: str, per_language: int = PER_LANGUAGE) -> dict | None:
-    """Fit on at most ``per_language`` rows of each of the ``LANGUAGES`` commonest languages."""
-    known = docs.filter(learn_from & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r[lang]: r["count"] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
-    if not counts:
-        return None
+    """Fit on at most ``per_language`` rows of each language."""
     unit = F.pmod(F.xxhash64(F.lit("language"), F.col(key)), F.lit(10_000_000))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(10_000_000, int(10_000_000 * 1.5 * per_language / n) + 1))])
-    few = stored(known.filter(unit < F.element_at(share, F.col(lang))).select(lang, unit.alias("unit"), text), "language")
-    per_language = max(1, min(per_language, ROWS // len(counts)))
-    rank = F.row_number().over(Window.partitionBy(lang).orderBy("unit"))
-    rows = few.withColumn("r", rank).filter(F.col("r") <= per_language).select(text, lang).mapInArrow(_gram_rows, "name string, g binary").collect()
+    known = docs.filter(learn_from & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("name"), unit.alias("unit"), F.col(text).alias("body"))
+    counts = stored(known.groupBy("name").count(), "languages")  # a row a language
+    if not (total := counts.count()):
+        return None
+    # A share of each language that holds its rows of least hash, then their exact number.
+    below = counts.select("name", F.least(F.lit(10_000_000), (F.lit(10_000_000 * 1.5 * per_language) / F.col("count")).cast("long") + 1).alias("below"))
+    few = stored(known.join(below, "name").filter("unit < below").drop("below"), "language")
+    per_language = max(1, min(per_language, ROWS // total))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("unit", "body"))
+    rows = few.withColumn("r", rank).filter(F.col("r") <= per_language).select("body", "name").mapInArrow(_gram_rows, "name string, g binary").collect()
+    rows.sort(key=lambda r: (r["name"], bytes(r["g"])))  # the order in which rows arrive must not matter
     x = np.frombuffer(b"".join(r["g"] for r in rows), np.float16).reshape(len(rows), SLOTS).astype(np.float32)
     return fit(x, [r["name"] for r in rows])
 

@@ -5,9 +5,10 @@ indexed. A cell's vectors are dealt to chunks by the hash of their id, and each
 that holds a third of all rows is many tasks, and no task sees more than one chunk at a time. In a chunk, asymmetric distance tables rank the codes;
 the best ``rerank`` are measured exactly, in double precision, on the original vectors, and the chunk's best k are sent on.
 
-Equal codes are ordered by id, so among equal vectors the smaller ids stay. Defined results: vectors that are null, zero, or of
-another length than most, or hold null or non-finite components take no part, as query or candidate; repeated ids are separate candidates,
-except a query's own id; with fewer candidates than k, all are returned.
+Equal codes are ordered by id, so among equal vectors the smaller ids stay. ``probes=1.0`` with ``rerank=None`` is exact: all cells, and every row measured.
+Defined results: vectors that are null, zero, or of another length than most, or hold null or non-finite components take no part, as query or
+candidate, nor do rows without an id; repeated ids are separate candidates, except a query's own id; of several query rows with one id the least
+vector asks; with fewer candidates than k, all are returned; an empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -61,9 +62,12 @@ def fit(vectors: np.ndarray, total: int) -> dict:
 
 
 def search(
-    base: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, probes: float = 0.75, rerank: int = 256
+    base: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, probes: float = 0.75, rerank: int | None = 256
 ) -> DataFrame:
-    """query_id, rank (from 1), key, score: the k nearest found of each query. ``probes``: share of the cells that are searched."""
+    """query_id, rank (from 1), key, score: the k nearest found of each query.
+
+    ``probes``: share of the cells that are searched. ``rerank``: rows of a chunk that are measured exactly, all if None.
+    """
     spark = base.sparkSession
     rows = base.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null")
     lengths = rows.filter("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -112,6 +116,7 @@ def search(
     chunks = indexed.groupBy("cell").count().select("cell", F.ceil(F.col("count") / CHUNK_ROWS).cast("int").alias("chunks"))
     left = indexed.join(F.broadcast(chunks), "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))  # at most 1024 cells
     asked = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null").filter(usable("v", width))
+    asked = asked.groupBy("id").agg(F.min("v").alias("v"))
     right = asked.mapInArrow(route, "query_id long, cell int, raw binary").join(F.broadcast(chunks), "cell")
     right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 
@@ -133,7 +138,7 @@ def search(
             far = np.zeros(len(ids))
             for j, (p, b) in enumerate(zip(m["parts"], m["books"], strict=True)):
                 far += ((b - rest[p]) ** 2).sum(axis=1)[codes[:, j]]
-            best = np.argsort(far, kind="stable")[: rerank + 1]
+            best = np.argsort(far, kind="stable")[: None if rerank is None else max(rerank, k) + 1]
             best = best[ids[best] != q]
             exact = np.sqrt(((x[best] - v) ** 2).sum(axis=1))
             top = np.lexsort((ids[best], exact))[:k]

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
+def _matches(term: str):
+    return lambda x: T.fuzzy_match(F.lit(term), x)
+
+
 def all_terms_match(terms: list[str], hay: Column, toks: Column) -> Column:
     """Every term is in the text or matches a token; said first, so that scores are only made for rows that pass."""
     ok = F.lit(True)
     for t in terms:
-        ok = ok & (hay.contains(t) | F.exists(toks, lambda x, t=t: T.fuzzy_match(F.lit(t), x)))
+        ok = ok & (hay.contains(t) | F.exists(toks, _matches(t)))
     return ok
 
 
@@ -85,3 +89,50 @@ def facets(rows: DataFrame, columns: dict[str, int]) -> DataFrame:
         one = one.orderBy(F.desc("n"), "value").limit(k).select(F.lit(name).alias("facet"), "value", "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def bm25_queries(rows: DataFrame, queries: DataFrame, ident: str, query: str, toks: str, terms: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query, id, score): BM25 of every query of a table against all rows; ``terms`` and ``toks`` are arrays.
+
+    Tokens are exploded once; postings of unasked terms end at the join with the distinct terms.
+    """
+    sized = rows.select(ident, F.size(toks).alias("len"), F.explode(toks).alias("term"))
+    stats = rows.agg(F.count("*").alias("total"), F.avg(F.size(toks)).alias("avg_len"))
+    asked = queries.select(query, F.explode(F.array_distinct(terms)).alias("term"))
+    tf = sized.join(asked.select("term").distinct(), "term", "left_semi").groupBy(ident, "len", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    scored = tf.join(df, "term").join(F.broadcast(stats))  # one row
+    weight = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    return scored.select(ident, "term", part.alias("part")).join(asked, "term").groupBy(query, ident).agg(F.sum("part").alias("score"))
+
+
+def vector_hits(rows: DataFrame, queries: DataFrame, ident: str, query: str, vector: str, k: int, block: int = 64) -> DataFrame:
+    """(query, id, score): of every query row the k rows of greatest cosine but itself, ties to the smaller id; null vectors take no part.
+
+    Queries go out in blocks of about ``block`` vectors; each row meets every block once, and ranks are cut before the shuffle.
+    """
+    asked = queries.filter(F.col(vector).isNotNull()).select(F.col(query).alias("q"), F.col(vector).alias("qv"))
+    blocks = max(1, -(-asked.count() // block))  # one number
+    dealt = asked.groupBy(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("q", "qv")).alias("asked"))
+    each = rows.filter(F.col(vector).isNotNull()).select(ident, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block")).join(dealt, "block")
+    found = each.select(ident, F.explode(F.transform("asked", lambda a: F.struct(a["q"].alias("q"), cosine(F.col(vector), a["qv"]).alias("score")))).alias("x"))
+    found = found.select(F.col("x.q").alias(query), ident, "x.score").filter(F.col(query) != F.col(ident))
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), ident))
+    return found.withColumn("r", place).filter(F.col("r") <= k).drop("r")
+
+
+def hybrid_queries(lexical: DataFrame, semantic: DataFrame, query: str, ident: str, weight: float = 0.5) -> DataFrame:
+    """As ``hybrid``, for (query, id, score) candidates of many queries."""
+    zero = F.lit(0.0)
+    one = lambda df, lex, sem: df.select(query, ident, lex.alias("lex"), sem.alias("sem"))
+    both = one(lexical, F.col("score"), zero).unionByName(one(semantic, zero, F.col("score")))
+    best = both.groupBy(query, ident).agg(F.max("lex").alias("lex"), F.max("sem").alias("sem"))
+    return best.withColumn("score", weight * F.col("lex") + (1 - weight) * F.col("sem"))
+
+
+def page_with_total(rows: DataFrame, order: list, offset: int, limit: int, most: int = 60) -> DataFrame:
+    """As ``page``, with the total and the next cursor (null on the last page)."""
+    total = rows.count()
+    after = max(0, offset) + max(1, min(most, limit))
+    return page(rows, order, offset, limit, most).withColumn("total", F.lit(total)).withColumn("next", F.lit(after if after < total else None).cast("long"))

@@ -6,9 +6,11 @@ a token position, joined with the vocabulary on the concatenation of neighbours;
 each piece's leftmost pair of least rank, until no pair is in the vocabulary. Decoding
 is a DuckDB query too: ids joined with the vocabulary and aggregated in order.
 
-Memory: the vocabulary, one batch, and about ``PIECES`` pieces and twice ``CHUNKS`` chunks per worker; a full cache is
-emptied, which costs time but never changes results. Defined results: null text counts as
-empty and has no ids; repeated rows are encoded one by one; a piece of any length is encoded whole.
+Memory: the vocabulary, one batch, and about twice ``PIECES`` pieces and twice ``CHUNKS`` chunks per worker; a full cache becomes
+the old generation, which costs time but never changes results. The recursion keeps only the last step of each piece; DuckDB is held to
+``LIMIT`` and never spills. Time for one unbroken piece grows with the square of its tokens. Defined results: null text counts as
+empty and has no ids; repeated rows are encoded one by one; a piece of any length is encoded whole; ids may be of any type; an empty table gives
+an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-PIECES, CHUNKS = 700_000, 200_000
-#: Texts of a batch are handled in groups of about so many code points.
-GROUP = 4_000_000
+PIECES, CHUNKS = 150_000, 80_000
+#: Texts are taken up so many rows at a time and handled in groups of about so many code points; pieces go to DuckDB in parts of so many bytes.
+GROUP, ROWS, BYTES = 1_000_000, 500, 2_000_000
 
 
+LIMIT = "500MB"
+
 #: White space next to a space.
 BESIDE = re.compile(r"\s | \s").search
 
@@ -64,22 +68,30 @@ class Ranks:
         self.cut = regex.compile(pattern).findall
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": LIMIT, "temp_directory": ""})
         vocabulary = pa.table({"tok": [k.decode("latin-1") for k in ranks], "id": pa.array(ranks.values(), pa.int32())})
         self.db.register("v", vocabulary)
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM v")
         self.db.unregister("v")
         self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.chunks = Chunks()
 
     def encode_pieces(self, pieces: set[str]) -> None:
         """Encode pieces by the recursive query and keep them."""
-        new = list(pieces.difference(self.pieces))
         if len(self.pieces) > PIECES:
-            self.pieces.clear()
-            new = list(pieces)
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
+            self.old, self.pieces = self.pieces, {}
+        new, held, size = [], [], 0
+        for x in pieces.difference(self.pieces):
+            if x in self.old:
+                self.pieces[x] = self.old[x]
+                continue
+            new.append(x)
+            size += len(x)
+            if size > BYTES or len(new) == 50_000:
+                held.append(new)
+                new, size = [], 0
+        for some in [*held, new] if new else held:
             self.db.register("pieces", pa.table({"w": pa.array(range(len(some)), pa.int32()), "s": [x.encode().decode("latin-1") for x in some]}))
             rows = self.db.sql(ENCODE).to_arrow_table()
             self.db.unregister("pieces")
@@ -125,26 +137,26 @@ class Ranks:
         return out
 
 
-#: A piece that is itself in the vocabulary is one token. ``step`` holds each piece's tokens after n contractions;
-#: its positions become rows, which join the vocabulary on what they and their right neighbours make together.
+#: A piece that is itself in the vocabulary is one token. ``step`` holds each piece's tokens, keyed by the piece, so that a contraction replaces
+#: the row before; positions become rows, which join the vocabulary on what they and their right neighbours make together.
 ENCODE = """
 WITH RECURSIVE whole AS MATERIALIZED (
   SELECT w, s, id FROM pieces LEFT JOIN vocab ON tok = s
-), step(w, n, toks) AS (
-  SELECT w, 0, string_split(s, '') FROM whole WHERE id IS NULL
+), step(w, toks) USING KEY (w) AS (
+  SELECT w, string_split(s, '') FROM whole WHERE id IS NULL
   UNION ALL
-  SELECT w, n + 1, toks[1:k - 1] || [toks[k] || toks[k + 1]] || toks[k + 2:]
+  SELECT w, toks[1:k - 1] || [toks[k] || toks[k + 1]] || toks[k + 2:]
   FROM step JOIN (
     SELECT w, min(id::BIGINT << 31 | pos) & 2147483647 AS k
     FROM (SELECT w, unnest(range(1, len(toks))) AS pos, unnest(list_zip(toks, toks[2:])) AS t FROM step)
     JOIN vocab ON tok = t[1] || t[2]
     GROUP BY w
   ) USING (w)
-), done AS (SELECT w, arg_max(toks, n) AS toks FROM step GROUP BY w)
+)
 SELECT w, [id] AS ids FROM whole WHERE id IS NOT NULL
 UNION ALL
 SELECT w, list(id ORDER BY pos) AS ids
-FROM (SELECT w, unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM done) JOIN vocab USING (tok) GROUP BY w
+FROM (SELECT w, unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM step) JOIN vocab USING (tok) GROUP BY w
 """
 
 DECODE = """
@@ -183,7 +195,7 @@ def tokenized(
         import numpy as np
 
         bpe = ranks(*locate())
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in groups(texts):
                 ids = bpe.encode(texts[a:b])

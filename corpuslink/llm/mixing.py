@@ -24,7 +24,7 @@ from .common import SPACE, stored
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-RANGE_ROWS = 20_000
+RANGE_ROWS = 5_000
 
 
 def sizes(text: str = "text"):
@@ -60,7 +60,7 @@ def budgets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epoch
 
 def placed(docs: DataFrame, key: str, text: str, source: str, seed: int, keep: list[str] | None) -> DataFrame:
     """doc (the columns in ``keep``, all if None), source, sk (the source as a key without nulls), key, size, h (random key), bucket (its range)."""
-    ranges = max(16, -(-docs.count() // RANGE_ROWS))
+    ranges = max(64, -(-docs.count() // RANGE_ROWS))
     h = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
     return docs.select(
         F.struct(*(docs[c] for c in keep or docs.columns)).alias("doc"), F.col(source).alias("source"),

@@ -43,13 +43,14 @@ def question_normalise(c: Column | str) -> Column:
 def stem(t: Column) -> Column:
     """Light stemmer: -isation, analys-, then ies, ing, ed, s where enough of the word remains."""
     n = F.length(t)
+    cut = lambda k: F.substring(t, F.lit(1), n - k)
     return (
-        F.when(t.endswith("isation"), F.regexp_replace(t, "isation$", "ization"))
+        F.when(t.endswith("isation"), F.concat(cut(7), F.lit("ization")))
         .when(t.startswith("analys"), F.lit("analysis"))
-        .when(t.endswith("ies") & (n > 4), F.regexp_replace(t, "ies$", "y"))
-        .when(t.endswith("ing") & (n > 6), F.regexp_replace(t, "ing$", ""))
-        .when(t.endswith("ed") & (n > 5), F.regexp_replace(t, "ed$", ""))
-        .when(t.endswith("s") & ~t.endswith("ss") & (n > 3), F.regexp_replace(t, "s$", ""))
+        .when(t.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y")))
+        .when(t.endswith("ing") & (n > 6), cut(3))
+        .when(t.endswith("ed") & (n > 5), cut(2))
+        .when(t.endswith("s") & ~t.endswith("ss") & (n > 3), cut(1))
         .otherwise(t)
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """The first row of each key, by a total order."""
+    """The first row of each key, by a total order. Ranks are cut in each partition before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("_r", rank).filter("_r = 1").drop("_r")
 
@@ -17,13 +17,18 @@ def top_per_group(rows: DataFrame, keys: list[str], order: list[str | Column], n
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)
 
 
-def grouped(rows: DataFrame, key: Column, order: str, first: list[str], collect: str) -> DataFrame:
-    """Rows of one key: the first row's columns, the distinct values of ``collect`` sorted, and a count."""
-    return rows.withColumn("group_key", key).groupBy("group_key").agg(
-        *[F.min_by(c, order).alias(c) for c in first],
-        F.array_sort(F.collect_set(collect)).alias(f"{collect}_set"),
-        F.count("*").alias("n"),
-    )
+def grouped(rows: DataFrame, key: Column, order: str, first: list[str], collect: str, most: int = 100) -> DataFrame:
+    """Rows of one key: the first row's columns, the ``most`` least distinct values of ``collect``, and a count.
+
+    Groups meet by a digest of the key, and the columns of the first row stay with it.
+    """
+    keyed = rows.withColumn("group_key", key).withColumn("_g", F.md5(F.coalesce("group_key", F.lit("")).cast("binary")))
+    heads = first_per_key(keyed, ["_g"], [order]).select("_g", "group_key", *first)
+    counts = keyed.groupBy("_g").agg(F.count("*").alias("n"))
+    values = keyed.filter(F.col(collect).isNotNull()).select("_g", collect).distinct()
+    lists = top_per_group(values, ["_g"], [collect], most, "_r").groupBy("_g").agg(F.array_sort(F.collect_list(collect)).alias(f"{collect}_set"))
+    none = F.array().cast(lists.schema[f"{collect}_set"].dataType)
+    return heads.join(counts, "_g").join(lists, "_g", "left").withColumn(f"{collect}_set", F.coalesce(f"{collect}_set", none)).drop("_g")
 
 
 def running_best(rows: DataFrame, key: str, score: str, order: str) -> DataFrame:
@@ -51,13 +56,12 @@ def suffixed(rows: DataFrame, ident: str, order: str, name: str) -> DataFrame:
 def dense_ids(rows: DataFrame, order: str, name: str, start: int = 1, buckets: int = 256) -> DataFrame:
     """Sequential ids by ``order`` (an integer column) without one global window.
 
-    Ranges of equal width between the column's ends are counted, the counts added up, and rows are numbered inside their range.
+    Ranges between approximate quantiles are counted, the counts added up, and rows are numbered inside their range.
     """
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    if low is None:
+    bounds = sorted(set(rows.approxQuantile(order, [k / buckets for k in range(1, buckets)], 0.001)))
+    if not bounds:
         return rows.withColumn(name, F.lit(None).cast("long"))
-    width = max(1, -(-(high - low + 1) // buckets))
-    parts = rows.withColumn("_b", F.floor((F.col(order) - low) / width))
+    parts = rows.withColumn("_b", F.size(F.filter(F.lit([int(b) for b in bounds]).cast("array<long>"), lambda b: b < F.col(order))))
     counts = parts.groupBy("_b").agg(F.count("*").alias("_n"))
     starts = counts.withColumn("_start", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).drop("_n")  # at most `buckets` rows
     inside = F.row_number().over(Window.partitionBy("_b").orderBy(order))

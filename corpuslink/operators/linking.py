@@ -40,17 +40,22 @@ def candidates(left: DataFrame, right: DataFrame, weights: DataFrame, left_id: s
 def linked(left: DataFrame, right: DataFrame, weights: DataFrame, left_id: str, right_id: str, toks: str, rare: int = 10, least: float = 1.65) -> DataFrame:
     """The candidates with shared, cover, mapped_cover, jaccard, idf_cover, idf_mapped and confidence.
 
-    One join on tokens finds the candidates and sums what they share; a pair is kept if one of its shared tokens was asked by.
-    The right rows' tokens are dealt out by token once, for their weights and for this join, and no map of the vocabulary is sent anywhere.
+    The tokens a left row asks by find its candidates; a token it doesn't ask by joins nothing. Only then do the candidates' tokens meet, in
+    the row: the left row's weights come along as a list, and what the right row holds of it is summed there.
     """
     lt = asking(left, weights, left_id, toks, rare, least)
     held = right.select(right_id, F.explode(F.array_distinct(toks)).alias("token"))
     sums = lambda t, ident, name: t.groupBy(ident).agg(F.count("*").alias(f"n_{name}"), F.sum("weight").alias(f"w_{name}"))
-    ls, rs = sums(lt, left_id, "left"), sums(held.join(weights, "token"), right_id, "right")
-    shared = held.join(lt, "token").groupBy(left_id, right_id).agg(
-        F.count("*").alias("shared"), F.sum("weight").alias("w_shared"), F.max("asked").alias("asked")
+    rs = sums(held.join(weights, "token"), right_id, "right")
+    ls = lt.groupBy(left_id).agg(
+        F.count("*").alias("n_left"), F.sum("weight").alias("w_left"), F.sort_array(F.collect_list(F.struct("token", "weight"))).alias("_l")  # one row's tokens
     )
-    rows = shared.filter("asked").join(ls, left_id).join(rs, right_id)
+    pairs = lt.filter("asked").select(left_id, "token").join(held, "token").select(left_id, right_id).distinct()
+    rows = pairs.join(ls, left_id).join(right.select(right_id, F.array_distinct(toks).alias("_r")), right_id)
+    rows = rows.withColumn("_l", F.filter("_l", lambda x: F.array_contains("_r", x["token"])))
+    rows = rows.select(
+        left_id, right_id, "n_left", "w_left", F.size("_l").cast("long").alias("shared"), F.aggregate("_l", F.lit(0.0), lambda a, x: a + x["weight"]).alias("w_shared")
+    ).join(rs, right_id)
     cover, mapped = F.col("shared") / F.col("n_left"), F.col("shared") / F.col("n_right")
     jaccard = F.col("shared") / (F.col("n_left") + F.col("n_right") - F.col("shared"))
     heavy, heavy_mapped = F.col("w_shared") / F.col("w_left"), F.col("w_shared") / F.col("w_right")
@@ -69,7 +74,8 @@ def vocabulary_join(terms: DataFrame, vocabulary: DataFrame, term: str, token: s
     """Fuzzy pairs of terms and vocabulary tokens: equal, contained, or within one edit (two if longer than five).
 
     Edits: a term and a token within k edits share a piece of the term left after deleting; both sides are joined on their
-    deletion variants, so the join is on equal keys.
+    deletion variants, so the join is on equal keys. Tokens longer than any term by more than two characters have none. Containment: the first four
+    characters of the contained one are among the other's 4-grams; only the containing side has all of its grams.
     """
     from ..functions.text import fuzzy_match
 
@@ -77,12 +83,15 @@ def vocabulary_join(terms: DataFrame, vocabulary: DataFrame, term: str, token: s
         n = F.length(c)
         return F.array_distinct(F.flatten(F.array(F.array(F.col(c)), _deletions(F.col(c)), F.flatten(F.transform(F.when(n > 5, _deletions(F.col(c))).otherwise(F.array().cast("array<string>")), _deletions)))))
 
+    longest = terms.agg(F.max(F.length(term))).first()[0] or 0
     a = terms.select(term, F.explode(pieces(term)).alias("piece"))
-    b = vocabulary.select(token, F.explode(pieces(token)).alias("piece"))
+    b = vocabulary.filter(F.length(token) <= longest + 2).select(token, F.explode(pieces(token)).alias("piece"))
     near = a.join(b, "piece").select(term, token).distinct()
     grams = lambda df, c: df.select(c, F.explode(_grams(F.col(c))).alias("gram"))
-    inside = grams(terms, term).join(grams(vocabulary, token), "gram").select(term, token).distinct()
-    inside = inside.filter(F.col(term).contains(F.col(token)) | F.col(token).contains(F.col(term)))
+    heads = lambda df, c: df.filter(F.length(c) >= 4).select(c, F.substring(c, 1, 4).alias("gram"))
+    inside = grams(terms, term).join(heads(vocabulary, token), "gram").filter(F.col(term).contains(F.col(token))).select(term, token)
+    around = heads(terms, term).join(grams(vocabulary, token), "gram").filter(F.col(token).contains(F.col(term))).select(term, token)
+    inside = inside.union(around)
     return near.union(inside).distinct().filter(fuzzy_match(F.col(term), F.col(token)))
 
 

@@ -190,8 +190,9 @@ def linking_anchors(t):
 
 @query(f"WITH n AS (SELECT doc_id, {NORMAL} AS k FROM documents) SELECT a.doc_id AS left_id, b.doc_id AS right_id FROM n a JOIN (SELECT k, min(doc_id) AS doc_id FROM n WHERE k <> '' GROUP BY k) b USING (k) WHERE a.doc_id <> b.doc_id")
 def linking_exact(t):
-    n = t("documents").select("doc_id", T.search_normalise("text").alias("k"))
-    first = n.filter("k != ''").groupBy("k").agg(F.min("doc_id").alias("right_id"))
+    normal = T.search_normalise("text")  # texts meet by a digest of 128 bits
+    n = t("documents").filter(normal != "").select("doc_id", F.md5(normal.cast("binary")).alias("k"))
+    first = n.groupBy("k").agg(F.min("doc_id").alias("right_id"))
     return L.exact_links(n, first, "k").filter("doc_id != right_id").select(F.col("doc_id").alias("left_id"), "right_id")
 
 
@@ -218,9 +219,9 @@ def joins_fallback(t):
     return d.join(lab, "doc_id", "left").join(h, "source", "left").select("doc_id", F.coalesce("quality", "fallback", F.lit(-1)).alias("quality"), F.col("has").isNotNull().alias("labelled"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def joins_anti(t):
-    return t("customer").join(t("orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return t("customer").join(t("orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -251,6 +252,13 @@ def grouping_running_best(t):
     return o.select("o_custkey").distinct().join(per, "o_custkey", "left").select((F.coalesce("moved", F.lit(0)) + 1).alias("kept_moves"), F.coalesce("reviews", F.lit(0)).alias("reviews"), "o_custkey")
 
 
+@query("""WITH x AS (SELECT *, max({'p': o_totalprice, 'o': -o_orderkey}) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS m FROM orders),
+y AS (SELECT o_custkey, o_orderkey, -m.o AS keeper, lag(-m.o) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS n FROM x)
+SELECT o_custkey, CASE WHEN keeper = o_orderkey THEN before ELSE o_orderkey END AS lost, keeper, n FROM y WHERE keeper <> o_orderkey OR before IS NOT NULL""")
+def grouping_review_rows(t):
+    return G.running_best(t("orders"), "o_custkey", "o_totalprice", "o_orderkey").select("o_custkey", "lost", "keeper", "n")
+
+
 @query("SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id), -1) AS signup FROM events")
 def grouping_carried(t):
     return G.carried(t("events"), "user_id", "event_id", F.when(F.col("event_type") == "signup", F.col("event_id")), "signup").select("event_id", F.coalesce("signup", F.lit(-1)).alias("signup"))
@@ -301,10 +309,10 @@ def rollup_themes(t):
 @query("""SELECT c_mktsegment AS name, count(*) AS n_people, min(c_acctbal) AS least, min_by(c_name, c_custkey) AS first_name, array_to_string(list_sort(list_distinct(list(c_nationkey)))[:12], ',') AS nations
 FROM customer GROUP BY 1""")
 def rollup_entities(t):
-    return t("customer").groupBy(F.col("c_mktsegment").alias("name")).agg(
-        F.count("*").alias("n_people"), F.min("c_acctbal").alias("least"), F.min_by("c_name", "c_custkey").alias("first_name"),
-        F.array_join(F.slice(F.array_sort(F.collect_set("c_nationkey")), 1, 12).cast("array<string>"), ",").alias("nations"),
-    )
+    c = t("customer").withColumnRenamed("c_mktsegment", "name")
+    sums = c.groupBy("name").agg(F.count("*").alias("n_people"), F.min("c_acctbal").alias("least"), F.min_by("c_name", "c_custkey").alias("first_name"))
+    nations = G.top_per_group(c.select("name", "c_nationkey").distinct(), ["name"], ["c_nationkey"], 12, "r").groupBy("name").agg(F.array_sort(F.collect_list("c_nationkey")).alias("nations"))
+    return sums.join(nations, "name").withColumn("nations", F.array_join(F.col("nations").cast("array<string>"), ","))
 
 
 @query("""SELECT l_partkey, l_suppkey, count(*) AS n, array_to_string(list_sort(list(l_orderkey))[:8], ',') AS examples FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
@@ -341,13 +349,14 @@ def search_bm25(t):
     return S.bm25(d, "doc_id", "toks", TERMS).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, {NORMAL} AS hay, {TOKS} AS toks FROM documents)
+@query(f"""WITH d AS (SELECT doc_id, n_chars, {NORMAL} AS hay, {TOKS} AS toks FROM documents)
 SELECT doc_id, round(0.44 * len(list_filter(['the', 'tion', 'ing'], lambda x: list_contains(toks, x))) / 3 + CASE WHEN contains(hay, 'the tion ing') THEN 0.16 ELSE 0 END
-+ 0.22 * len(list_intersect(['the', 'tion', 'ing'], toks)) / greatest(len(list_distinct(list_concat(['the', 'tion', 'ing'], toks))), 1) + 0.1, 6) AS score FROM d""")
++ 0.22 * len(list_intersect(['the', 'tion', 'ing'], toks)) / greatest(len(list_distinct(list_concat(['the', 'tion', 'ing'], toks))), 1) + 0.14 * least(1.0, n_chars / 5000), 6) AS score FROM d""")
 def search_spine(t):
     n = T.search_normalise("text")
-    d = t("documents").select("doc_id", n.alias("hay"), T.tokens(n).alias("toks"))
-    return d.select("doc_id", F.round(S.spine_score(TERMS, F.col("hay"), F.col("toks"), F.lit(0.1)), 6).alias("score"))
+    d = t("documents").select("doc_id", "n_chars", n.alias("hay"), T.tokens(n).alias("toks"))
+    authority = 0.14 * F.least(F.lit(1.0), F.col("n_chars") / 5000)
+    return d.select("doc_id", F.round(S.spine_score(TERMS, F.col("hay"), F.col("toks"), authority), 6).alias("score"))
 
 
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_sum(list_transform(list_zip(embedding, e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))
@@ -380,7 +389,10 @@ def stream_quota_flags(t):
     return C.quota_flags(t("events"), ["user_id"], "event_id", 2, seconds=86400)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS at_, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s(user_id, event_id, i, c, reset) AS (SELECT user_id, event_id, i, 1, at_ + 86400 FROM e WHERE i = 1 UNION ALL
+SELECT e.user_id, e.event_id, e.i, CASE WHEN at_ >= reset THEN 1 ELSE c + 1 END, CASE WHEN at_ >= reset THEN at_ + 86400 ELSE reset END FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+SELECT user_id, event_id, c <= 3 AS ok FROM s""")
 def stream_anchored_quota(t):
     return C.anchored_quota(t("events"), "user_id", "event_id", 3, 86400.0)
 
@@ -514,7 +526,7 @@ MATCH = (
 PLACE_TAG, PLACE_Q = MATCH.format(a="tag", b="nl", ta="tag_t", tb="nl_t"), MATCH.format(a="q", b="nl", ta="q_t", tb="nl_t")
 
 
-@query(f"""WITH nodes AS (SELECT min(p_partkey) AS ord, 'node' || min(p_partkey) AS node_id, min_by(p_type, p_partkey) AS subject, p_name AS label, min_by(p_brand, p_partkey) || ' ring' AS paper FROM part GROUP BY p_name HAVING min(p_partkey) % 3 = 0),
+@query(f"""WITH nodes AS (SELECT min(p_partkey) AS ord, 'node' || min(p_partkey) AS node_id, min_by(p_type, p_partkey) AS subject, p_name AS label, min_by(p_brand, p_partkey) || ' ring' AS paper FROM part GROUP BY p_name),
 n AS (SELECT *, {LABEL_TOKS.format('nl')} AS nl_t FROM (SELECT ord, node_id, subject AS ns, {LABEL.format('label')} AS nl, {LABEL.format('paper')} AS np FROM nodes)),
 c AS (SELECT *, {LABEL_TOKS.format('q')} AS q_t, {LABEL_TOKS.format('tag')} AS tag_t FROM (SELECT p_partkey, p_type, p_partkey % 4 = 0 AS every, {LABEL.format("p_name || ' (' || p_brand || ')'")} AS q, string_split(p_name, ' ')[2] || ' ' || p_type AS raw, {LABEL.format("string_split(p_name, ' ')[2] || ' ' || p_type")} AS tag FROM part)),
 s AS (SELECT *, round(({PLACE_TAG}) * 0.76::DOUBLE + ({PLACE_Q}) * 0.24::DOUBLE + (CASE WHEN ns = p_type THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN contains(q, np) THEN 0.04::DOUBLE ELSE 0 END), 9) AS score FROM c CROSS JOIN n),
@@ -526,7 +538,7 @@ CASE WHEN f.score >= 0.42 THEN 'matched' WHEN g.score >= 0.18 THEN 'within' ELSE
 def linking_placement(t):
     p = t("part")
     named = p.groupBy(F.col("p_name").alias("label")).agg(F.min("p_partkey").alias("ord"), F.min_by("p_type", "p_partkey").alias("subject"), F.concat(F.min_by("p_brand", "p_partkey"), F.lit(" ring")).alias("paper"))
-    nodes = named.filter("ord % 3 = 0").withColumn("node_id", F.concat(F.lit("node"), "ord"))
+    nodes = named.withColumn("node_id", F.concat(F.lit("node"), "ord"))
     cards = p.select(
         "p_partkey", F.array(F.concat_ws(" ", F.get(F.split("p_name", " "), F.lit(1)), "p_type")).alias("tags"), F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")")).alias("question"),
         F.when(F.col("p_partkey") % 4 != 0, F.array("p_type")).alias("subjects"), F.col("p_type").alias("hint"),

@@ -39,7 +39,7 @@ from .common import checkpointed, discard, stored
 HASHES, TREES, LEAST, LEVELS, NEAR, SLACK, BLOCK, SALT = 128, 32, 4, 10, 3, 0.2, 256, 16
 #: Bytes of a path: a hash of the first LEAST values, then two of each further one.
 PREFIX, WIDTH = 8, 8 + 2 * (LEVELS - LEAST)
-WORDS_CACHE = 300_000
+WORDS_CACHE = 150_000
 _rng = np.random.default_rng(20240229)
 MULTIPLY = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

@@ -41,11 +41,13 @@ def decisions(rows: DataFrame, cap: int) -> DataFrame:
     """(grp, salt, shard, wish): which members of a group go where; ``rows`` are linked ones."""
     part = rows.groupBy("grp", "salt", "shard").agg(F.count("*").alias("n"), F.max("members").alias("members"))
     votes = part.groupBy("grp", "shard").agg(F.sum("n").alias("n"), F.max("members").alias("members"))
-    room = part.groupBy("shard").agg((F.lit(cap) - F.sum("n")).alias("room")).filter("room > 0")  # single documents make room in the end
-    best = Window.partitionBy("grp").orderBy(F.desc("n"), F.xxhash64("grp", "shard"))
-    open_ = votes.join(F.broadcast(room), "shard").withColumn("top", F.sum("room").over(best)).filter("top - room < members")  # a row a shard is sent
-    to = open_.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("top", "shard", "n"))).alias("to"))  # at most a shard each
-    leaving = votes.join(to, "grp").filter(~F.exists("to", lambda x: x["shard"] == F.col("shard")) & (F.col("n") <= F.col("to")[0]["n"]))
+    room = part.groupBy("shard").agg(F.greatest(F.lit(0), F.lit(cap) - F.sum("n")).alias("room"))  # single documents make room in the end
+    # The best shards that hold the group together, with the members they have; the others' members go to those of them with room.
+    best = Window.partitionBy("grp").orderBy(F.desc("n"), F.desc(F.col("room") > 0), F.xxhash64("grp", "shard"))
+    ranked_ = votes.join(F.broadcast(room), "shard").withColumn("top", F.sum("room").over(best)).withColumn("holds", F.sum(F.col("room") + F.col("n")).over(best))  # a row a shard is sent
+    ranked_ = ranked_.withColumn("home", F.col("holds") - F.col("room") - F.col("n") < F.col("members"))
+    to = ranked_.filter("home and room > 0").groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("top", "shard"))).alias("to"))  # at most a shard each
+    leaving = ranked_.filter("not home").join(to, "grp")
     moving = part.select("grp", "salt", "shard").join(leaving.select("grp", "shard", "to"), ["grp", "shard"])
     at = F.pmod(F.xxhash64(F.lit("to"), "grp", "salt", "shard"), F.lit(10_000)) / 10_000 * F.element_at("to", -1)["top"]
     return moving.select("grp", "salt", "shard", F.filter("to", lambda x: x["top"] > at)[0]["shard"].alias("wish"))

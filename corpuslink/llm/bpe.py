@@ -6,7 +6,7 @@ a token position, joined with the vocabulary on the concatenation of neighbours;
 each piece's leftmost pair of least rank, until no pair is in the vocabulary. Decoding
 is a DuckDB query too: ids joined with the vocabulary and aggregated in order.
 
-Memory: the vocabulary, one batch, and about twice ``PIECES`` pieces and twice ``CHUNKS`` chunks per worker; a full cache becomes
+Memory: the vocabulary, one batch, and about twice ``PIECES`` pieces and twice ``CHUNKS`` chunks per task; a full cache becomes
 the old generation, which costs time but never changes results. The recursion keeps only the last step of each piece; DuckDB is held to
 ``LIMIT`` and never spills. Time for one unbroken piece grows with the square of its tokens. Defined results: null text counts as
 empty and has no ids; repeated rows are encoded one by one; a piece of any length is encoded whole; ids may be of any type; an empty table gives
@@ -20,7 +20,6 @@ import hashlib
 import re
 import struct
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -165,12 +164,6 @@ FROM (SELECT doc, tok FROM stream JOIN vocab USING (id) ORDER BY pos) GROUP BY d
 """
 
 
-@lru_cache(maxsize=2)
-def ranks(path: str, pattern: str) -> Ranks:
-    """One vocabulary a worker process."""
-    return Ranks(path, pattern)
-
-
 def groups(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of about GROUP code points."""
     start, held = 0, 0
@@ -194,7 +187,7 @@ def tokenized(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        bpe = ranks(*locate())
+        bpe = Ranks(*locate())  # one a task: a worker that goes on to other work keeps nothing of it
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in groups(texts):
@@ -212,6 +205,7 @@ def tokenized(
                         pa.array([x.decode() for x in back], pa.string()),
                     ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        bpe.db.close()
 
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"

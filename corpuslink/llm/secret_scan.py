@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, stored
+
 #: Fixed patterns of the base rule; ASCII letters only in either case.
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -115,8 +117,15 @@ def guess_cost(value: str, ranks: dict[str, int] = RANK, enough: float = math.in
 def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY, least: int = LEAST_COUNT) -> dict[str, int]:
     """Word to rank: the password words, then the ``size`` commonest words of four to BACK letters that all texts hold ``least`` times or more."""
     words = docs.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("w")).filter(F.length("w").between(4, BACK))
-    counts = words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    common = [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(size).collect()]
+    counts = stored(words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= least), "words")
+    # Only words from the power of two up at which there are enough are sorted and sent, whatever the number of partitions.
+    level, sums, low = F.floor(F.log2("n")).cast("int"), 0, 0
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():  # 64 rows at most
+        low, sums = r["level"], sums + r["words"]
+        if sums >= size:
+            break
+    common = [r["w"] for r in counts.filter(level >= low).orderBy(F.desc("n"), "w").limit(size).collect()]
+    discard(counts)
     return {w: i + 1 for i, w in reversed(list(enumerate([*WORDS, *common])))}
 
 

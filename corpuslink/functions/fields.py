@@ -254,3 +254,27 @@ def first_known(*sources: tuple[str, Column]) -> Column:
     value = F.coalesce(*[c for _, c in sources])
     source = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in sources])
     return F.struct(value.alias("value"), source.alias("source"))
+
+
+def json_texts(c: Column | str, names: list[str] = ("text", "alt")) -> Column:
+    """Of a text that is JSON: the string values under ``names`` at any depth, in their order, joined by new lines; null if it is no JSON or has none."""
+    t = F.trim(T.text(c))
+    found = F.regexp_extract_all(t, F.lit(rf'"(?:{"|".join(names)})"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    plain = F.transform(found, lambda v: F.replace(F.replace(F.replace(v, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\")))
+    kept = F.filter(plain, lambda v: F.trim(v) != "")
+    return F.when((t.startswith("{") | t.startswith("[")) & (F.size(kept) > 0), F.array_join(kept, "\n"))
+
+
+def value_adds(fields: list[tuple[str, Column]]) -> Column:
+    """(type, value) of the named fields that say something."""
+    from .gates import junk_value
+
+    each = F.array(*[F.struct(F.lit(name).alias("type"), F.trim(T.text(c)).alias("value")) for name, c in fields])
+    return F.filter(each, lambda x: ~junk_value(x["value"]))
+
+
+def summary_or_template(summary: Column | str, question: Column | str, kinds: Column, least: int = 60) -> Column:
+    """struct(text, status): the summary if it has ``least`` characters, else a sentence made of the question and the kinds of value added."""
+    s, q = clean_public(summary), clean_public(question)
+    made = F.concat(F.lit("Answer to: "), T.clip(q, 120), F.when(F.size(kinds) > 0, F.concat(F.lit(" With "), F.array_join(kinds, ", "), F.lit("."))).otherwise(""))
+    return F.struct(F.when(F.length(s) >= least, s).otherwise(made).alias("text"), F.when(F.length(s) >= least, "available").when(s != "", "too_thin").otherwise("missing").alias("status"))

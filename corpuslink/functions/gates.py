@@ -126,3 +126,8 @@ def text_quality(c: Column | str) -> Column:
         (F.regexp_count(t, F.lit(rf"(?i){BEGIN}q(?:uestion)?\.?\s*[0-9]+")) <= 1, 2), (F.length(t) <= 220, 1),
     ]
     return sum((F.when(ok, n).otherwise(0) for ok, n in points), F.lit(0))
+
+
+def instruction_segment(c: Column | str, openings: list[str]) -> Column:
+    """Begins with one of the ``openings`` (patterns) as a whole word."""
+    return F.trim(T.text(c)).rlike(f"(?i)^(?:{'|'.join(openings)}){END}")

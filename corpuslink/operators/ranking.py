@@ -263,3 +263,29 @@ def faceted(rows: DataFrame, equal: dict[str, object], contains: dict[str, str],
 def in_category(category: Column, wanted: str, groups: dict[str, list[str]]) -> Column:
     """The category itself, or one of the group that ``wanted`` names."""
     return F.lower(category).isin([w.lower() for w in groups.get(wanted.lower(), [wanted])])
+
+
+def flagged(rows: DataFrame, flags: dict[str, bool]) -> DataFrame:
+    """Rows whose count or flag is more than nothing, for every wish that is true."""
+    ok = F.lit(True)
+    for c, wanted in flags.items():
+        if wanted:
+            ok = ok & (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) > 0)
+    return rows.filter(ok)
+
+
+def own_rows(rows: DataFrame, user: str, value) -> DataFrame:
+    """Rows of one user."""
+    return rows.filter(F.col(user) == F.lit(value))
+
+
+def point_lookup(rows: DataFrame, value: str, ident: str, aliases: str, form: str) -> DataFrame:
+    """The rows with this id, or with it among their aliases; none if it isn't of the form (a pattern)."""
+    v = F.lit(value)
+    return rows.filter(v.rlike(form) & ((F.col(ident) == v) | F.array_contains(F.col(aliases), v)))
+
+
+def featured(rows: DataFrame, group: str, copies: str, order: list[Column]) -> DataFrame:
+    """The first row of each group, in order, that has copies."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return rows.filter(F.col(copies) > 0).withColumn("_p", place).filter("_p = 1").drop("_p")

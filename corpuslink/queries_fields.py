@@ -266,3 +266,20 @@ def fields_file_titles(t):
     k = F.col("c_custkey")
     name = F.when(k % 4 == 0, F.lit("drive_AbCdEf12.md")).otherwise(F.concat("c_mktsegment", F.lit("-copy_COMPLETE.md")))
     return t("customer").select("c_custkey", FD.file_title(name, k).alias("title"), FD.search_text("c_name", F.lit(None).cast("string"), "c_mktsegment").alias("search"))
+
+
+@query(r"""WITH x AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN 'plain' ELSE 'json' END AS k FROM orders)
+SELECT o_orderkey, CASE WHEN k = 'json' THEN 'say "' || o_orderpriority || '"' || chr(10) || 'fig ' || o_orderstatus END AS texts, array_to_string(list_filter(['diagram:' || o_orderpriority, CASE WHEN o_orderkey % 4 > 0 THEN 'quote:' || o_orderstatus END], lambda v: v IS NOT NULL), ';') AS adds,
+CASE WHEN o_orderkey % 2 = 0 THEN repeat('word ' , 12) || o_orderkey ELSE 'Answer to: q ' || o_orderkey || CASE WHEN o_orderkey % 4 > 0 THEN ' With diagram, quote.' ELSE ' With diagram.' END END AS summary,
+CASE WHEN o_orderkey % 2 = 0 THEN 'available' ELSE 'too_thin' END AS status, regexp_matches(o_orderpriority, '(?i)^(?:1|2)\b') AS instruction, o_orderkey % 5 > 0 AS complete FROM x""")
+def fields_json_and_templates(t):
+    k = F.col("o_orderkey")
+    body = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit('say "'), "o_orderpriority", F.lit('"')).alias("text"), F.struct(F.concat(F.lit("fig "), "o_orderstatus").alias("alt")).alias("img"))).alias("parts")))
+    o = t("orders").withColumn("body", F.when(k % 3 == 0, "plain").otherwise(body))
+    o = o.withColumn("adds", FD.value_adds([("diagram", F.col("o_orderpriority")), ("quote", F.when(k % 4 > 0, F.col("o_orderstatus")).otherwise("not given"))]))
+    kinds = F.transform("adds", lambda x: x["type"])
+    told = FD.summary_or_template(F.when(k % 2 == 0, F.concat(F.repeat(F.lit("word "), 12), k)).otherwise("thin"), F.concat(F.lit("q "), k), kinds)
+    return o.select(
+        "o_orderkey", FD.json_texts("body").alias("texts"), F.array_join(F.transform("adds", lambda x: F.concat(x["type"], F.lit(":"), x["value"])), ";").alias("adds"), told["text"].alias("summary"),
+        told["status"].alias("status"), GT.instruction_segment("o_orderpriority", ["1", "2"]).alias("instruction"), GT.complete("o_orderstatus", F.when(k % 5 > 0, "x")).alias("complete"),
+    )

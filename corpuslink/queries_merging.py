@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import gates as GT
 from .functions import text as T
-from .operators import grouping as G
-from .operators import linking as L
+from .operators import jobs as J
 from .operators import merging as M
 from .operators import ranking as R
 from .queries import IDF, NORMAL, STOP, query
@@ -248,22 +247,26 @@ sh AS (SELECT item_id, doc_id, count(*) AS k, sum(weight) AS wk FROM pair JOIN q
 tp AS (SELECT item_id, list_filter(toks, lambda t: t NOT IN ('thea', 'tion') AND NOT regexp_full_match(t, '[0-9]{{1,2}}')) AS tt FROM q), ds AS (SELECT doc_id, list_distinct(toks) AS dd, doc_id % 2 = 0 AS subject FROM d),
 tv AS (SELECT item_id, doc_id, subject, len(list_filter(tt, lambda t: list_contains(dd, t))) AS th, least(8, len(list_filter(list_distinct(tt), lambda t: list_contains(dd, t)))) AS hits, greatest(1, least(greatest(len(tt), 1), greatest(len(dd), 1))) AS den FROM sh JOIN tp USING (item_id) JOIN ds USING (doc_id)),
 f AS (SELECT item_id, doc_id, subject, k, hits, th, th / den AS ov, k / nl AS cv, wk / wl AS hv, greatest(k / nl, k / nr, wk / wl, wk / wr, th / den) AS fl, least(0.99, least(0.99, 0.24 * k / nl + 0.18 * k / nr + 0.15 * k / (nl + nr - k) + 0.24 * wk / wl + 0.09 * wk / wr) + least(0.08, hits * 0.025) + CASE WHEN subject THEN 0.04 ELSE 0 END + least(0.14, th / den * 0.14)) AS c
-FROM sh JOIN ls USING (item_id) JOIN rs USING (doc_id) JOIN tv USING (item_id, doc_id)), g AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(c, 9) DESC, doc_id) AS r FROM f)"""
+FROM sh JOIN ls USING (item_id) JOIN rs USING (doc_id) JOIN tv USING (item_id, doc_id))"""
 
 
-@query(f"""WITH {BOOST} SELECT item_id, doc_id, r::INT AS rank, round(c, 6) AS confidence, hits::INT AS hits, CASE WHEN c >= 0.82 AND k >= 5 AND cv >= 0.72 AND hv >= 0.76 THEN 'strong' WHEN subject AND ov >= 0.3 AND (k >= 2 OR hv >= 0.18) THEN 'topic-match'
-WHEN subject AND fl >= 0.3 AND th >= 1 AND (k >= 1 OR hits >= 2) THEN 'loose-topic-match' ELSE 'none' END AS class FROM g WHERE r <= 6""")
-def merging_corpus_links(t):
+CLASS = """CASE WHEN c >= 0.82 AND k >= 5 AND cv >= 0.72 AND hv >= 0.76 THEN 'strong' WHEN subject AND ov >= 0.3 AND (k >= 2 OR hv >= 0.18) THEN 'topic-match'
+WHEN subject AND fl >= 0.3 AND th >= 1 AND (k >= 1 OR hits >= 2) THEN 'loose-topic-match' ELSE 'none' END"""
+
+
+def _corpus_links(t):
     d = t("documents").select("doc_id", T.link_tokens("text", STOP).alias("toks"))
     q = t("benchmark").select("item_id", T.link_tokens("text", STOP).alias("toks"))
-    pairs = L.linked(q, d, L.idf(d, "toks").select("token", "weight"), "item_id", "doc_id", "toks")
-    topic = q.select("item_id", M.topic_tokens(F.col("toks"), ["thea", "tion"]).alias("tt"))
-    held = d.select("doc_id", F.array_distinct("toks").alias("dd"), (F.col("doc_id") % 2 == 0).alias("subject"))
-    rows = pairs.join(topic, "item_id").join(held, "doc_id").withColumn("hits", F.size(M.semantic_hits(F.col("tt"), F.col("dd"))))
-    rows = rows.withColumn("overlap", M.topic_overlap(F.col("tt"), F.col("dd"))).withColumn("th", F.size(F.filter("tt", lambda x: F.array_contains("dd", x))))
-    none = F.lit(0)
-    rows = rows.withColumn("c", M.boosted(F.col("confidence"), none, F.col("hits"), F.col("subject"), F.col("overlap")))
-    floor = F.greatest("cover", "mapped_cover", "idf_cover", "idf_mapped", "overlap")
-    kind = M.link_class(F.col("c"), F.col("shared"), F.col("cover"), F.col("idf_cover"), F.col("subject"), none, F.col("hits"), F.col("overlap"), F.col("th"), floor)
-    top = G.top_per_group(rows.withColumn("class", kind), ["item_id"], [F.desc(F.round("c", 9)), "doc_id"], 6)
-    return top.select("item_id", "doc_id", "rank", F.round("c", 6).alias("confidence"), "hits", "class")
+    return J.corpus_links(q, d, "item_id", "doc_id", "toks", ["thea", "tion"], F.col("doc_id") % 2 == 0)
+
+
+@query(f"""WITH {BOOST}, h AS (SELECT *, {CLASS} AS class FROM f) SELECT item_id, doc_id, rank::INT AS rank, round(c, 6) AS confidence, hits::INT AS hits, class FROM (
+SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(c, 9) DESC, doc_id) AS rank FROM h WHERE class <> 'none') WHERE rank <= 18""")
+def merging_corpus_links(t):
+    return _corpus_links(t)[0].select("item_id", "doc_id", "rank", F.round("confidence", 6).alias("confidence"), "hits", "class")
+
+
+@query(f"""WITH {BOOST}, h AS (SELECT *, {CLASS} AS class FROM f) SELECT item_id, doc_id, rank::INT AS rank, round(c, 6) AS confidence FROM (
+SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(c, 9) DESC, doc_id) AS rank FROM h WHERE class = 'none' AND c >= 0.24) WHERE rank <= 6""")
+def merging_corpus_review(t):
+    return _corpus_links(t)[1].select("item_id", "doc_id", "rank", F.round("confidence", 6).alias("confidence"))

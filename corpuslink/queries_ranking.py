@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions import gates as GT
 from .functions import text as T
 from .operators import grouping as G
+from .operators import jobs as J
 from .operators import linking as L
 from .operators import ranking as R
 from .operators import search as S
@@ -52,19 +53,15 @@ base + CASE WHEN contains(question, phrase) THEN 1.4 ELSE 0 END + CASE WHEN coal
 FROM m JOIN q USING (query_id) JOIN r USING (id) LEFT JOIN qh USING (query_id, id) LEFT JOIN sh USING (query_id, id) LEFT JOIN kh USING (query_id, id))"""
 
 
-def _official(t):
+def _official(t, topic_stop=None):
     rows = _rows(t)
-    queries = _queries(rows)
-    pairs = R.matching_rows(rows, queries, "id", "query_id", "toks", "terms").join(queries, "query_id").join(rows, "id")
-    rank = R.official_rank(F.col("terms"), F.col("phrase"), F.col("toks"), T.search_normalise("question"), T.search_normalise(F.concat_ws(" ", "tag", "brand")), T.search_normalise("kw"))
-    return pairs.withColumn("rank", rank)
+    return J.official_search(rows.withColumn("tags", F.array("tag", "brand")).withColumn("keywords", F.array("kw")), _queries(rows).select("query_id", "asked", "topic"), 5, topic_stop)
 
 
 @query(f"""WITH {OFFICIAL} SELECT query_id, id, place::INT AS place, round(score, 6) AS score, phrase_hit AS phrase, every, qk::INT AS question_hits FROM (
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY phrase_hit DESC, every DESC, qk DESC, round(score, 9) DESC, year DESC, id) AS place FROM sc) WHERE place <= 5""")
 def search_official(t):
-    top = G.top_per_group(_official(t), ["query_id"], R.relevance_order(), 5, "place")
-    return top.select("query_id", "id", "place", F.round("rank.score", 6).alias("score"), "rank.phrase", F.col("rank.all_in_question").alias("every"), "rank.question_hits")
+    return _official(t).select("query_id", "id", "place", F.round("rank.score", 6).alias("score"), "rank.phrase", F.col("rank.all_in_question").alias("every"), "rank.question_hits")
 
 
 TOPIC = """tt AS (SELECT query_id, topic, trim(regexp_replace(topic, '[^a-z0-9]+', ' ', 'g')) AS ph, list_distinct(list_filter(string_split(trim(regexp_replace(topic, '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 2 AND x NOT IN ('for', 'and'))) AS w FROM q),
@@ -90,9 +87,7 @@ def search_topics(t):
 SELECT query_id, id, a.score, b.score AS ts, row_number() OVER (PARTITION BY query_id ORDER BY phrase_hit DESC, a.every DESC, qk DESC, round(a.score, 9) DESC, b.whole DESC, b.every DESC, b.hits DESC, round(b.score, 9) DESC, year DESC, id) AS place
 FROM sc a JOIN y b USING (query_id, id) WHERE b.score > 0) z(query_id, id, sa, sb, place) JOIN sc a USING (query_id, id) JOIN y b USING (query_id, id) WHERE place <= 5""")
 def search_official_filtered(t):
-    pairs = _official(t).withColumn("topic", R.topic_rank(F.col("topic"), F.array("tag", "brand", "kw"), TOPIC_STOP)).filter("topic.score > 0")
-    top = G.top_per_group(pairs, ["query_id"], R.topic_order(), 5, "place")
-    return top.select("query_id", "id", "place", F.round("rank.score", 6).alias("score"), F.round("topic.score", 6).alias("topic_score"))
+    return _official(t, TOPIC_STOP).select("query_id", "id", "place", F.round("rank.score", 6).alias("score"), F.round("topic.score", 6).alias("topic_score"))
 
 
 @query(f"""WITH {ROW}, {MATCHED}, w AS (SELECT query_id, id, term, best, question, copies, contains(question, term) AS a, contains(tag, term) OR contains(brand, term) AS b,
@@ -101,10 +96,8 @@ s AS (SELECT query_id, id, question, copies, sum(best + CASE WHEN a THEN 5 WHEN
 SELECT query_id, id, place::INT AS place, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, copies DESC, question, id) AS place FROM s) WHERE place <= 5""")
 def search_workspace(t):
     rows = _rows(t)
-    queries = _queries(rows)
-    pairs = R.matching_rows(rows, queries, "id", "query_id", "toks", "terms").join(queries.select("query_id", "terms"), "query_id").join(rows, "id")
-    scored = pairs.withColumn("score", R.workspace_score(F.col("terms"), F.col("question"), F.array("tag", "brand"), F.col("toks")))
-    return G.top_per_group(scored, ["query_id"], R.workspace_order(), 5, "place").select("query_id", "id", "place", F.round("score", 6).alias("score"))
+    found = J.workspace_search(rows.withColumn("path", F.array("tag", "brand")).withColumn("more", F.col("kw")), _queries(rows), 5)
+    return found.select("query_id", "id", "place", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {ROW}, z AS (SELECT query_id, id, term, trim(regexp_replace(question, '[^a-z0-9]+', ' ', 'g')) AS ti, trim(regexp_replace(brand, '[^a-z0-9]+', ' ', 'g')) AS pe, tag AS co,
@@ -252,3 +245,18 @@ def search_filters(t):
     p = t("part").withColumn("tags", F.array("p_brand", "p_type"))
     a = R.faceted(p, {"p_type": "PROMO", "p_size": None}, {"p_name": "Ring", "p_brand": ""}, {"tags": "brand#1"}).select("p_partkey")
     return a.union(p.filter(R.in_category(F.col("p_type"), "Little", {"little": ["ECONOMY", "SMALL"]})).select(F.col("p_partkey") + 1_000_000))
+
+
+@query("""WITH c AS (SELECT p_partkey, p_brand, p_name, 2000 + p_size AS year, p_size % 7 AS copies FROM part) SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY year DESC, copies DESC, p_name, p_partkey) AS r FROM c WHERE copies > 0) WHERE r = 1""")
+def ranking_featured(t):
+    c = t("part").select("p_partkey", "p_brand", "p_name", (F.lit(2000) + F.col("p_size")).alias("year"), (F.col("p_size") % 7).alias("copies"))
+    return R.featured(c, "p_brand", "copies", R.catalogue_order("year", "copies", "p_name", "p_partkey")).select("p_brand", "p_partkey")
+
+
+@query("""SELECT p_partkey, 'flagged' AS how FROM part WHERE p_size % 5 > 0 UNION ALL SELECT p_partkey, 'own' FROM part WHERE p_brand = 'Brand#3' UNION ALL SELECT p_partkey, 'found' FROM part WHERE p_type = 'PROMO' OR list_contains(string_split(upper(p_name), ' '), 'PROMO')""")
+def search_points(t):
+    p = t("part").withColumn("flag", F.col("p_size") % 5).withColumn("names", F.split(F.upper("p_name"), " "))
+    found = R.point_lookup(p, "PROMO", "p_type", "names", "^[A-Z]+$").unionByName(R.point_lookup(p, "small ring", "p_name", "names", "^[A-Z]+$"))
+    rows = [(R.flagged(p, {"flag": True, "p_size": False}), "flagged"), (R.own_rows(p, "p_brand", "Brand#3"), "own"), (found, "found")]
+    a, b, c = (df.select("p_partkey", F.lit(how).alias("how")) for df, how in rows)
+    return a.union(b).union(c)

@@ -24,9 +24,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-PIECES, CHUNKS = 40_000, 20_000
+PIECES, CHUNKS = 150_000, 300_000
 #: Texts are taken up so many rows at a time and handled in groups of about so many code points; pieces go to DuckDB in parts of so many bytes.
-GROUP, ROWS, BYTES = 250_000, 150, 2_000_000
+GROUP, ROWS, BYTES = 1_000_000, 500, 2_000_000
 
 
 LIMIT = "500MB"

@@ -6,7 +6,7 @@ a token position, joined with the vocabulary on the concatenation of neighbours;
 each piece's leftmost pair of least rank, until no pair is in the vocabulary. Decoding
 is a DuckDB query too: ids joined with the vocabulary and aggregated in order.
 
-Memory: the vocabulary, one batch, and about twice ``PIECES`` pieces and twice ``CHUNKS`` chunks per task; a full cache becomes
+Memory: the vocabulary, one batch, and about twice ``PIECES`` pieces per task, and twice ``CHUNKS`` chunks per worker, which last; a full cache becomes
 the old generation, which costs time but never changes results. The recursion keeps only the last step of each piece; DuckDB is held to
 ``LIMIT`` and never spills. Time for one unbroken piece grows with the square of its tokens. Defined results: null text counts as
 empty and has no ids; repeated rows are encoded one by one; a piece of any length is encoded whole; ids may be of any type; an empty table gives
@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-PIECES, CHUNKS = 150_000, 300_000
+PIECES, CHUNKS = 150_000, 150_000
 #: Texts are taken up so many rows at a time and handled in groups of about so many code points; pieces go to DuckDB in parts of so many bytes.
 GROUP, ROWS, BYTES = 1_000_000, 500, 2_000_000
 
@@ -57,6 +57,20 @@ class Chunks(dict):
             self.clear()
 
 
+_kept: dict[tuple[str, str], Chunks] = {}
+
+
+def kept_chunks(path: str, pattern: str) -> Chunks:
+    """Chunks that earlier tasks of this worker have encoded by the same vocabulary; those of another one go."""
+    if (path, pattern) not in _kept:
+        _kept.clear()
+    chunks = _kept.setdefault((path, pattern), Chunks())
+    for c in chunks.new:  # noted by a task that failed before it had their ids
+        if dict.get(chunks, c) is None:
+            chunks.pop(c, None)
+    return chunks
+
+
 class Ranks:
     """A vocabulary in an in-memory DuckDB. Token bytes are held as strings of the code points 0 to 255."""
 
@@ -74,7 +88,7 @@ class Ranks:
         self.db.unregister("v")
         self.pieces: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.chunks = Chunks()
+        self.chunks = kept_chunks(path, pattern)
 
     def encode_pieces(self, pieces: set[str]) -> None:
         """Encode pieces by the recursive query and keep them."""
@@ -187,7 +201,7 @@ def tokenized(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        bpe = Ranks(*locate())  # one a task: a worker that goes on to other work keeps nothing of it
+        bpe = Ranks(*locate())  # one a task: a worker that goes on to other work keeps the chunks alone
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in groups(texts):

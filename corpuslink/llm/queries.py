@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, language_id, mixing, near_dup, quality_rules, secret_scan, sharding, toxicity
+from . import alignment, ann, bpe, chat, language_id, mixing, near_dup, pii, quality_rules, secret_scan, sharding, toxicity, vector_codes
 from .common import table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -67,6 +67,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenized(table(spark, sf_dir, "documents"), bpe.public_bpe)
 
 
+def op11_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), alignment.public_pair)
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digested(pii.detected(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +89,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_minhash_forest, op3_secret_scan, op4_toxicity, op5_source_mix, op6_reply_trees,
-        op7_balanced_shards, op8_language_codes, op9_ivf_pq, op10_byte_bpe, pipeline,
+        op7_balanced_shards, op8_language_codes, op9_ivf_pq, op10_byte_bpe, op11_cover_tree_codes, op12_token_alignment,
+        op13_personal_data, pipeline,
     )
 }
 

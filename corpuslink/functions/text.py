@@ -16,6 +16,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def once(value: Column, f) -> Column:
+    """``f`` of ``value``, which is computed once: a column's expression within a lambda function would be computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def search_normalise(c: Column | str) -> Column:
     """Lower case; runs of anything but ASCII letters and digits become one space."""
     return F.trim(F.regexp_replace(F.lower(text(c)), "[^a-z0-9]+", " "))

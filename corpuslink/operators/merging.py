@@ -178,20 +178,11 @@ def expanded(accepted: DataFrame, answers: DataFrame, card: str, order: list, mo
     return rows.withColumn("place", place).filter(F.col("place") <= most)
 
 
-def tree_counts(nodes: DataFrame, counts: DataFrame, node: str, parent: str, label: str, levels: int = 8) -> DataFrame:
-    """(node, path, n): labels from the root, and own counts with those of all nodes below; trees of ``levels`` levels at most.
+def tree_counts(nodes: DataFrame, counts: DataFrame, node: str, parent: str, label: str) -> DataFrame:
+    """(node, path, n): labels from the root, and own counts with those of all nodes below; trees of any depth, by ``rounds.tree_sums``."""
+    from .rounds import tree_sums
 
-    Each level is one equal join of the nodes above with their children.
-    """
-    at = nodes.select(node, F.col(parent).alias("_up"), F.array(label).alias("path"), F.array(node).alias("_line"))
-    up = nodes.select(F.col(node).alias("_up"), F.col(parent).alias("_next"), F.col(label).alias("_label"))
-    for _ in range(levels - 1):
-        at = at.join(up, "_up", "left").select(
-            node, F.col("_next").alias("_up"), F.when(F.col("_label").isNotNull(), F.concat(F.array("_label"), "path")).otherwise(F.col("path")).alias("path"),
-            F.when(F.col("_label").isNotNull(), F.concat(F.array("_up"), "_line")).otherwise(F.col("_line")).alias("_line"),
-        )
-    sums = at.join(counts, node).select(F.explode("_line").alias(node), "n").groupBy(node).agg(F.sum("n").alias("n"))
-    return at.join(sums, node, "left").select(node, F.array_join("path", " > ").alias("path"), F.coalesce("n", F.lit(0)).alias("n"))
+    return tree_sums(nodes, counts, node, parent, label).select(node, F.array_join("path", " > ").alias("path"), "n")
 
 
 def pruned(entries: DataFrame, status: DataFrame, group: str, link: str, good: str) -> DataFrame:

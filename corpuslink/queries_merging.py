@@ -178,7 +178,7 @@ def merging_tree(t):
     n = t("nation").select(tag("n", "n_nationkey"), tag("r", "n_regionkey"), "n_name")
     s = t("supplier").select(tag("s", "s_suppkey"), tag("n", "s_nationkey"), "s_name")
     counts = t("lineitem").groupBy(tag("s", "l_suppkey").alias("id")).agg(F.count("*").alias("n"))
-    return M.tree_counts(r.union(n).union(s), counts, "id", "up", "label", 3)
+    return M.tree_counts(r.union(n).union(s), counts, "id", "up", "label")
 
 
 @query("""WITH k AS (SELECT page_id, url FROM pages WHERE url IN (SELECT url FROM pages WHERE page_id % 3 > 0)), g AS (SELECT DISTINCT page_id // 2 AS grp FROM k), d AS (SELECT grp, row_number() OVER (ORDER BY grp) AS number FROM g)

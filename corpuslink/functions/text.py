@@ -37,25 +37,35 @@ def terms(normal: Column) -> Column:
 
 
 def question_normalise(c: Column | str) -> Column:
-    """Quotes, word-limit and marks notes, leading numbers go; ``&`` is and; then as for search."""
+    """Notes of marks go, in brackets with all that these hold; then the number in front; ``&`` is and; then as for search.
+
+    A number in front is a q with or without a dot, digits, a part letter and a mark, each of which may be missing, or up to two digits with a mark. Texts
+    that can't hold either aren't searched for it.
+    """
     t = F.lower(text(c))
-    t = F.regexp_replace(t, "[‘’'\"“”]", "")
-    t = F.regexp_replace(t, r"\(?[0-9]+\s*(marks?|words?)\)?", " ")
-    t = F.regexp_replace(t, r"^\s*(q(uestion)?\s*)?[0-9]+\s*[.):-]\s*", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "&", " and "), "[^a-z0-9]+", " "))
+    note = r"(?<![a-z0-9_])[0-9]{1,3}\s*marks?"
+    within = "|".join(rf"\{a}[^\{b}]*{note}[^\{b}]*\{b}" for a, b in ("()", "[]"))
+    bare = rf"{note}(?:\s*/\s*[0-9]+\s*words?)?(?![a-z0-9_])"
+    t = F.when(t.contains("mark"), F.regexp_replace(F.regexp_replace(t, within, ""), bare, "")).otherwise(t)
+    mark = r"[.)\]:-]"
+    front = F.regexp_replace(F.regexp_replace(t, rf"^\s*q\.?\s*[0-9]{{0,2}}\s*[a-e]?\s*{mark}?\s*", ""), rf"^\s*qa?\s*{mark}?\s*", "")
+    t = F.when(t.rlike(r"^\s*[q0-9]"), F.regexp_replace(front, rf"^\s*[0-9]{{1,2}}\s*{mark}\s*", "")).otherwise(t)
+    return F.trim(F.regexp_replace(F.replace(t, F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " "))
 
 
 def stem(t: Column) -> Column:
-    """Light stemmer: -isation, analys-, then ies, ing, ed, s where enough of the word remains."""
+    """Light stemmer: -isation(s), analys, two centuries, then ies, ing, ed, s where enough of the word remains."""
     n = F.length(t)
     cut = lambda k: F.substring(t, F.lit(1), n - k)
     return (
         F.when(t.endswith("isation"), F.concat(cut(7), F.lit("ization")))
-        .when(t.startswith("analys"), F.lit("analysis"))
-        .when(t.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y")))
-        .when(t.endswith("ing") & (n > 6), cut(3))
-        .when(t.endswith("ed") & (n > 5), cut(2))
-        .when(t.endswith("s") & ~t.endswith("ss") & (n > 3), cut(1))
+        .when(t.endswith("isations"), F.concat(cut(8), F.lit("ization")))
+        .when(t.endswith("analys"), F.concat(t, F.lit("i")))  # analysis, and then its last s
+        .when(t == "nineteenth", "19th").when(t == "twentieth", "20th")
+        .when(t.endswith("ies") & (n > 6), F.concat(cut(3), F.lit("y")))
+        .when(t.endswith("ing") & (n > 7), cut(3))
+        .when(t.endswith("ed") & (n > 6), cut(2))
+        .when(t.endswith("s") & ~t.endswith("ss") & (n > 5), cut(1))
         .otherwise(t)
     )
 

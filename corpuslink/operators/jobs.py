@@ -10,6 +10,7 @@ from . import linking as L
 from . import merging as M
 from . import ranking as R
 from .grouping import top_per_group
+from .rounds import settled
 
 
 def corpus_links(
@@ -17,21 +18,25 @@ def corpus_links(
 ) -> tuple[DataFrame, DataFrame]:
     """Links of ``left`` to ``right`` rows (ids and stemmed tokens), and the review queue of pairs near the gates.
 
-    Weights, rare-token candidates, pair scores, topic and semantic boosts, classes; the first ``cards`` accepted of each left row, and the first
-    ``reviewed`` others of confidence ``review`` or more. ``subject``: Column on ``right`` that says the row is of the subject.
+    Weights, rare-token candidates, pair scores, anchor phrases, topic and semantic boosts, classes; the first ``cards`` accepted of each left row, and
+    the first ``reviewed`` others of confidence ``review`` or more. ``subject``: Column on ``right`` that says the row is of the subject.
+    Tokens of both sides are made once and stored.
     """
-    pairs = L.linked(left, right, L.idf(right, toks).select("token", "weight"), left_id, right_id, toks)
-    topic = left.select(left_id, M.topic_tokens(F.col(toks), noise).alias("_t"))
-    held = right.select(right_id, F.array_distinct(toks).alias("_h"), subject.alias("subject"))
-    rows = pairs.join(topic, left_id).join(held, right_id).withColumn("hits", F.size(M.semantic_hits(F.col("_t"), F.col("_h"))))
-    rows = rows.withColumn("overlap", M.topic_overlap(F.col("_t"), F.col("_h"))).withColumn("topic_hits", F.size(F.filter("_t", lambda x: F.array_contains("_h", x))))
-    none = F.lit(0)
-    rows = rows.withColumn("confidence", M.boosted(F.col("confidence"), none, F.col("hits"), F.col("subject"), F.col("overlap")))
+    left, right = settled(left.select(left_id, toks)), settled(right.select(right_id, toks, subject.alias("subject")))
+    weights = settled(L.idf(right, toks).select("token", "weight"))
+    asked = left.withColumn("_t", F.transform(M.topic_tokens(F.col(toks), noise), lambda t: F.xxhash64(t)))
+    both = {"_b": F.array_intersect("_t", "_r"), "_m": F.size("_r")}
+    pairs = L.linked(asked, right, weights, left_id, right_id, toks, left_keep=("_t",), right_keep=("subject",), extra=both)
+    anchors = L.strong_anchors(left, right, weights, left_id, right_id, toks, noise).select(left_id, right_id, F.size("anchors").alias("anchors"))
+    rows = pairs.join(anchors, [left_id, right_id], "left").withColumn("anchors", F.coalesce("anchors", F.lit(0)))
+    rows = rows.withColumn("hits", F.least(F.lit(M.HITS), F.size("_b"))).withColumn("topic_hits", F.size(F.filter("_t", lambda x: F.array_contains("_b", x))))
+    rows = rows.withColumn("overlap", F.col("topic_hits") / F.greatest(F.lit(1), F.least(F.greatest(F.size("_t"), F.lit(1)), F.greatest("_m", F.lit(1)))))
+    rows = rows.withColumn("confidence", M.boosted(F.col("confidence"), F.col("anchors"), F.col("hits"), F.col("subject"), F.col("overlap")))
     floor = F.greatest("cover", "mapped_cover", "idf_cover", "idf_mapped", "overlap")
     kind = M.link_class(
-        F.col("confidence"), F.col("shared"), F.col("cover"), F.col("idf_cover"), F.col("subject"), none, F.col("hits"), F.col("overlap"), F.col("topic_hits"), floor
+        F.col("confidence"), F.col("shared"), F.col("cover"), F.col("idf_cover"), F.col("subject"), F.col("anchors"), F.col("hits"), F.col("overlap"), F.col("topic_hits"), floor
     )
-    rows = rows.withColumn("class", kind).select(left_id, right_id, "confidence", "hits", "class")
+    rows = rows.withColumn("class", kind).select(left_id, right_id, "confidence", "hits", "anchors", "class")
     order = [F.desc(F.round("confidence", 9)), right_id]
     links = top_per_group(rows.filter("class != 'none'"), [left_id], order, cards)
     queue = top_per_group(rows.filter((F.col("class") == "none") & (F.col("confidence") >= review)), [left_id], order, reviewed)

@@ -30,38 +30,41 @@ def asking(left: DataFrame, weights: DataFrame, left_id: str, toks: str, rare: i
     return rows.withColumn("r", rank).select(left_id, "token", "weight", ((F.col("r") <= rare) & ((F.col("weight") >= least) | (F.col("r") == 1))).alias("asked"))
 
 
-def candidates(left: DataFrame, right: DataFrame, weights: DataFrame, left_id: str, right_id: str, toks: str, rare: int = 10, least: float = 1.65) -> DataFrame:
-    """Distinct (left_id, right_id) that share a token the left row asks by."""
-    asked = asking(left, weights, left_id, toks, rare, least).filter("asked").select(left_id, "token")
-    held = right.select(right_id, F.explode(F.array_distinct(toks)).alias("token"))
-    return asked.join(held, "token").select(left_id, right_id).distinct()
-
-
-def linked(left: DataFrame, right: DataFrame, weights: DataFrame, left_id: str, right_id: str, toks: str, rare: int = 10, least: float = 1.65) -> DataFrame:
+def linked(
+    left: DataFrame, right: DataFrame, weights: DataFrame, left_id: str, right_id: str, toks: str, rare: int = 10, least: float = 1.65,
+    left_keep: tuple[str, ...] = (), right_keep: tuple[str, ...] = (), extra: dict[str, Column] | None = None,
+) -> DataFrame:
     """The candidates with shared, cover, mapped_cover, jaccard, idf_cover, idf_mapped and confidence.
 
-    The tokens a left row asks by find its candidates; a token it doesn't ask by joins nothing. Only then do the candidates' tokens meet, in
-    the row: the left row's weights come along as a list, and what the right row holds of it is summed there.
+    The tokens a left row asks by find its candidates; a token it doesn't ask by joins nothing. Tokens are numbered by their 64-bit hashes, so
+    that pairs are joined, and sets intersected, as integers; the right rows' numbers meet their pairs once. ``right`` is read
+    several times: store it where its tokens are dear. Kept are columns of either side; ``extra`` are Columns on these and on
+    ``_r``, the right row's distinct numbers.
     """
-    lt = asking(left, weights, left_id, toks, rare, least)
-    held = right.select(right_id, F.explode(F.array_distinct(toks)).alias("token"))
+    number = lambda t: F.xxhash64(t)
+    lt = asking(left, weights, left_id, toks, rare, least).withColumn("_n", number("token"))
+    held = right.select(right_id, *right_keep, F.array_distinct(F.transform(toks, number)).alias("_r"))
+    each = held.select(right_id, F.explode("_r").alias("_n"))
     sums = lambda t, ident, name: t.groupBy(ident).agg(F.count("*").alias(f"n_{name}"), F.sum("weight").alias(f"w_{name}"))
-    rs = sums(held.join(weights, "token"), right_id, "right")
+    rs = sums(each.join(weights.select(number("token").alias("_n"), "weight"), "_n"), right_id, "right")
     ls = lt.groupBy(left_id).agg(
-        F.count("*").alias("n_left"), F.sum("weight").alias("w_left"), F.sort_array(F.collect_list(F.struct("token", "weight"))).alias("_l")  # one row's tokens
+        F.count("*").alias("n_left"), F.sum("weight").alias("w_left"), F.sort_array(F.collect_list(F.struct("_n", "weight"))).alias("_l")  # one row's tokens
     )
-    pairs = lt.filter("asked").select(left_id, "token").join(held, "token").select(left_id, right_id).distinct()
-    rows = pairs.join(ls, left_id).join(right.select(right_id, F.array_distinct(toks).alias("_r")), right_id)
-    rows = rows.withColumn("_l", F.filter("_l", lambda x: F.array_contains("_r", x["token"])))
+    if left_keep:
+        ls = ls.join(left.select(left_id, *left_keep), left_id)
+    pairs = lt.filter("asked").select(left_id, "_n").join(each, "_n").select(left_id, right_id).distinct()
+    rows = pairs.join(ls, left_id).join(held, right_id).withColumns({"_s": F.array_intersect(F.transform("_l", lambda x: x["_n"]), "_r"), **(extra or {})})
+    kept = [*left_keep, *right_keep, *(extra or {})]
     rows = rows.select(
-        left_id, right_id, "n_left", "w_left", F.size("_l").cast("long").alias("shared"), F.aggregate("_l", F.lit(0.0), lambda a, x: a + x["weight"]).alias("w_shared")
-    ).join(rs, right_id)
+        left_id, right_id, *kept, "n_left", "w_left", F.size("_s").cast("long").alias("shared"),
+        F.aggregate(F.filter("_l", lambda x: F.array_contains("_s", x["_n"])), F.lit(0.0), lambda a, x: a + x["weight"]).alias("w_shared"),
+    ).join(rs, right_id)
     cover, mapped = F.col("shared") / F.col("n_left"), F.col("shared") / F.col("n_right")
     jaccard = F.col("shared") / (F.col("n_left") + F.col("n_right") - F.col("shared"))
     heavy, heavy_mapped = F.col("w_shared") / F.col("w_left"), F.col("w_shared") / F.col("w_right")
     confidence = F.least(F.lit(0.99), 0.24 * cover + 0.18 * mapped + 0.15 * jaccard + 0.24 * heavy + 0.09 * heavy_mapped)
     return rows.select(
-        left_id, right_id, "shared", cover.alias("cover"), mapped.alias("mapped_cover"), jaccard.alias("jaccard"),
+        left_id, right_id, *kept, "shared", cover.alias("cover"), mapped.alias("mapped_cover"), jaccard.alias("jaccard"),
         heavy.alias("idf_cover"), heavy_mapped.alias("idf_mapped"), confidence.alias("confidence"),
     )
 

@@ -265,9 +265,8 @@ def staged_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     return exact.union(same).union(best.select(left_id, right_id, F.lit("scored"), value, "type"))
 
 
-def semantic_hits(topic: Column, held: Column, most: int = 8) -> Column:
-    """The first ``most`` distinct topic tokens that the other side holds."""
-    return F.slice(F.filter(F.array_distinct(topic), lambda t: F.array_contains(held, t)), 1, most)
+#: Fixed value: semantic hits that count at most.
+HITS = 8
 
 
 def topic_tokens(toks: Column, noise: list[str]) -> Column:
@@ -275,12 +274,6 @@ def topic_tokens(toks: Column, noise: list[str]) -> Column:
     return F.filter(toks, lambda t: ~t.isin(noise) & ~t.rlike("^[0-9]{1,2}$"))
 
 
-def topic_overlap(topic: Column, held: Column) -> Column:
-    """Topic tokens (repeats counted) that the other side holds, by the smaller of the two sizes."""
-    hits = F.size(F.filter(topic, lambda t: F.array_contains(held, t)))
-    return hits / F.greatest(F.lit(1), F.least(F.greatest(F.size(topic), F.lit(1)), F.greatest(F.size(held), F.lit(1))))
-
-
 def boosted(confidence: Column, anchors: Column, hits: Column, subject: Column, overlap: Column) -> Column:
     """Pair confidence with 0.07 an anchor (0.18 at most), 0.025 a semantic hit (0.08), 0.04 for the subject, 0.14 times the topic overlap; 0.99 at most."""
     return F.least(

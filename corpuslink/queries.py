@@ -13,6 +13,7 @@ from .operators import grouping as G
 from .operators import linking as L
 from .operators import people as P
 from .operators import placement as PL
+from .operators import rounds as RO
 from .operators import search as S
 from .sources import trees as TR
 from .streaming import calendar as CAL
@@ -42,14 +43,19 @@ def query(sql: str | None = None):
 
 NORMAL = "trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'))"
 TOKS = f"list_filter(string_split({NORMAL}, ' '), lambda t: t <> '')"
-QNORMAL = (
-    "trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[‘’''\"“”]', '', 'g'), "
-    r"'\(?[0-9]+\s*(marks?|words?)\)?', ' ', 'g'), '^\s*(q(uestion)?\s*)?[0-9]+\s*[.):-]\s*', ''), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
-)
+_NOTE = r"\b[0-9]{1,3}\s*marks?"
+_STEPS = [
+    (rf"\([^)]*{_NOTE}[^)]*\)|\[[^\]]*{_NOTE}[^\]]*\]", "g"), (rf"{_NOTE}(?:\s*/\s*[0-9]+\s*words?)?\b", "g"), (r"^\s*q\.?\s*[0-9]{0,2}\s*[a-e]?\s*[.)\]:-]?\s*", ""),
+    (r"^\s*qa?\s*[.)\]:-]?\s*", ""), (r"^\s*[0-9]{1,2}\s*[.)\]:-]\s*", ""),
+]
+QNORMAL = "lower(coalesce(text, ''))"
+for _pattern, _flags in _STEPS:
+    QNORMAL = f"regexp_replace({QNORMAL}, '{_pattern}', '', '{_flags}')"
+QNORMAL = f"trim(regexp_replace(replace({QNORMAL}, '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
 STEM = (
-    "CASE WHEN t LIKE '%isation' THEN regexp_replace(t, 'isation$', 'ization') WHEN t LIKE 'analys%' THEN 'analysis' "
-    "WHEN t LIKE '%ies' AND length(t) > 4 THEN regexp_replace(t, 'ies$', 'y') WHEN t LIKE '%ing' AND length(t) > 6 THEN regexp_replace(t, 'ing$', '') "
-    "WHEN t LIKE '%ed' AND length(t) > 5 THEN regexp_replace(t, 'ed$', '') WHEN t LIKE '%s' AND t NOT LIKE '%ss' AND length(t) > 3 THEN regexp_replace(t, 's$', '') ELSE t END"
+    "CASE WHEN t LIKE '%isation' THEN regexp_replace(t, 'isation$', 'ization') WHEN t LIKE '%isations' THEN regexp_replace(t, 'isations$', 'ization') WHEN t LIKE '%analys' THEN t || 'i' "
+    "WHEN t = 'nineteenth' THEN '19th' WHEN t = 'twentieth' THEN '20th' WHEN t LIKE '%ies' AND length(t) > 6 THEN regexp_replace(t, 'ies$', 'y') WHEN t LIKE '%ing' AND length(t) > 7 THEN regexp_replace(t, 'ing$', '') "
+    "WHEN t LIKE '%ed' AND length(t) > 6 THEN regexp_replace(t, 'ed$', '') WHEN t LIKE '%s' AND t NOT LIKE '%ss' AND length(t) > 5 THEN regexp_replace(t, 's$', '') ELSE t END"
 )
 STOPS = ", ".join(f"'{w}'" for w in STOP)
 LTOKS = (
@@ -166,7 +172,7 @@ sc AS (SELECT item_id, doc_id, k / nl AS cover, least(0.99, 0.24 * k / nl + 0.18
 rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(c, 9) DESC, doc_id) AS rank FROM sc)
 SELECT item_id, doc_id, rank::INT AS rank, round(cover, 6) AS cover, round(c, 6) AS confidence, CASE WHEN cover >= 0.72 THEN 'strong' WHEN cover >= 0.3 THEN 'topic-match' ELSE 'none' END AS class FROM rk WHERE rank <= 5""")
 def linking_candidates(t):
-    d = t("documents").select("doc_id", T.link_token_set("text", STOP).alias("toks"))
+    d = RO.settled(t("documents").select("doc_id", T.link_token_set("text", STOP).alias("toks")))
     q = t("benchmark").select("item_id", T.link_token_set("text", STOP).alias("toks"))
     weights = L.idf(d, "toks").select("token", "weight")
     scores = L.linked(q, d, weights, "item_id", "doc_id", "toks")
@@ -174,12 +180,17 @@ def linking_candidates(t):
     return top.select("item_id", "doc_id", "rank", F.round("cover", 6).alias("cover"), F.round("confidence", 6).alias("confidence"), L.classed(F.col("cover")).alias("class"))
 
 
-@query(f"""WITH {IDF}, gram AS (SELECT item_id, s, i, toks[i:i + s - 1] AS g FROM (SELECT item_id, toks, s, unnest(range(1, len(toks) - s + 2)) AS i FROM q, (VALUES (3), (2)) z(s))),
+def _anchors(noise: str) -> str:
+    """SQL of the anchor phrases ``p`` of items and the phrases ``dg`` of documents; ``noise``: quoted tokens."""
+    return f"""gram AS (SELECT item_id, s, i, toks[i:i + s - 1] AS g FROM (SELECT item_id, toks, s, unnest(range(1, len(toks) - s + 2)) AS i FROM q, (VALUES (3), (2)) z(s))),
 gt AS (SELECT item_id, s, i, array_to_string(g, ' ') AS phrase, unnest(g) AS token FROM gram),
 gs AS (SELECT item_id, s, i, phrase, avg(coalesce(weight, 1.0)) AS w, bool_or(length(token) >= 8) AS long,
-bool_or(regexp_full_match(token, '[0-9]{{2,4}}') OR (token <> 'thea' AND (length(token) >= 5 OR coalesce(weight, 1.0) >= 2.4))) AS specific FROM gt LEFT JOIN idf USING (token) GROUP BY ALL),
+bool_or(regexp_full_match(token, '[0-9]{{2,4}}') OR (token NOT IN ({noise}) AND (length(token) >= 5 OR coalesce(weight, 1.0) >= 2.4))) AS specific FROM gt LEFT JOIN idf USING (token) GROUP BY ALL),
 p AS (SELECT item_id, phrase, min((3 - s) * 10000000 + i) AS ord FROM gs WHERE specific AND (w >= 2.2 OR long) GROUP BY 1, 2),
-dg AS (SELECT DISTINCT doc_id, array_to_string(toks[i:i + s - 1], ' ') AS phrase FROM (SELECT doc_id, toks, s, unnest(range(1, len(toks) - s + 2)) AS i FROM d, (VALUES (3), (2)) z(s)))
+dg AS (SELECT DISTINCT doc_id, array_to_string(toks[i:i + s - 1], ' ') AS phrase FROM (SELECT doc_id, toks, s, unnest(range(1, len(toks) - s + 2)) AS i FROM d, (VALUES (3), (2)) z(s)))"""
+
+
+@query(f"""WITH {IDF}, {_anchors("'thea'")}
 SELECT item_id, doc_id, array_to_string(list(phrase ORDER BY ord)[:8], '|') AS anchors FROM p JOIN dg USING (phrase) GROUP BY 1, 2""")
 def linking_anchors(t):
     d = t("documents").select("doc_id", T.link_tokens("text", STOP).alias("toks"))

@@ -9,7 +9,7 @@ from .functions import text as T
 from .operators import jobs as J
 from .operators import merging as M
 from .operators import ranking as R
-from .queries import IDF, NORMAL, STOP, query
+from .queries import IDF, NORMAL, STOP, _anchors, query
 
 
 
@@ -246,11 +246,12 @@ ls AS (SELECT item_id, count(*) AS nl, sum(weight) AS wl FROM qt JOIN idf USING
 sh AS (SELECT item_id, doc_id, count(*) AS k, sum(weight) AS wk FROM pair JOIN qt USING (item_id) JOIN dt USING (doc_id, token) JOIN idf USING (token) GROUP BY 1, 2),
 tp AS (SELECT item_id, list_filter(toks, lambda t: t NOT IN ('thea', 'tion') AND NOT regexp_full_match(t, '[0-9]{{1,2}}')) AS tt FROM q), ds AS (SELECT doc_id, list_distinct(toks) AS dd, doc_id % 2 = 0 AS subject FROM d),
 tv AS (SELECT item_id, doc_id, subject, len(list_filter(tt, lambda t: list_contains(dd, t))) AS th, least(8, len(list_filter(list_distinct(tt), lambda t: list_contains(dd, t)))) AS hits, greatest(1, least(greatest(len(tt), 1), greatest(len(dd), 1))) AS den FROM sh JOIN tp USING (item_id) JOIN ds USING (doc_id)),
-f AS (SELECT item_id, doc_id, subject, k, hits, th, th / den AS ov, k / nl AS cv, wk / wl AS hv, greatest(k / nl, k / nr, wk / wl, wk / wr, th / den) AS fl, least(0.99, least(0.99, 0.24 * k / nl + 0.18 * k / nr + 0.15 * k / (nl + nr - k) + 0.24 * wk / wl + 0.09 * wk / wr) + least(0.08, hits * 0.025) + CASE WHEN subject THEN 0.04 ELSE 0 END + least(0.14, th / den * 0.14)) AS c
-FROM sh JOIN ls USING (item_id) JOIN rs USING (doc_id) JOIN tv USING (item_id, doc_id))"""
+{_anchors("'thea', 'tion'")}, an AS (SELECT item_id, doc_id, least(8, count(*)) AS na FROM p JOIN dg USING (phrase) GROUP BY 1, 2),
+f AS (SELECT item_id, doc_id, subject, k, hits, coalesce(na, 0) AS na, th, th / den AS ov, k / nl AS cv, wk / wl AS hv, greatest(k / nl, k / nr, wk / wl, wk / wr, th / den) AS fl, least(0.99, least(0.99, 0.24 * k / nl + 0.18 * k / nr + 0.15 * k / (nl + nr - k) + 0.24 * wk / wl + 0.09 * wk / wr) + least(0.18, coalesce(na, 0) * 0.07) + least(0.08, hits * 0.025) + CASE WHEN subject THEN 0.04 ELSE 0 END + least(0.14, th / den * 0.14)) AS c
+FROM sh JOIN ls USING (item_id) JOIN rs USING (doc_id) JOIN tv USING (item_id, doc_id) LEFT JOIN an USING (item_id, doc_id))"""
 
 
-CLASS = """CASE WHEN c >= 0.82 AND k >= 5 AND cv >= 0.72 AND hv >= 0.76 THEN 'strong' WHEN subject AND ov >= 0.3 AND (k >= 2 OR hv >= 0.18) THEN 'topic-match'
+CLASS = """CASE WHEN c >= 0.82 AND k >= 5 AND cv >= 0.72 AND hv >= 0.76 THEN 'strong' WHEN c >= 0.68 AND subject AND na >= 1 AND hits >= 1 AND hv >= 0.36 THEN 'strong' WHEN subject AND ov >= 0.3 AND (k >= 2 OR na >= 1 OR hv >= 0.18) THEN 'topic-match'
 WHEN subject AND fl >= 0.3 AND th >= 1 AND (k >= 1 OR hits >= 2) THEN 'loose-topic-match' ELSE 'none' END"""
 
 
@@ -260,10 +261,10 @@ def _corpus_links(t):
     return J.corpus_links(q, d, "item_id", "doc_id", "toks", ["thea", "tion"], F.col("doc_id") % 2 == 0)
 
 
-@query(f"""WITH {BOOST}, h AS (SELECT *, {CLASS} AS class FROM f) SELECT item_id, doc_id, rank::INT AS rank, round(c, 6) AS confidence, hits::INT AS hits, class FROM (
+@query(f"""WITH {BOOST}, h AS (SELECT *, {CLASS} AS class FROM f) SELECT item_id, doc_id, rank::INT AS rank, round(c, 6) AS confidence, hits::INT AS hits, na::INT AS anchors, class FROM (
 SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(c, 9) DESC, doc_id) AS rank FROM h WHERE class <> 'none') WHERE rank <= 18""")
 def merging_corpus_links(t):
-    return _corpus_links(t)[0].select("item_id", "doc_id", "rank", F.round("confidence", 6).alias("confidence"), "hits", "class")
+    return _corpus_links(t)[0].select("item_id", "doc_id", "rank", F.round("confidence", 6).alias("confidence"), "hits", "anchors", "class")
 
 
 @query(f"""WITH {BOOST}, h AS (SELECT *, {CLASS} AS class FROM f) SELECT item_id, doc_id, rank::INT AS rank, round(c, 6) AS confidence FROM (

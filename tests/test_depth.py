@@ -286,3 +286,31 @@ def test_appending_sink_keeps_the_first_result_of_a_key(spark, tmp_path):
     got = sorted((r["k"], r["v"]) for r in spark.read.parquet(*glob.glob(f"{path}/batch=*")).collect())
     assert got == [(1, "b"), (2, "c"), (3, "d")]
     shutil.rmtree(path)
+
+
+# ---- question texts ----
+
+
+@pytest.mark.parametrize(
+    ("said", "want"),
+    [
+        ("Don't stop", "don t stop"), ("Explain (10 marks, 150 words) this", "explain this"), ("Why [20 Marks]?", "why"), ("Give 5 marks / 100 words reasons", "give reasons"),
+        ("Q. 12 b) Discuss", "discuss"), ("3. Analyse", "analyse"), ("12 men", "12 men"), ("R&D costs", "r and d costs"), ("benchmark 5 marksmen", "benchmark 5 marksmen"),
+        ("quality", "uality"), (None, ""), ("Qa: Is it", "is it"),
+    ],
+)
+def test_question_normalise(spark, said, want):
+    from corpuslink.functions import text as T
+
+    assert spark.createDataFrame([(said,)], "text string").select(T.question_normalise("text")).first()[0] == want
+
+
+def test_stem(spark):
+    from corpuslink.functions import text as T
+
+    want = {
+        "organisation": "organization", "organisations": "organization", "psychoanalys": "psychoanalysi", "analysis": "analysi", "nineteenth": "19th", "twentieth": "20th", "policies": "policy",
+        "series": "series"[:-1], "working": "working", "governing": "govern", "wanted": "wanted", "governed": "govern", "class": "class", "rights": "right", "state": "state",
+    }
+    got = spark.createDataFrame([(w,) for w in want], "t string").select("t", T.stem(F.col("t")).alias("s")).collect()
+    assert {r["t"]: r["s"] for r in got} == want

@@ -3,13 +3,13 @@
 The cost of a value is the least product of guesses over all its segmentations into dictionary
 words, dates, repeats, keyboard walks and brute-force spans (dynamic programming over its
 positions, log10). Values whose cost reaches ``MIN_LOG10`` are likely real secrets and add a
-``guess`` span, also where it goes on after a base span; base spans always stay. In values without a digit a run of letters that
-reads like a word costs ``WORD_LOG10`` at most, so that prose after a context is no secret.
+``guess`` span, also where it goes on after a base span; base spans always stay. Prose after a context is no secret because its words, or
+their parts, are in the dictionary; letters that are no words cost what brute force costs, in one case or in two.
 
-The dictionary is the list of common password words, then the ``DICTIONARY`` commonest words of all texts, counted by Spark; these are all
-that the driver gathers and sends out. Then one pass over the rows. One programme runs over a value of any length; a segment
-looks back over the whole of a run or walk, else ``BACK`` code points at most, so it takes time in proportion to the length, and it ends
-as soon as every way on costs MIN_LOG10.
+The dictionary is the list of common password words and word parts, then the ``DICTIONARY`` commonest words of all texts (of 4 to ``LONGEST`` letters), counted by
+Spark; these are all that the driver gathers and sends out. Then one pass over the rows. One programme runs over a value of any length, and
+every segment is tried at its full length: words, dates, walks, runs, and blocks said twice, of any size. It ends as soon as every
+way on costs MIN_LOG10, which random values reach within some twenty code points; one that stays cheap takes time that grows with its square.
 
 Defined results: null text counts as empty and has no spans; repeated rows are scanned one by one; whole texts are scanned, however long; ids may be
 of any type; an empty table gives an empty table; other columns are ignored by ``scan`` and kept by ``redacted``, whatever their names.
@@ -22,6 +22,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,22 +42,21 @@ HINTS = ("passw", "secret", "token", "key")
 CONTEXT_HINTS = ("passw", "secret", "token", "pwd", "passphrase", "passcode", "credential", "auth", "bearer", "key", "client", "signature", "session", "cookie")
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10 = 12.0
-WORD_LOG10 = 5.0
-DICTIONARY, LEAST_COUNT, BACK, CACHE = 20_000, 5, 20, 20_000
+DICTIONARY, LEAST_COUNT, LONGEST, CACHE = 20_000, 5, 64, 20_000
 
-#: Common words inside passwords, by falling frequency.
+#: Common words inside passwords, by falling frequency, and common parts of longer words.
 WORDS = (
     "password love admin welcome monkey dragon master login princess sunshine shadow letmein football baseball superman "
     "michael secret summer winter spring autumn hello freedom whatever trust ninja azerty starwars computer internet "
-    "test user guest root default change private public server database system token access the and for you that with this"
+    "test user guest root default change private public server database system token access the and for you that with this "
+    "tion ation ication ment ness able ible ical ally ious ence ance ing ized ship ful less inter under over trans counter self auth ident inform commun organ "
+    "govern develop manage require process connect certif operat"
 ).split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 LEET = str.maketrans("0134578@$!", "oleastbasi")
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz")
 NEXT = {(r[i], r[i + d]) for r in ROWS for d in (1, -1) for i in range(len(r)) if 0 <= i + d < len(r)}
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?")
-LETTERS = re.compile(r"[^\W\d_]{4,}")
-CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]{6,}")
 
 
 def _alphabet(value: str) -> int:
@@ -67,33 +67,35 @@ def _alphabet(value: str) -> int:
     ) or 1
 
 
-def _readable(value: str) -> dict[int, int]:
-    """End to start of runs of letters of one case, or capitalised, that read like words; none if the value has a digit."""
-    if any(c.isdigit() for c in value):
-        return {}
-    runs = ((m, m[0]) for m in LETTERS.finditer(value))
-    return {m.end(): m.start() for m, w in runs if (w[1:].islower() or w.isupper()) and re.search("[^b-df-hj-np-tv-xz]", w.lower()) and not CONSONANTS.search(w.lower())}
+def lengths_of(ranks: dict[str, int]) -> tuple[int, ...]:
+    """The lengths of dictionary words, from three letters on."""
+    return tuple(sorted({len(w) for w in ranks if len(w) >= 3}))
 
 
-def guess_cost(value: str, ranks: dict[str, int] = RANK, enough: float = math.inf) -> float:
+def guess_cost(value: str, ranks: dict[str, int] = RANK, enough: float = math.inf, lengths: tuple[int, ...] | None = None) -> float:
     """log10 of the least guesses over all segmentations of ``value``; where they reach ``enough``, something not below it."""
     n, lower = len(value), value.lower()
     if len(lower) != n:  # a letter that has no single lower-case code point
         lower = value
-    plain, step = lower.translate(LEET), math.log10(_alphabet(value))
-    best = [0.0] + [math.inf] * n
+    lengths = lengths_of(ranks) if lengths is None else lengths
+    plain, step, twice = lower.translate(LEET), math.log10(_alphabet(value)), math.log10(2.0)
+    points = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), "<u4")
+    best = np.full(n + 1, np.inf)
+    best[0] = 0.0
+    same = np.zeros(n // 2 + 2, np.int64)  # of each block size, how far back every code point equals the one a block before
+    block = np.arange(len(same))
     walk = run = 1  # lengths of the keyboard walk and of the run that end here
-    words = _readable(value)
-    inside = {j: a for b, a in words.items() for j in range(a, b)}
+    longest = lengths[-1] if lengths else 0
     for j in range(1, n + 1):
         cost = best[j - 1] + step
-        for i in range(max(0, j - BACK), j - 2):
+        for size in lengths:
+            if size > j:
+                break
+            i = j - size
             if rank := ranks.get(lower[i:j]):
-                cost = min(cost, best[i] + math.log10(rank + 10) + (0.0 if value[i:j] == lower[i:j] else math.log10(2.0 + j - i)))
+                cost = min(cost, best[i] + math.log10(rank + 10) + (0.0 if value[i:j] == lower[i:j] else math.log10(2.0 + size)))
             elif rank := ranks.get(plain[i:j]):
-                cost = min(cost, best[i] + math.log10(rank + 10) + math.log10(4.0 + j - i))
-        if j in words:
-            cost = min(cost, best[words[j]] + WORD_LOG10)
+                cost = min(cost, best[i] + math.log10(rank + 10) + math.log10(4.0 + size))
         for size in (4, 6, 7, 8, 10):
             if size <= j and DATE.fullmatch(value, j - size, j):
                 cost = min(cost, best[j - size] + (2.1 if size == 4 else 4.6))
@@ -104,19 +106,23 @@ def guess_cost(value: str, ranks: dict[str, int] = RANK, enough: float = math.in
             cost = min(cost, best[j - walk] + math.log10(40.0 * walk))
         if run >= 3:
             cost = min(cost, best[j - run] + step + math.log10(run))
-        for size in range(2, min(BACK, j // 2) + 1):  # a block said twice
-            if value[j - size : j] == value[j - 2 * size : j - size]:
-                cost = min(cost, best[j - size] + math.log10(2.0))
+        most = min(len(same), j) - 1
+        if most >= 2:
+            equal = points[j - 1 - most : j - 1][::-1] == points[j - 1]
+            same[1 : most + 1] = np.where(equal, same[1 : most + 1] + 1, 0)
+            said = np.flatnonzero(same[2 : most + 1] >= block[2 : most + 1]) + 2  # blocks said twice
+            if len(said):
+                cost = min(cost, best[j - said].min() + twice)
         best[j] = cost
         # No later segment begins before these places.
-        if cost >= enough and min(*best[max(0, j - BACK) : j + 1], best[j - walk], best[j - run], best[inside.get(j, j)]) >= enough:
-            return cost
-    return best[n]
+        if cost >= enough and best[max(0, min((j + 1) // 2, j + 1 - longest, j - walk, j - run)) : j + 1].min() >= enough:
+            return float(cost)
+    return float(best[n])
 
 
 def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY, least: int = LEAST_COUNT) -> dict[str, int]:
-    """Word to rank: the password words, then the ``size`` commonest words of four to BACK letters that all texts hold ``least`` times or more."""
-    words = docs.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("w")).filter(F.length("w").between(4, BACK))
+    """Word to rank: the password words, then the ``size`` commonest words of four to LONGEST letters that all texts hold ``least`` times or more."""
+    words = docs.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("w")).filter(F.length("w").between(4, LONGEST))
     counts = stored(words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= least), "words")
     # Only words from the power of two up at which there are enough are sorted and sent, whatever the number of partitions.
     level, sums, low = F.floor(F.log2("n")).cast("int"), 0, 0
@@ -134,12 +140,12 @@ class Costs(dict):
 
     def __init__(self, ranks: dict[str, int] = RANK, least: float = MIN_LOG10):
         super().__init__()
-        self.ranks, self.least = ranks, least
+        self.ranks, self.least, self.lengths = ranks, least, lengths_of(ranks)
 
     def __missing__(self, value: str) -> bool:
         if len(self) > CACHE:
             self.clear()
-        high = guess_cost(value, self.ranks, self.least) >= self.least
+        high = guess_cost(value, self.ranks, self.least, self.lengths) >= self.least
         if len(value) <= 200:
             self[value] = high
         return high

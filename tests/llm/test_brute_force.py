@@ -93,7 +93,7 @@ def test_recall_where_a_crowd_is_almost_as_near(spark):
 def cheapest(value, ranks):
     """Least cost over all segmentations, each segment at its own least cost: recursion over every cut."""
     step = math.log10(secret_scan._alphabet(value))
-    low, readable = value.lower(), secret_scan._readable(value)
+    low = value.lower()
     plain = low.translate(secret_scan.LEET)
 
     def segment(i, j):
@@ -108,8 +108,6 @@ def cheapest(value, ranks):
                 costs.append(math.log10(40 * n))
             if len(set(value[i:j])) == 1 and (i == 0 or value[i - 1] != value[i]):
                 costs.append(step + math.log10(n))
-        if readable.get(j) == i:
-            costs.append(secret_scan.WORD_LOG10)
         if n in (4, 6, 7, 8, 10) and secret_scan.DATE.fullmatch(value[i:j]):
             costs.append(2.1 if n == 4 else 4.6)
         if n >= 2 and i >= n and value[i - n : i] == value[i:j]:
@@ -125,8 +123,9 @@ def cheapest(value, ranks):
 def test_guess_cost_equals_all_segmentations():
     rng = np.random.default_rng(3)
     parts = ["password", "dragon", "2024", "20240131", "aaaa", "qwerty", "xyz", "p4ss", "Love", "7", "$", "abab", "Zq", "sunshine"]
-    for _ in range(400):
-        value = "".join(rng.choice(parts, rng.integers(1, 5)))
+    long = ["thonortionenrere", "zotaqepuvimox", "Hgtaqzpom", "abcabcabcabc", "Xk3vQ9zLp2RtW8mNqPsUyTbE"]
+    values = ["".join(rng.choice(parts, rng.integers(1, 5))) for _ in range(400)] + ["".join(rng.choice(parts + long, 3)) for _ in range(60)]
+    for value in [*values, *(x + x for x in long), *(x + "7" + x + x for x in long)]:
         assert secret_scan.guess_cost(value) == pytest.approx(cheapest(value, secret_scan.RANK)), value
         enough = secret_scan.guess_cost(value, enough=6.0)
         assert (enough >= 6.0) == (cheapest(value, secret_scan.RANK) >= 6.0)
@@ -138,6 +137,24 @@ def test_a_word_across_sixty_four_code_points_counts():
     assert secret_scan.guess_cost("Ab3$" * 50_000, enough=12.0) >= 12.0
 
 
+@pytest.mark.parametrize("size", [14, 20, 32])
+def test_random_letters_of_one_case_are_secrets(size):
+    rng = np.random.default_rng(size)
+    costly = secret_scan.Costs()
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        values = ["".join(rng.choice(list(letters), size)) for _ in range(500)]
+        assert sum(costly[v] for v in values) >= 475
+    assert secret_scan.find("pwd=hgtaqzpomvexliwbtucd", costly)[1] and secret_scan.find("bearer zotaqepuvimoxarewynobufi", costly)[1]
+
+
+def test_words_and_blocks_of_any_length_count():
+    word = "abstractednessification" * 2
+    assert secret_scan.guess_cost("X7" + word, {word: 1}) < 2 * math.log10(36 + 26) + math.log10(11) + 0.1
+    block = "Xk3vQ9zLp2RtW8mNqPsUyTbEh5JdGc4F"
+    assert secret_scan.guess_cost(block + block) == pytest.approx(secret_scan.guess_cost(block) + math.log10(2))
+    assert secret_scan.guess_cost("ab" * 3000, enough=12.0) < 12
+
+
 def test_planted_secrets_and_prose(spark):
     rng = np.random.default_rng(11)
     letters = list(string.ascii_letters + string.digits + "!$%*")
@@ -387,7 +404,7 @@ def test_pipeline_equals_plain_python(spark):
     rows = [r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if passes_rules(r["text"])]
     best, _ = components_of([(r["doc_id"], r["text"]) for r in rows], 5)
     rows = [r for r, b in zip(rows, best, strict=True) if b is None or b[1] == r["doc_id"]]
-    counts = Counter(w for r in rows for w in re.split("[^a-z]+", r["text"].lower()) if 4 <= len(w) <= secret_scan.BACK)
+    counts = Counter(w for r in rows for w in re.split("[^a-z]+", r["text"].lower()) if 4 <= len(w) <= secret_scan.LONGEST)
     common = sorted((w for w, n in counts.items() if n >= secret_scan.LEAST_COUNT), key=lambda w: (-counts[w], w))[: secret_scan.DICTIONARY]
     ranks = {}
     for i, w in enumerate([*secret_scan.WORDS, *common]):

@@ -537,7 +537,7 @@ MATCH = (
 PLACE_TAG, PLACE_Q = MATCH.format(a="tag", b="nl", ta="tag_t", tb="nl_t"), MATCH.format(a="q", b="nl", ta="q_t", tb="nl_t")
 
 
-@query(f"""WITH nodes AS (SELECT min(p_partkey) AS ord, 'node' || min(p_partkey) AS node_id, min_by(p_type, p_partkey) AS subject, p_name AS label, min_by(p_brand, p_partkey) || ' ring' AS paper FROM part GROUP BY p_name),
+PLACED = f"""WITH nodes AS (SELECT min(p_partkey) AS ord, 'node' || min(p_partkey) AS node_id, min_by(p_type, p_partkey) AS subject, p_name AS label, min_by(p_brand, p_partkey) || ' ring' AS paper FROM part GROUP BY p_name),
 n AS (SELECT *, {LABEL_TOKS.format('nl')} AS nl_t FROM (SELECT ord, node_id, subject AS ns, {LABEL.format('label')} AS nl, {LABEL.format('paper')} AS np FROM nodes)),
 c AS (SELECT *, {LABEL_TOKS.format('q')} AS q_t, {LABEL_TOKS.format('tag')} AS tag_t FROM (SELECT p_partkey, p_type, p_partkey % 4 = 0 AS every, {LABEL.format("p_name || ' (' || p_brand || ')'")} AS q, string_split(p_name, ' ')[2] || ' ' || p_type AS raw, {LABEL.format("string_split(p_name, ' ')[2] || ' ' || p_type")} AS tag FROM part)),
 s AS (SELECT *, round(({PLACE_TAG}) * 0.76::DOUBLE + ({PLACE_Q}) * 0.24::DOUBLE + (CASE WHEN ns = p_type THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN contains(q, np) THEN 0.04::DOUBLE ELSE 0 END), 9) AS score FROM c CROSS JOIN n),
@@ -545,8 +545,10 @@ f AS (SELECT p_partkey, max(score) AS score, arg_max(node_id, {{'s': score, 'o':
 g AS (SELECT p_partkey, max(score) AS score, arg_max(node_id, {{'s': score, 'o': -ord}}) AS node_id FROM s WHERE ns = p_type GROUP BY 1)
 SELECT p_partkey, CASE WHEN f.score >= 0.42 THEN f.node_id WHEN g.score >= 0.18 THEN g.node_id ELSE p_type || ':topic:fallback:' || regexp_replace(regexp_replace(lower(raw), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') END AS node_id,
 CASE WHEN f.score >= 0.42 THEN f.subject ELSE p_type END AS subject, round(CASE WHEN f.score >= 0.42 THEN f.score WHEN g.score >= 0.18 THEN g.score ELSE 0 END, 6) AS score,
-CASE WHEN f.score >= 0.42 THEN 'matched' WHEN g.score >= 0.18 THEN 'within' ELSE 'made' END AS stage FROM c LEFT JOIN f USING (p_partkey) LEFT JOIN g USING (p_partkey)""")
-def linking_placement(t):
+CASE WHEN f.score >= 0.42 THEN 'matched' WHEN g.score >= 0.18 THEN 'within' ELSE 'made' END AS stage FROM c LEFT JOIN f USING (p_partkey) LEFT JOIN g USING (p_partkey)"""
+
+
+def _placement(t, how):
     p = t("part")
     named = p.groupBy(F.col("p_name").alias("label")).agg(F.min("p_partkey").alias("ord"), F.min_by("p_type", "p_partkey").alias("subject"), F.concat(F.min_by("p_brand", "p_partkey"), F.lit(" ring")).alias("paper"))
     nodes = named.withColumn("node_id", F.concat(F.lit("node"), "ord"))
@@ -554,5 +556,15 @@ def linking_placement(t):
         "p_partkey", F.array(F.concat_ws(" ", F.get(F.split("p_name", " "), F.lit(1)), "p_type")).alias("tags"), F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")")).alias("question"),
         F.when(F.col("p_partkey") % 4 != 0, F.array("p_type")).alias("subjects"), F.col("p_type").alias("hint"),
     )
-    found = PL.placed(cards, nodes, "tags", "question", "subjects", "hint", "hint", PLACE_NOISE, PLACE_STOP)
+    found = how(cards, nodes, "tags", "question", "subjects", "hint", "hint", PLACE_NOISE, PLACE_STOP)
     return found.select("p_partkey", "node_id", "subject", F.round("score", 6).alias("score"), "stage")
+
+
+@query(PLACED)
+def linking_placement(t):
+    return _placement(t, PL.placed)
+
+
+@query(PLACED)
+def linking_placement_by_candidates(t):
+    return _placement(t, PL.placed_by_candidates)

@@ -314,3 +314,34 @@ def test_stem(spark):
     }
     got = spark.createDataFrame([(w,) for w in want], "t string").select("t", T.stem(F.col("t")).alias("s")).collect()
     assert {r["t"]: r["s"] for r in got} == want
+
+
+# ---- placement ----
+
+
+def test_placement_by_candidates_equals_all_nodes(spark):
+    from corpuslink.operators import placement as PL
+
+    rng = random.Random(12)
+    words = ["rural", "urban", "history", "of", "trade", "art", "law", "river", "ii", "the", "in", "party", "agriculture"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(rng.randint(0, n)))
+    nodes = [(i, f"n{i}", rng.choice(["a", "b", "c"]), text(3) or "x", rng.choice(["gs", "law", ""])) for i in range(60)] + [(99, "n99", "a", None, None)]
+    rows = [(i, [text(3) for _ in range(rng.randint(0, 3))], text(7), rng.choice([["a"], ["b", "c"], [], None]), rng.choice(["a", "b", None]), rng.choice(["a", "b", "c", None])) for i in range(150)]
+    rows += [(500, None, None, None, None, None), (501, [None], "rural", [], None, "a")]
+    n = spark.createDataFrame(nodes, "ord long, node_id string, subject string, label string, paper string")
+    r = spark.createDataFrame(rows, "id long, tags array<string>, question string, subjects array<string>, hint string, fallback string")
+    args = ("tags", "question", "subjects", "hint", "fallback", ["paper"], ["the"])
+    want, got = (sorted(map(tuple, f(r, n, *args).select("id", "node_id", "subject", "score", "stage").collect())) for f in (PL.placed, PL.placed_by_candidates))
+    assert got == want and {x[4] for x in got} == {"matched", "within", "made"}
+    assert {x[4] for x in map(tuple, PL.placed_by_candidates(r, n.limit(0), *args).select("id", "node_id", "subject", "score", "stage").collect())} == {"made"}
+
+
+def test_placement_of_essays(spark):
+    from corpuslink.operators import placement as PL
+
+    nodes = spark.createDataFrame([(1, "e1", "essay", "life and death", "essay"), (2, "a1", "a", "rural trade", "gs")], "ord long, node_id string, subject string, label string, paper string")
+    prompts = spark.createDataFrame([("Q1. Life is a journey", "e1"), (None, "e1")], "prompt string, node_id string")
+    rows = [(1, ["life and death"], "3) Life is a Journey!", ["essay"], None, "essay"), (2, [], "unknown words", ["essay"], None, "essay"), (3, ["rural trade"], "x", ["a"], None, "essay")]
+    r = spark.createDataFrame(rows, "id long, tags array<string>, question string, subjects array<string>, hint string, fallback string")
+    got = {x["id"]: (x["node_id"], x["stage"]) for x in PL.placed_by_candidates(r, nodes, "tags", "question", "subjects", "hint", "fallback", [], [], "essay", prompts).collect()}
+    assert got == {1: ("e1", "prompt"), 2: ("essay:topic:fallback:general-essay-theme", "made"), 3: ("a1", "matched")}

@@ -10,7 +10,9 @@ from .operators import grouping as G
 from .operators import phrases as PH
 from .operators import positional as PO
 from .operators import rounds as RO
-from .queries import QNORMAL, STEM, STOP, STOPS, query
+from .operators import synonyms as SY
+from .operators import themes as TH
+from .queries import NORMAL, QNORMAL, STEM, STOP, STOPS, query
 
 # ---- cover density ----
 
@@ -124,3 +126,61 @@ def merging_deep_tree(t):
     nodes = t("orders").select(F.col("o_orderkey").alias("id"), up.alias("up"), F.col("o_orderkey").cast("string").alias("label"))
     counts = t("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"))
     return RO.tree_sums(nodes, counts, "id", "up", "label").select("id", F.get("path", F.lit(0)).alias("root"), "depth", "n")
+
+
+# ---- themes as a graph: the first eight words of ten letters and more that a document has, in their order ----
+
+THEMES = f"""t AS (SELECT doc_id, source, list_sort(list_distinct(list_filter(string_split({NORMAL}, ' '), lambda x: length(x) >= 10)))[:8] AS t FROM documents),
+e AS (SELECT doc_id, source, len(t) AS k, unnest(t) AS name FROM t)"""
+
+
+def _themed(t):
+    words = F.filter(T.tokens(T.search_normalise("text")), lambda x: F.length(x) >= 10)
+    return t("documents").select("doc_id", "source", F.slice(F.sort_array(F.array_distinct(words)), 1, 8).alias("themes"))
+
+
+@query(f"WITH {THEMES} SELECT DISTINCT 'theme_' || substr(sha256(name), 1, 12) AS theme_id, name, doc_id FROM e")
+def merging_theme_bridges(t):
+    return TH.theme_bridges(_themed(t), "doc_id", "themes")
+
+
+@query(f"""WITH {THEMES} SELECT 'theme_' || substr(sha256(name), 1, 12) AS theme_id, name, count(DISTINCT doc_id) AS n,
+coalesce(array_to_string(list_sort(list(DISTINCT source) FILTER (source IS NOT NULL)), ','), '') AS subjects, count(DISTINCT source) > 1 AS "cross" FROM e GROUP BY name""")
+def merging_theme_entities(t):
+    return TH.theme_entities(_themed(t), "doc_id", "themes", "source").withColumn("subjects", F.array_join("subjects", ","))
+
+
+@query(f"""WITH {THEMES}, g AS (SELECT x.name AS a, y.name AS b, count(*) AS shared, sum(1 / (x.k - 1)) AS w FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.name < y.name GROUP BY 1, 2),
+u AS (SELECT a AS name, b AS other, shared, w FROM g UNION ALL SELECT b, a, shared, w FROM g)
+SELECT name, other, shared, round(w, 6) AS weight, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY round(w, 9) DESC, other) AS rank FROM u) WHERE rank <= 5""")
+def merging_theme_graph(t):
+    near = TH.neighbours(TH.theme_graph(_themed(t), "doc_id", "themes"), 5)
+    return near.select("name", "other", "shared", F.round("weight", 6).alias("weight"), "rank")
+
+
+# ---- synonyms: the first two words of every 97th part's name are said to mean the same ----
+
+SYNONYMS = """e AS (SELECT string_split(lower(p_name), ' ')[1] AS x, string_split(lower(p_name), ' ')[2] AS y FROM part WHERE p_partkey % 97 = 0),
+u AS (SELECT x, y FROM e WHERE x <> y UNION SELECT y, x FROM e WHERE x <> y), reach(t, r) AS (SELECT x, x FROM u UNION SELECT reach.t, u.y FROM reach JOIN u ON reach.r = u.x),
+c AS (SELECT t AS token, min(r) AS class FROM reach GROUP BY t)"""
+
+
+def _classes(t):
+    word = lambda i: F.get(F.split(F.lower("p_name"), " "), F.lit(i))
+    return SY.classes(t("part").filter("p_partkey % 97 = 0").select(word(0).alias("a"), word(1).alias("b")))
+
+
+@query(f"WITH RECURSIVE {SYNONYMS} SELECT token, class FROM c")
+def merging_synonym_classes(t):
+    return _classes(t)
+
+
+@query(f"""WITH RECURSIVE {SYNONYMS}, w AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS token, generate_subscripts(string_split(lower(p_name), ' '), 1) AS i FROM part),
+f AS (SELECT p_partkey, coalesce(class, token) AS token, min(i) AS i FROM w LEFT JOIN c USING (token) GROUP BY ALL),
+s AS (SELECT p_partkey, CASE WHEN count(*) >= 2 THEN string_agg(token, ' ' ORDER BY i) ELSE '' END AS sig FROM f GROUP BY 1)
+SELECT a.p_partkey AS a, b.p_partkey AS b, sig FROM s a JOIN (SELECT min(p_partkey) AS p_partkey, sig FROM s WHERE sig <> '' GROUP BY sig) b USING (sig) WHERE a.p_partkey <> b.p_partkey""")
+def merging_synonym_signatures(t):
+    rows = SY.folded(t("part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("w")), "p_partkey", "w", _classes(t))
+    signed = rows.select("p_partkey", SY.ordered_signature(F.col("w")).alias("sig")).filter("sig != ''")
+    first = signed.groupBy("sig").agg(F.min("p_partkey").alias("b"))
+    return signed.join(first, "sig").filter("p_partkey != b").select(F.col("p_partkey").alias("a"), "b", "sig")

@@ -345,3 +345,44 @@ def test_placement_of_essays(spark):
     r = spark.createDataFrame(rows, "id long, tags array<string>, question string, subjects array<string>, hint string, fallback string")
     got = {x["id"]: (x["node_id"], x["stage"]) for x in PL.placed_by_candidates(r, nodes, "tags", "question", "subjects", "hint", "fallback", [], [], "essay", prompts).collect()}
     assert got == {1: ("e1", "prompt"), 2: ("essay:topic:fallback:general-essay-theme", "made"), 3: ("a1", "matched")}
+
+
+# ---- themes, synonyms ----
+
+
+def test_theme_graph_against_all_pairs(spark):
+    from corpuslink.operators import themes as TH
+
+    rng = random.Random(8)
+    rows = [(i % 35, rng.choice(["p", "q", None]), [rng.choice([" A", "b", "c ", "d", "", None, "e"]) for _ in range(rng.randint(0, 9))]) for i in range(40)] + [(99, "p", None)]
+    df = spark.createDataFrame(rows, "id long, subject string, themes array<string>")
+    of = {}
+    for i, s, ts in rows:
+        of.setdefault(i, set()).update(x.strip().lower() for x in ts or [] if x and x.strip())
+    want = {}
+    for ts in of.values():
+        for a in ts:
+            for b in ts:
+                if a < b:
+                    n, w = want.get((a, b), (0, 0))
+                    want[a, b] = n + 1, w + 1 / (len(ts) - 1)
+    got = {(r["a"], r["b"]): (r["shared"], r["weight"]) for r in TH.theme_graph(df, "id", "themes").collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    entities = {r["name"]: r for r in TH.theme_entities(df, "id", "themes", "subject").collect()}
+    assert {k: r["n"] for k, r in entities.items()} == {t: sum(t in ts for ts in of.values()) for t in set().union(*of.values())}
+    assert all(r["cross"] == (len(r["subjects"]) > 1) for r in entities.values())
+
+
+def test_synonym_classes_and_folding(spark):
+    from corpuslink.operators import synonyms as SY
+
+    chain = [(f"t{i:03d}", f"t{i + 1:03d}") for i in range(60)] + [("equal", "equity"), ("fair", "equal"), ("x", "x"), (None, "y"), ("", "z")]
+    table = SY.classes(spark.createDataFrame(chain, "a string, b string"))
+    got = {r["token"]: r["class"] for r in table.collect()}
+    assert got == {**{f"t{i:03d}": "t000" for i in range(61)}, "equal": "equal", "equity": "equal", "fair": "equal"}
+    rows = spark.createDataFrame([(1, ["fair", "law", "equity", "2020"]), (2, None), (3, [])], "id long, w array<string>")
+    folded = {r["id"]: r["w"] for r in SY.folded(rows, "id", "w", table).collect()}
+    assert folded == {1: ["equal", "law", "equal", "2020"], 2: [], 3: []}
+    signed = SY.folded(rows, "id", "w", table).select("id", SY.ordered_signature(SY.core(F.col("w"), ["the"])).alias("s")).collect()
+    assert {r["id"]: r["s"] for r in signed} == {1: "equal law", 2: "", 3: ""}
+    assert SY.classes(spark.createDataFrame([], "a string, b string")).count() == 0

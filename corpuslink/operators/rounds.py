@@ -7,21 +7,33 @@ executor costs one round at most.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where none is set, one of our own in local mode; on a cluster ValueError."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='corpuslink-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint. Where no folder is set, one of our own in local mode; on a cluster ValueError."""
+    """Eager reliable checkpoint in the shared folder; Spark's cleaner deletes it with its DataFrame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            found = f"file://{tempfile.mkdtemp(prefix='corpuslink-')}"
-        spark.sparkContext.setCheckpointDir(found)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

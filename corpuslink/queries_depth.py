@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import buckets as B
+from .operators import documents as D
 from .operators import grouping as G
 from .operators import phrases as PH
 from .operators import positional as PO
 from .operators import rounds as RO
 from .operators import synonyms as SY
 from .operators import themes as TH
+from .sources.bucketed import BucketTable
 from .queries import NORMAL, QNORMAL, STEM, STOP, STOPS, query
 
 # ---- cover density ----
@@ -184,3 +186,87 @@ def merging_synonym_signatures(t):
     signed = rows.select("p_partkey", SY.ordered_signature(F.col("w")).alias("sig")).filter("sig != ''")
     first = signed.groupBy("sig").agg(F.min("p_partkey").alias("b"))
     return signed.join(first, "sig").filter("p_partkey != b").select(F.col("p_partkey").alias("a"), "b", "sig")
+
+
+# ---- segments and documents ----
+
+MARKER = "[.] [A-Z][a-z]+ "
+
+
+@query(f"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '{MARKER}') AS m, regexp_split_to_array(text, '{MARKER}') AS g FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+e AS (SELECT doc_id, len(g) AS k, i - 1 AS n, g[i] AS body, CASE WHEN i > 1 THEN m[i - 1] END AS marker FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM p)),
+o AS (SELECT *, coalesce(sum(length(body) + coalesce(length(marker), 0)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS "at" FROM e)
+SELECT doc_id, n::INT AS n, "at", marker, md5(body) AS body FROM o WHERE n > 0 OR trim(body, ' ') <> '' OR k = 1""")
+def documents_marked_segments(t):
+    return D.marked_segments(t("documents"), "doc_id", "text", MARKER).select("doc_id", "n", "at", "marker", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(replace({}, chr(160), ' '), '(?i)^section\s*[-:]\s*[a-z]\s*', ''), '^[0-9]{{1,2}}\s+', ''), '\s+', ' ', 'g'), ' ')"
+
+
+@query(rf"""WITH c AS (SELECT page_id, {CLEAN.format("coalesce(html, '')")} AS c FROM pages),
+p AS (SELECT page_id, regexp_split_to_array(c, '<(?:p|h[1-6]|li|div)[^>]*>') AS g FROM c),
+s AS (SELECT page_id, i - 1 AS n, {CLEAN.format("regexp_replace(g[i], '^[" + chr(92) + "s.):-]+', '')")} AS prompt FROM (SELECT *, unnest(range(2, len(g) + 1)) AS i FROM p)),
+k AS (SELECT * FROM s WHERE prompt <> '' AND NOT regexp_matches(prompt, '(?i)^(?:the|und|der) ')),
+a AS (SELECT * FROM k UNION ALL SELECT page_id, 0, c FROM c WHERE c <> '' AND page_id NOT IN (SELECT page_id FROM k)),
+f AS (SELECT page_id, lower(prompt) AS l, min(n) AS n, arg_min(prompt, n) AS prompt FROM a GROUP BY 1, 2)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY n))::INT AS place, prompt FROM f""")
+def documents_prompts(t):
+    return D.prompts(t("pages"), "page_id", "html", "<(?:p|h[1-6]|li|div)[^>]*>", "(?i)^(?:the|und|der) ")
+
+
+#: A document is a conversation, its pages are the turns; concepts are the words of seven letters and more of documents' longest kind, and pairs of words.
+VAULT = rf"""w AS (SELECT list_filter(string_split({NORMAL}, ' '), lambda x: x <> '') AS t FROM documents),
+dict AS (SELECT DISTINCT p AS concept FROM (SELECT unnest(list_filter(t, lambda x: length(x) >= 7)) AS p FROM w UNION ALL SELECT t[i] || ' ' || t[i + 1] FROM (SELECT t, unnest(range(1, len(t))) AS i FROM w) WHERE length(t[i]) >= 5 AND length(t[i + 1]) >= 5)),
+c AS (SELECT conv_id, turn, role, {NORMAL} AS n, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+')) AS words FROM conversations),
+ct AS (SELECT *, list_filter(string_split(n, ' '), lambda x: x <> '') AS t FROM c),
+g AS (SELECT conv_id, turn, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS concept FROM ct),
+h AS (SELECT DISTINCT conv_id, turn, concept FROM g JOIN dict USING (concept)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(concept) DESC, concept) AS r FROM h),
+dr AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY length(concept) DESC, concept) AS r FROM (SELECT DISTINCT conv_id, concept FROM h))"""
+
+
+def _vault(t):
+    toks = T.tokens(T.search_normalise("text"))
+    d = t("documents").select(toks.alias("t"))
+    one = d.select(F.explode("t").alias("a")).filter("length(a) >= 7").select(F.array("a").alias("want"))
+    spots = F.sequence(F.lit(0), F.greatest(F.size("t") - 2, F.lit(0)))
+    two = d.select(F.explode(F.transform(spots, lambda i: F.array(F.get("t", i), F.get("t", i + 1)))).alias("want")).filter("length(want[0]) >= 5 AND length(want[1]) >= 5")
+    words = one.union(two).distinct().withColumn("concept", F.array_join("want", " ")).withColumn("ord", F.xxhash64("concept"))
+    return D.vault(t("conversations"), words, "conv_id", "turn", "text", "role", "concept", "want", ["the", "und"])
+
+
+@query(f"""WITH {VAULT} SELECT conv_id, count(*) AS pages, count(*) FILTER (words > 8) AS text_pages, sum(words)::BIGINT AS words, min(role) AS role,
+coalesce(any_value(s), '') AS concepts FROM ct LEFT JOIN (SELECT conv_id, array_to_string(list(concept ORDER BY r) FILTER (r <= 40), '|') AS s FROM dr GROUP BY 1) USING (conv_id) GROUP BY conv_id""")
+def documents_vault(t):
+    return _vault(t)[0].select("conv_id", "pages", "text_pages", "words", "role", F.array_join("concepts", "|").alias("concepts"))
+
+
+@query(f"""WITH {VAULT} SELECT 'chunk_' || substr(sha256(conv_id || '|' || turn), 1, 12) AS chunk_id, conv_id, turn, words, coalesce(s, '') AS concepts
+FROM ct LEFT JOIN (SELECT conv_id, turn, array_to_string(list(concept ORDER BY r) FILTER (r <= 16), '|') AS s FROM r GROUP BY 1, 2) USING (conv_id, turn) WHERE words > 8""")
+def documents_vault_chunks(t):
+    return _vault(t)[1].select("chunk_id", "conv_id", "turn", "words", F.array_join("concepts", "|").alias("concepts"))
+
+
+@query(f"""WITH {VAULT} SELECT concept, count(DISTINCT conv_id) AS documents, coalesce(any_value(m), 0) AS mentions FROM dr LEFT JOIN
+(SELECT concept, count(*) AS m FROM r JOIN ct USING (conv_id, turn) WHERE r <= 16 AND words > 8 GROUP BY 1) USING (concept) WHERE r <= 40 GROUP BY concept""")
+def documents_vault_index(t):
+    return _vault(t)[2].select("concept", "documents", "mentions")
+
+
+# ---- a table in buckets: orders, two batches of changes, one keyed update ----
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN o_totalprice * 3 WHEN o_orderkey % 6 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS price,
+CASE WHEN o_orderkey % 1000 = 1 THEN 'seen' ELSE o_orderstatus END AS status FROM orders""")
+def sinks_bucket_table(t):
+    o = t("orders")
+    spark = o.sparkSession
+    rows = o.select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"), F.lit(0).alias("at"))
+    table = BucketTable(spark, RO.scratch(spark, "orders"), ["o_orderkey"], 16)
+    table.replace(rows.withColumn("price", F.when(F.col("o_orderkey") % 6 == 0, F.lit(0).cast(rows.schema["price"].dataType)).otherwise(F.col("price"))))
+    changed = lambda n, k: rows.filter(F.col("o_orderkey") % n == 0).withColumn("price", (F.col("price") * k).cast(rows.schema["price"].dataType)).withColumn("at", F.lit(k))
+    table.merge(changed(6, 2), ["at"], 1)
+    table.merge(changed(9, 3), ["at"], 2)
+    table.update(rows.filter("o_orderkey % 1000 = 1").select("o_orderkey", F.lit("seen").alias("status")), "status", 0)
+    return table.read().drop("at")

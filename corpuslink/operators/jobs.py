@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -66,3 +66,51 @@ def workspace_search(rows: DataFrame, queries: DataFrame, limit: int) -> DataFra
     pairs = R.matching_rows(rows, queries, "id", "query_id", "toks", "terms").join(queries, "query_id").join(rows, "id")
     scored = pairs.withColumn("score", R.workspace_score(F.col("terms"), F.col("question"), F.col("path"), F.col("toks")))
     return top_per_group(scored, ["query_id"], R.workspace_order(), limit, "place")
+
+
+#: Shares of lexical score, vector score, match score and rating in a hybrid score, with vectors, without, and without a query.
+WITH_VECTORS, LEXICAL_ONLY, NO_QUERY = (0.35, 0.35, 0.15, 0.15), (0.55, 0.0, 0.225, 0.225), (0.0, 0.0, 0.5, 0.5)
+
+
+def hybrid_score(lexical: Column, semantic: Column, match: Column, rating: Column, shares: tuple[float, float, float, float]) -> Column:
+    """Weighted sum; missing scores are 0, the match counts up to 100, the rating up to 2200."""
+    zero = F.lit(0.0)
+    static = shares[2] * F.least(F.coalesce(match, zero), F.lit(100)) / 100 + shares[3] * F.least(F.coalesce(rating, zero), F.lit(2200)) / 2200
+    return shares[0] * F.coalesce(lexical, zero) + shares[1] * F.coalesce(semantic, zero) + static
+
+
+def hybrid_search(
+    rows: DataFrame, lexical: DataFrame, semantic: DataFrame | None, ident: str, query: str, match: str, rating: str, limit: int = 24, offset: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """A page of every query, and the scored set that it was cut from.
+
+    ``lexical`` and ``semantic``: candidates (query, ident, score); of each kind the best 8 pages of a query count, 120 at least: lexical ones by score, then
+    rating, then id, the others by score, then id. A row found both ways keeps both scores. The page has place, score, total and next: whether there
+    is a next page is told by one row more, so ``total`` is a lower bound of one past the page where there is. Rows that ``rows`` lacks
+    are left out before the caps. The scored set (query, ident, score) is what ``facets_of_queries`` counts.
+    """
+    limit, offset = max(1, min(240, limit)), max(0, offset)
+    most = max(120, 8 * limit)
+    static = rows.select(ident, F.col(match).alias("_m"), F.col(rating).alias("_e"))
+    nothing = F.lit(None).cast("double")
+    lex = top_per_group(lexical.select(query, ident, F.col("score").alias("lexical")).join(static, ident), [query], [F.desc(F.round("lexical", 9)), F.desc("_e"), ident], most, "_r")
+    parts = lex.select(query, ident, "lexical", nothing.alias("semantic"))
+    if semantic is not None:
+        near = semantic.select(query, ident, F.col("score").alias("semantic")).join(static.select(ident), ident)
+        near = top_per_group(near, [query], [F.desc(F.round("semantic", 9)), ident], most, "_r")
+        parts = parts.unionByName(near.select(query, ident, nothing.alias("lexical"), "semantic"))
+    best = parts.groupBy(query, ident).agg(F.max("lexical").alias("lexical"), F.max("semantic").alias("semantic")).join(static, ident)
+    shares = LEXICAL_ONLY if semantic is None else WITH_VECTORS
+    scored = best.select(query, ident, hybrid_score(F.col("lexical"), F.col("semantic"), F.col("_m"), F.col("_e"), shares).alias("score"), "_e")
+    ahead = top_per_group(scored, [query], [F.desc(F.round("score", 9)), F.desc("_e"), ident], offset + limit + 1, "place")
+    total = F.max("place").over(Window.partitionBy(query))
+    page = ahead.withColumn("total", total).withColumn("next", F.when(F.col("total") > offset + limit, F.lit(offset + limit))).filter(F.col("place").between(offset + 1, offset + limit))
+    return page.select(query, ident, "place", "score", "total", "next"), scored.drop("_e")
+
+
+def facets_of_queries(scored: DataFrame, rows: DataFrame, query: str, ident: str, columns: dict[str, int]) -> DataFrame:
+    """(query, facet, value, n): of every query's scored rows the most frequent values of each column, as many as it says, ties by value."""
+    named = [F.struct(F.lit(c).alias("facet"), F.lit(k).alias("most"), F.col(c).cast("string").alias("value")) for c, k in columns.items()]
+    each = scored.select(query, ident).join(rows.select(ident, *columns), ident).select(query, F.explode(F.array(*named)).alias("x")).select(query, "x.*").filter("value is not null")
+    counts = each.groupBy(query, "facet", "most", "value").agg(F.count("*").alias("n"))
+    return top_per_group(counts, [query, "facet"], [F.desc("n"), "value"], max(columns.values()), "_r").filter("_r <= most").select(query, "facet", "value", "n")

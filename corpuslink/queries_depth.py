@@ -8,11 +8,14 @@ from .functions import text as T
 from .operators import buckets as B
 from .operators import documents as D
 from .operators import grouping as G
+from .operators import jobs as J
 from .operators import phrases as PH
 from .operators import positional as PO
 from .operators import rounds as RO
+from .operators import search as S
 from .operators import synonyms as SY
 from .operators import themes as TH
+from .queries_ranking import NEAR
 from .sources.bucketed import BucketTable
 from .queries import NORMAL, QNORMAL, STEM, STOP, STOPS, query
 
@@ -270,3 +273,48 @@ def sinks_bucket_table(t):
     table.merge(changed(9, 3), ["at"], 2)
     table.update(rows.filter("o_orderkey % 1000 = 1").select("o_orderkey", F.lit("seen").alias("status")), "status", 0)
     return table.read().drop("at")
+
+
+# ---- hybrid search: cover density and vectors together, over documents that have a vector ----
+
+HYBRID = f"""{HITS}, {NEAR}, st AS (SELECT doc_id, lang, source, n_chars % 131 AS m, 900 + 13 * (n_chars % 120) AS e FROM documents),
+lx AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, e DESC, doc_id) AS r FROM g JOIN st USING (doc_id)),
+sm AS (SELECT query_id, vec_id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS r FROM vs JOIN st ON doc_id = vec_id),
+un AS (SELECT query_id, doc_id, score AS lex, NULL::DOUBLE AS sem FROM lx WHERE r <= 120 UNION ALL SELECT query_id, doc_id, NULL, score FROM sm WHERE r <= 120),
+sc AS (SELECT query_id, doc_id, 0.35 * coalesce(max(lex), 0) + 0.35 * coalesce(max(sem), 0) + 0.15 * least(any_value(m), 100) / 100 + 0.15 * least(any_value(e), 2200) / 2200 AS score, any_value(e) AS e FROM un JOIN st USING (doc_id) GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, e DESC, doc_id) AS place FROM sc)"""
+
+
+def _hybrid(t):
+    docs, e = _positions(t), t("embeddings")
+    asked = e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    lexical = PO.cover_density_hits(PO.positional_index(docs, "doc_id", "positions"), _asked(docs), "doc_id", "query_id", "terms")
+    held = e.join(t("documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    semantic = S.vector_hits(held, asked, "vec_id", "query_id", "embedding", 120).withColumnRenamed("vec_id", "doc_id")
+    rows = t("documents").select("doc_id", "lang", "source", (F.col("n_chars") % 131).alias("m"), (900 + 13 * (F.col("n_chars") % 120)).alias("e"))
+    return J.hybrid_search(rows, lexical, semantic, "doc_id", "query_id", "m", "e", 10, 5), rows
+
+
+@query(f"""WITH {HYBRID} SELECT query_id, doc_id, place::INT AS place, round(score, 6) AS score, least(total, 16)::INT AS total, CASE WHEN total > 15 THEN 15 ELSE -1 END::INT AS next
+FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM rk) WHERE place BETWEEN 6 AND 15""")
+def search_hybrid_page(t):
+    page = _hybrid(t)[0][0]
+    return page.withColumn("score", F.round("score", 6)).withColumn("next", F.coalesce("next", F.lit(-1)))
+
+
+@query(f"""WITH {HYBRID}, fc AS (SELECT query_id, 'lang' AS facet, lang AS value, count(*) AS n FROM sc JOIN st USING (doc_id) WHERE lang IS NOT NULL GROUP BY ALL UNION ALL SELECT query_id, 'source', source, count(*) FROM sc JOIN st USING (doc_id) WHERE source IS NOT NULL GROUP BY ALL)
+SELECT query_id, facet, value, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id, facet ORDER BY n DESC, value) AS r FROM fc) WHERE r <= CASE facet WHEN 'lang' THEN 2 ELSE 3 END""")
+def search_hybrid_facets(t):
+    (_, scored), rows = _hybrid(t)
+    return J.facets_of_queries(scored, rows, "query_id", "doc_id", {"lang": 2, "source": 3})
+
+
+@query("""WITH r AS (SELECT doc_id, 0.5 * least(n_chars % 131, 100) / 100 + 0.5 * least(900 + 13 * (n_chars % 120), 2200) / 2200 AS score, 900 + 13 * (n_chars % 120) AS e FROM documents)
+SELECT doc_id, place::INT AS place, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, e DESC, doc_id) AS place FROM r) WHERE place <= 24""")
+def search_without_query(t):
+    """The default order: one page, so the limit is the feature."""
+    nothing = F.lit(None).cast("double")
+    rows = t("documents").select("doc_id", (F.col("n_chars") % 131).alias("m"), (900 + 13 * (F.col("n_chars") % 120)).alias("e"))
+    scored = rows.withColumn("score", J.hybrid_score(nothing, nothing, F.col("m"), F.col("e"), J.NO_QUERY)).withColumn("all", F.lit(1))
+    page = scored.orderBy(F.desc(F.round("score", 9)), F.desc("e"), "doc_id").limit(24)
+    return G.top_per_group(page, ["all"], [F.desc(F.round("score", 9)), F.desc("e"), "doc_id"], 24, "place").select("doc_id", "place", F.round("score", 6).alias("score"))

@@ -19,18 +19,25 @@ def clean_public(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(T.text(c), f"{T.BLANK}+", " "))
 
 
-def publishable(c: Column | str) -> Column:
-    """Not empty, not ``na`` or ``qna``, no bare question number, and eight letters if it begins with q."""
-    clean = clean_public(c)
+def _clean(c: Column | str, clean: Column | None) -> Column:
+    return clean_public(c) if clean is None else clean
+
+
+def publishable(c: Column | str, clean: Column | None = None) -> Column:
+    """Not empty, not ``na`` or ``qna``, no bare question number, and eight letters if it begins with q.
+
+    ``clean``: the text as ``clean_public`` leaves it, where a projection of its own has made it already; so for the gates below.
+    """
+    clean = _clean(c, clean)
     bare = F.regexp_replace(F.lower(clean), r"[\s()\[\].,:;'\"-]+", "")
     few = (F.regexp_count(clean, F.lit("[A-Za-z]")) < 8) & F.lower(clean).startswith("q")
     return ~bare.isin("", "na", "qna") & ~bare.rlike("^q(?:[0-9]+[a-z]?|[a-z])$") & ~few
 
 
-def useful_question(c: Column | str) -> Column:
+def useful_question(c: Column | str, clean: Column | None = None) -> Column:
     """Publishable, 24 characters, and four terms unless it has 40 characters."""
-    clean = clean_public(c)
-    return publishable(c) & (F.length(clean) >= 24) & ((F.size(T.terms(T.search_normalise(clean))) >= 4) | (F.length(clean) >= 40))
+    clean = _clean(c, clean)
+    return (F.length(clean) >= 24) & publishable(c, clean) & ((F.length(clean) >= 40) | (F.size(T.terms(T.search_normalise(clean))) >= 4))
 
 
 def linkable(c: Column | str, stop: list[str]) -> Column:
@@ -75,24 +82,39 @@ def ranked_enough(elo: Column | str, available: Column | str, least: int = 1400)
     return F.coalesce(a, F.lit(False)) & F.coalesce(e >= least, F.lit(False))
 
 
-def prompt_normalise(c: Column | str) -> Column:
-    """A prompt without section, topic and question numbers, quotes and marks."""
-    t = F.lower(clean_public(c))
-    t = F.regexp_replace(t, r"^(?:section\s+[ab]\s+|topic\s+[0-9]+\s+)?q(?:uestion)?\.?\s*[0-9]+[a-z]?\)?\s*", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"^[0-9]+[a-z]?[.)]\s*", ""), "^[\"“”']+|[\"“”']+$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "['\"`]", ""), "[^a-z0-9]+", " "))
+#: What may stand in front of a question's number, with what each is followed by, and the words for a question.
+HEADINGS = {"section": "[ab]", "topic": "[0-9]+"}
+QUESTION_WORDS = ("question", "q")
+NUMBER = "[0-9]+[a-z]?"
+
+
+def _question_number(words: tuple[str, ...]) -> str:
+    return rf"(?:{'|'.join(words)})\.?\s*{NUMBER}"
+
+
+def prompt_normalise(c: Column | str, headings: dict[str, str] = HEADINGS, words: tuple[str, ...] = QUESTION_WORDS, clean: Column | None = None) -> Column:
+    """A prompt without what stands in front of it: a heading with its number, a question's number, a bare number; and without quotes and marks."""
+    heading = "|".join(rf"{word}\s+{what}\s+" for word, what in headings.items())
+    quotes = "[\"“”']+"
+    t = F.lower(_clean(c, clean))
+    for front in (rf"(?:{heading})?{_question_number(words)}\)?\s*", rf"{NUMBER}[.)]\s*", quotes):
+        t = F.regexp_replace(t, f"^{front}", "")
+    t = F.translate(F.regexp_replace(t, f"{quotes}$", ""), "'\"`", "")
+    return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
 
 
-def rejected_prompt(c: Column | str, openings: list[str], longest: int = 180) -> Column:
-    """Empty, several question numbers, longer than ``longest``, or one of the ``openings`` (patterns)."""
-    n = prompt_normalise(c)
-    marks = F.regexp_count(clean_public(c), F.lit(rf"(?i){BEGIN}q(?:uestion)?\.?\s*[0-9]+[a-z]?{END}"))
-    return (n == "") | (marks > 1) | (F.length(n) > longest) | n.rlike(f"^(?:{'|'.join(openings)})")
+def rejected_prompt(
+    c: Column | str, openings: list[str], longest: int = 180, words: tuple[str, ...] = QUESTION_WORDS, clean: Column | None = None, normal: Column | None = None
+) -> Column:
+    """Empty, several question numbers, longer than ``longest``, or one of the ``openings`` (patterns). ``normal``: as ``prompt_normalise`` leaves it, if made already."""
+    n = prompt_normalise(c, words=words, clean=clean) if normal is None else normal
+    numbers = F.regexp_count(F.lower(_clean(c, clean)), F.lit(f"{BEGIN}{_question_number(words)}{END}"))
+    return (n == "") | (numbers > 1) | (F.length(n) > longest) | n.rlike(f"^(?:{'|'.join(openings)})")
 
 
-def prompt_like(c: Column | str, toks: Column, blocked: list[str], longest: int = 180, most: int = 20) -> Column:
+def prompt_like(c: Column | str, toks: Column, blocked: list[str], longest: int = 180, most: int = 20, clean: Column | None = None) -> Column:
     """A prompt: not longer than ``longest``, one to ``most`` tokens, no blocked opening, eight characters after normalising."""
-    clean = clean_public(c)
+    clean = _clean(c, clean)
     return (
         (clean != "") & (F.length(clean) <= longest) & F.size(toks).between(1, most) & ~clean.rlike(f"(?i)^(?:{'|'.join(blocked)})")
         & (F.length(T.question_normalise(clean)) >= 8)
@@ -118,9 +140,9 @@ def complete(question: Column | str, person: Column | str) -> Column:
     return (F.trim(T.text(question)) != "") & (F.trim(T.text(person)) != "")
 
 
-def text_quality(c: Column | str) -> Column:
+def text_quality(c: Column | str, clean: Column | None = None) -> Column:
     """3 for marks, 2 without an answer length, 2 for one question number at most, 1 for 220 characters at most."""
-    t = clean_public(c)
+    t = _clean(c, clean)
     points = [
         (t.rlike(rf"(?i){BEGIN}marks?{END}"), 3), (~t.rlike(rf"(?i){BEGIN}answer in [0-9]+ words?{END}"), 2),
         (F.regexp_count(t, F.lit(rf"(?i){BEGIN}q(?:uestion)?\.?\s*[0-9]+")) <= 1, 2), (F.length(t) <= 220, 1),

@@ -37,7 +37,7 @@ def mentions(c: Column | str, kinds: list[tuple[str, str]], each: int = 20, most
     """Typed mentions (kind, value) by pattern, in the order of ``kinds``; distinct values of a kind, ``each`` a kind, ``most`` in all."""
     t = text(c)
     lists = [
-        F.transform(F.slice(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(0)), F.trim)), 1, each), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+        F.transform(F.slice(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(0)), lambda x: F.trim(x))), 1, each), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
         for kind, p in kinds
     ]
     return F.slice(F.flatten(F.array(*lists)), 1, most)

@@ -176,7 +176,7 @@ def most_hits(c: Column | str, rules: list[tuple[str, str]], default: str) -> Co
 
 def question_lines(c: Column | str, low: int, high: int, words: list[str], most: int = 80) -> Column:
     """Lines of ``low`` to ``high`` characters that hold a directive word or end in a question mark; the first ``most``."""
-    lines = F.transform(F.split(text(c), "\n"), F.trim)
+    lines = F.transform(F.split(text(c), "\n"), lambda x: F.trim(x))
     hit = lambda x: F.length(x).between(low, high) & (x.endswith("?") | F.lower(x).rlike(rf"(?<![a-z])({'|'.join(words)})(?![a-z])"))
     return F.slice(F.filter(lines, hit), 1, most)
 
@@ -188,7 +188,7 @@ def lenient_int(c: Column | str) -> Column:
 
 def listed(c: Column | str, mark: str = ",") -> Column:
     """Trimmed, non-empty items of a separated list."""
-    return F.filter(F.transform(F.split(text(c), mark), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text(c), mark), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def round_half_up(c: Column, places: int) -> Column:

@@ -232,11 +232,6 @@ def grouped_cards(cards: DataFrame, question: str, order: str, first: list[str],
     return head.join(listed, question)
 
 
-def default_spine_score(year: Column, authority: Column) -> Column:
-    """Score without a query: half the authority, and the year's share of 2100."""
-    return 0.5 * authority + 0.5 * F.least(F.lit(1.0), F.coalesce(year, F.lit(0)) / 2100)
-
-
 # ---- filters ----
 
 

@@ -5,32 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-
-
-def _matches(term: str):
-    return lambda x: T.fuzzy_match(F.lit(term), x)
-
-
-def all_terms_match(terms: list[str], hay: Column, toks: Column) -> Column:
-    """Every term is in the text or matches a token; said first, so that scores are only made for rows that pass."""
-    ok = F.lit(True)
-    for t in terms:
-        ok = ok & (hay.contains(t) | F.exists(toks, _matches(t)))
-    return ok
-
-
-def official_rank(terms: list[str], question: Column, fields: list[tuple[Column, float]], toks: Column) -> Column:
-    """Mean token score, 1.4 for the phrase, 0.9 if all terms are in the question, and weighted shares of terms in each field."""
-    n = len(terms)
-    score = sum((T.token_score(F.lit(t), toks) for t in terms), F.lit(0.0)) / n
-    score = score + F.when(question.contains(" ".join(terms)), 1.4).otherwise(0.0)
-    inside = [F.when(question.contains(t), 1).otherwise(0) for t in terms]
-    score = score + F.when(sum(inside[1:], inside[0]) == n, 0.9).otherwise(0.0)
-    for field, weight in fields:
-        share = [F.when(field.contains(t), 1.0).otherwise(0.0) for t in terms]
-        score = score + weight * sum(share[1:], share[0]) / n
-    return score
 
 
 def spine_score(terms: list[str], hay: Column, toks: Column, authority: Column) -> Column:
@@ -62,20 +36,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (size > 0), dot / size).otherwise(0.0)
 
 
-def nearest(rows: DataFrame, ident: str, vector: str, query: list[float], k: int) -> DataFrame:
-    """The k rows of greatest cosine, ties to the smaller id."""
-    q = F.lit([float(x) for x in query])
-    return rows.filter(F.col(vector).isNotNull()).select(ident, cosine(F.col(vector), q).alias("score")).orderBy(F.desc("score"), ident).limit(k)
-
-
-def hybrid(lexical: DataFrame, semantic: DataFrame, ident: str, weight: float = 0.5) -> DataFrame:
-    """Candidates of both, the best score of each kind, and their weighted sum."""
-    zero = F.lit(0.0)
-    both = lexical.select(ident, F.col("score").alias("lex"), zero.alias("sem")).unionByName(semantic.select(ident, zero.alias("lex"), F.col("score").alias("sem")))
-    best = both.groupBy(ident).agg(F.max("lex").alias("lex"), F.max("sem").alias("sem"))
-    return best.withColumn("score", weight * F.col("lex") + (1 - weight) * F.col("sem"))
-
-
 def page(rows: DataFrame, order: list, offset: int, limit: int, most: int = 60) -> DataFrame:
     """Rows offset .. offset + limit of a total order; the limit is kept between 1 and ``most``."""
     return rows.orderBy(*order).offset(max(0, offset)).limit(max(1, min(most, limit)))
@@ -123,7 +83,7 @@ def vector_hits(rows: DataFrame, queries: DataFrame, ident: str, query: str, vec
 
 
 def hybrid_queries(lexical: DataFrame, semantic: DataFrame, query: str, ident: str, weight: float = 0.5) -> DataFrame:
-    """As ``hybrid``, for (query, id, score) candidates of many queries."""
+    """(query, id, lex, sem, score) of candidates (query, id, score) of both kinds: the best score of each kind, and their weighted sum."""
     zero = F.lit(0.0)
     one = lambda df, lex, sem: df.select(query, ident, lex.alias("lex"), sem.alias("sem"))
     both = one(lexical, F.col("score"), zero).unionByName(one(semantic, zero, F.col("score")))

@@ -52,9 +52,10 @@ lower(trim(v)) IN ({SKIPPED}) OR starts_with(lower(trim(v)), 'not ') AS junk,
 (CASE WHEN regexp_matches(c, '(?i)\bmarks?\b') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(c, '(?i)\banswer in [0-9]+ words?\b') THEN 0 ELSE 2 END
 + CASE WHEN len(regexp_extract_all(c, '(?i)\bq(?:uestion)?\.?\s*[0-9]+')) <= 1 THEN 2 ELSE 0 END + CASE WHEN length(c) <= 220 THEN 1 ELSE 0 END)::INT AS quality FROM cleaned""")
 def gates_questions(t):
-    return values(t).select(
-        "id", GT.publishable("v").alias("publishable"), GT.useful_question("v").alias("useful"), GT.displayable("v").alias("displayable"), GT.junk_value("v").alias("junk"),
-        GT.text_quality("v").alias("quality"),
+    c = F.col("c")
+    return values(t).withColumn("c", GT.clean_public("v")).select(
+        "id", GT.publishable("v", c).alias("publishable"), GT.useful_question("v", c).alias("useful"), GT.displayable("v").alias("displayable"), GT.junk_value("v").alias("junk"),
+        GT.text_quality("v", c).alias("quality"),
     )
 
 
@@ -113,9 +114,9 @@ TOKENS_OF_V = LTOKS.replace("coalesce(text, '')", "coalesce(v, '')")
 n = '' OR len(regexp_extract_all(c, '(?i)\bq(?:uestion)?\.?\s*[0-9]+[a-z]?\b')) > 1 OR length(n) > 180 OR regexp_matches(n, '^(?:the |what is|why |how )') AS rejected,
 c <> '' AND length(c) <= 180 AND len({TOKENS_OF_V}) BETWEEN 1 AND 20 AND NOT regexp_matches(c, '(?i)^(?:you are|consider|q[0-9]\)|customer)') AND length({QNORMAL.replace("coalesce(text, '')", 'c')}) >= 8 AS prompt_like FROM n""")
 def gates_prompts(t):
-    return values(t).select(
-        "id", GT.prompt_normalise("v").alias("prompt"), GT.rejected_prompt("v", OPENINGS).alias("rejected"), GT.prompt_like("v", T.link_tokens("v", STOP), BLOCKED).alias("prompt_like")
-    )
+    c, n = F.col("c"), F.col("prompt")
+    rows = values(t).withColumn("c", GT.clean_public("v")).withColumn("prompt", GT.prompt_normalise("v", clean=c))
+    return rows.select("id", "prompt", GT.rejected_prompt("v", OPENINGS, clean=c, normal=n).alias("rejected"), GT.prompt_like("v", T.link_tokens("v", STOP), BLOCKED, clean=c).alias("prompt_like"))
 
 
 NOT_A_PERSON = [r"^customer#0*[1-9]$", r"^https?:", r"^q[0-9]+\)", "^[a-f0-9]{20,}$"]
@@ -283,3 +284,16 @@ def fields_json_and_templates(t):
         "o_orderkey", FD.json_texts("body").alias("texts"), F.array_join(F.transform("adds", lambda x: F.concat(x["type"], F.lit(":"), x["value"])), ";").alias("adds"), told["text"].alias("summary"),
         told["status"].alias("status"), GT.instruction_segment("o_orderpriority", ["1", "2"]).alias("instruction"), GT.complete("o_orderstatus", F.when(k % 5 > 0, "x")).alias("complete"),
     )
+
+
+# ---- picks and lists ----
+
+
+@query("""SELECT doc_id, ['first', 'second', 'third'][(('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT % 3 + 1)::INT] AS pick FROM documents""")
+def fields_hash_picks(t):
+    return t("documents").select("doc_id", T.hash_pick(["first", "second", "third"], F.col("doc_id").cast("string")).alias("pick"))
+
+
+@query("""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), ','), lambda x: trim(x, ' ')), lambda x: x <> ''), '|') AS items FROM documents""")
+def fields_comma_lists(t):
+    return t("documents").select("doc_id", F.array_join(T.listed("text"), "|").alias("items"))

@@ -386,3 +386,28 @@ def test_synonym_classes_and_folding(spark):
     signed = SY.folded(rows, "id", "w", table).select("id", SY.ordered_signature(SY.core(F.col("w"), ["the"])).alias("s")).collect()
     assert {r["id"]: r["s"] for r in signed} == {1: "equal law", 2: "", 3: ""}
     assert SY.classes(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_items_lines_and_mentions_are_trimmed(spark):
+    """``trim`` takes a second argument, so that a bare ``F.trim`` in ``transform`` would trim the item's number."""
+    from corpuslink.functions import tags as TG
+    from corpuslink.functions import text as T
+
+    df = spark.createDataFrame([(" 0a , b1 ,, 2 ", "  why is 0?  \n what is 1? ")], "a string, b string")
+    got = df.select(T.listed("a").alias("a"), T.question_lines("b", 3, 90, ["why"]).alias("b"), TG.mentions("a", [("x", " [a-z0-9]+ ")]).alias("m")).first()
+    assert got["a"] == ["0a", "b1", "2"] and got["b"] == ["why is 0?", "what is 1?"] and [m["value"] for m in got["m"]] == ["0a", "b1", "2"]
+
+
+def test_json_of_any_depth(spark):
+    from corpuslink.sources import trees
+
+    import json
+
+    node = {"name": "deep", "url": "u40"}
+    for i in range(40):
+        node = {"child": node} if i % 2 else {"list": [node]}
+    body = json.dumps({"question": "top", "name": "n0", "url": "u0", "more": node})
+    df = spark.createDataFrame([(1, body), (2, "no json"), (3, None)], "id long, body string")
+    args = (df, "id", "body", ["question"], ["name"], ["url"])
+    assert {tuple(r) for r in trees.harvested(*args).collect()} == {(1, "top", "n0", "u0"), (1, "top", "deep", "u40")}
+    assert {tuple(r) for r in trees.harvested(*args, depth=6).collect()} == {(1, "top", "n0", "u0")}

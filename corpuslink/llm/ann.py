@@ -2,7 +2,8 @@
 
 Coarse centroids and the residuals' code books are fitted on at most ``SAMPLE`` vectors, chosen by the hash of their id; every vector is
 indexed. A cell's vectors are dealt to chunks by the hash of their id, and each query goes to all chunks of its ``probes`` nearest cells, so a cell
-that holds a third of all rows is many tasks, and no task sees more than one chunk at a time. In a chunk, asymmetric distance tables rank the codes;
+that holds a third of all rows is many tasks. A cell's queries are dealt to blocks likewise, of about ``QUERY_ROWS``, and a task sees one chunk and one block
+at a time, whatever the numbers of rows and queries. In a chunk, asymmetric distance tables rank the codes;
 the best ``rerank`` are measured exactly, in double precision, on the original vectors, and the chunk's best k are sent on.
 
 Equal codes are ordered by id, so among equal vectors the smaller ids stay. ``probes=1.0`` with ``rerank=None`` is exact: all cells, and every row measured.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SAMPLE, PARTS, CODES, CHUNK_ROWS = 8_192, 16, 64, 4_096
+SAMPLE, PARTS, CODES, CHUNK_ROWS, QUERY_ROWS = 8_192, 16, 64, 4_096, 2_048
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -117,8 +118,12 @@ def search(
     left = indexed.join(F.broadcast(chunks), "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))  # at most 1024 cells
     asked = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null").filter(usable("v", width))
     asked = asked.groupBy("id").agg(F.min("v").alias("v"))
-    right = asked.mapInArrow(route, "query_id long, cell int, raw binary").join(F.broadcast(chunks), "cell")
-    right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    # Each cell's queries go out in blocks, and a chunk of rows meets every block in a group of its own.
+    routed = stored(asked.mapInArrow(route, "query_id long, cell int, raw binary"), "routed")
+    blocks = routed.groupBy("cell").count().select("cell", F.ceil(F.col("count") / QUERY_ROWS).cast("int").alias("blocks"))  # a row a cell at most
+    left = left.join(F.broadcast(blocks), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = routed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), F.col("query_id")), F.col("blocks")).cast("int"))
+    right = right.join(F.broadcast(chunks), "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 
     def probe(rows, asked):
         import pandas as pd
@@ -145,8 +150,8 @@ def search(
             out.append((np.full(len(top), q), ids[best][top], exact[top]))
         return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
 
-    found = left.select("cell", "chunk", "id", "codes", "raw").groupBy("cell", "chunk").cogroup(
-        right.select("cell", "chunk", "query_id", "raw").groupBy("cell", "chunk")
+    found = left.select("cell", "chunk", "block", "id", "codes", "raw").groupBy("cell", "chunk", "block").cogroup(
+        right.select("cell", "chunk", "block", "query_id", "raw").groupBy("cell", "chunk", "block")
     ).applyInPandas(probe, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")

@@ -233,3 +233,13 @@ def test_expectation_maximisation_finds_the_reliable_labeler(spark):
     right = np.mean([(found[tuple(v)] >= 0.5) == y for _, v, y in rows])
     assert right > 0.94
     assert found[(2, 0, 0, 1, 1)] > found[(0, 2, 0, 1, 1)] > found[(0, 0, 2, 1, 1)]
+
+
+def test_nearest_in_blocks_of_queries(spark, monkeypatch):
+    from corpuslink.llm import ann
+
+    base = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    asked = base.filter("vec_id % 10 = 0")
+    want = sorted(map(tuple, ann.search(base, asked, k=5).collect()))
+    monkeypatch.setattr(ann, "QUERY_ROWS", 7)
+    assert sorted(map(tuple, ann.search(base, asked, k=5).collect())) == want

@@ -13,6 +13,7 @@ from .operators import phrases as PH
 from .operators import positional as PO
 from .operators import rounds as RO
 from .operators import search as S
+from .operators import stores as ST
 from .operators import synonyms as SY
 from .operators import themes as TH
 from .queries_ranking import NEAR
@@ -318,3 +319,102 @@ def search_without_query(t):
     scored = rows.withColumn("score", J.hybrid_score(nothing, nothing, F.col("m"), F.col("e"), J.NO_QUERY)).withColumn("all", F.lit(1))
     page = scored.orderBy(F.desc(F.round("score", 9)), F.desc("e"), "doc_id").limit(24)
     return G.top_per_group(page, ["all"], [F.desc(F.round("score", 9)), F.desc("e"), "doc_id"], 24, "place").select("doc_id", "place", F.round("score", 6).alias("score"))
+
+
+# ---- jobs ----
+
+LINKS = """e AS (SELECT l_orderkey AS grp, l_linenumber AS entry, nullif(CASE WHEN l_quantity % 11 = 0 THEN ' ' ELSE 'part/' || l_partkey END, ' ') AS link FROM lineitem),
+k AS (SELECT 'part/' || p_partkey AS link, p_size % 3 <> 0 AS ok FROM part WHERE p_partkey % 4 <> 0), c AS (SELECT 'part/' || p_partkey AS link, p_size % 5 <> 0 AS ok FROM part WHERE p_partkey % 6 = 0),
+s AS (SELECT link, coalesce(c.ok, k.ok) AS ok FROM k FULL JOIN c USING (link)), r AS (SELECT e.*, coalesce(ok, false) AS ok FROM e LEFT JOIN s USING (link))"""
+
+
+def _links(t):
+    url = lambda c: F.concat(F.lit("part/"), F.col(c).cast("string"))
+    e = t("lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").alias("entry"), F.when(F.col("l_quantity") % 11 == 0, F.lit(" ")).otherwise(url("l_partkey")).alias("link"))
+    p = t("part").select("p_partkey", url("p_partkey").alias("link"), "p_size")
+    known = p.filter("p_partkey % 4 != 0").select("link", (F.col("p_size") % 3 != 0).alias("ok"))
+    return ST.pruned_links(e, known, p.filter("p_partkey % 6 = 0").select("link", (F.col("p_size") % 5 != 0).alias("ok")), "grp", "link")
+
+
+@query(f"WITH {LINKS} SELECT grp, entry, link, dense_rank() OVER (ORDER BY grp) AS number FROM r WHERE ok")
+def jobs_pruned_links(t):
+    return _links(t)[0].select("grp", "entry", "link", "number")
+
+
+@query(f"""WITH {LINKS} SELECT count(*) AS entries, count(*) FILTER (link IS NULL) AS without_link, count(*) FILTER (link IS NOT NULL AND NOT ok) AS failing, count(*) FILTER (ok) AS kept,
+count(DISTINCT grp) AS groups, count(DISTINCT CASE WHEN ok THEN grp END) AS groups_kept FROM r""")
+def jobs_pruned_report(t):
+    return _links(t)[1]
+
+
+@query(f"WITH {LINKS} SELECT DISTINCT link FROM e WHERE link IS NOT NULL AND link NOT IN (SELECT link FROM s)")
+def jobs_links_to_check(t):
+    return _links(t)[2]
+
+
+TAGGED = f"""WITH {ALIAS}, al AS (SELECT alias, row_number() OVER (ORDER BY alias) AS ord, 'tag ' || length(alias) AS tag FROM dict),
+hit AS (SELECT doc_id, tag, min(ord) AS ord FROM (SELECT doc_id, lower(text) AS t FROM documents), al WHERE contains(t, alias) GROUP BY 1, 2),
+h8 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS r FROM hit), l AS (SELECT doc_id, list(tag ORDER BY r) FILTER (r <= 8) AS tags FROM h8 GROUP BY 1),
+x AS (SELECT doc_id, list_concat(coalesce(tags, []), CASE lang WHEN 'en' THEN ['tag 7', 'English'] WHEN 'de' THEN ['German'] ELSE [] END) AS l FROM documents LEFT JOIN l USING (doc_id)),
+tg AS (SELECT doc_id, list_filter(l, lambda v, i: list_position(l, v) = i)[:8] AS tags FROM x)"""
+
+
+def _tagged(t):
+    from pyspark.sql import Window
+
+    word = lambda df, c: df.select(F.explode(F.split(F.lower(F.col(c)), " ")).alias("alias"))
+    words = word(t("part"), "p_name").union(word(t("customer"), "c_mktsegment")).union(word(t("benchmark"), "text").select(F.substring("alias", 1, 6))).filter(F.length("alias") >= 2).distinct()
+    table = words.withColumn("ord", F.row_number().over(Window.orderBy("alias"))).withColumn("tag", F.concat(F.lit("tag "), F.length("alias").cast("string")))  # a dictionary, not the texts
+    return ST.tagged_and_indexed(t("documents").select("doc_id", "text", "lang"), table, "doc_id", "text", "lang", {"en": ["tag 7", "English"], "de": ["German"]})
+
+
+@query(f"{TAGGED} SELECT doc_id, array_to_string(tags, '|') AS tags FROM tg")
+def jobs_tagged(t):
+    return _tagged(t)[0].select("doc_id", F.array_join("tags", "|").alias("tags"))
+
+
+@query(f"""{TAGGED} SELECT keyword, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id)[:12], ',') AS first FROM (SELECT doc_id, unnest(tags) AS keyword FROM tg) GROUP BY 1""")
+def jobs_tag_index(t):
+    return _tagged(t)[1].select("keyword", "n", F.array_join(F.col("first").cast("array<string>"), ",").alias("first"))
+
+
+STORE = f"""q AS (SELECT item_id AS question_id, text AS question, 's' || item_id % 5 AS subject, ['t' || item_id % 7, 't' || item_id % 3] AS tags FROM benchmark),
+a AS (SELECT doc_id AS answer_id, doc_id % 300 AS question_id, n_chars AS score FROM documents WHERE doc_id % 300 IN (SELECT item_id FROM benchmark)),
+a1 AS (SELECT answer_id, question_id, max(score) AS score FROM a GROUP BY 1, 2), n AS (SELECT question_id, count(a1.answer_id) AS n FROM q LEFT JOIN a1 USING (question_id) GROUP BY 1)"""
+
+
+def _store(t):
+    text = lambda mark, n: F.concat(F.lit(mark), (F.col("item_id") % n).cast("string"))
+    q = t("benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), text("s", 5).alias("subject"), F.array(text("t", 7), text("t", 3)).alias("tags"))
+    a = t("documents").select(F.col("doc_id").alias("answer_id"), (F.col("doc_id") % 300).alias("question_id"), F.col("source").alias("person"), F.col("n_chars").alias("score"))
+    return ST.search_store(q, a, F.length("question"), RO.scratch(q.sparkSession, "store"), "v1")[0]
+
+
+@query(f"""WITH {STORE}, tg AS (SELECT DISTINCT question_id, unnest(tags) AS tag FROM q) SELECT 'subject' AS kind, subject AS value, count(*) AS questions, sum(n)::BIGINT AS answers FROM q JOIN n USING (question_id) GROUP BY 2
+UNION ALL SELECT 'tag', tag, count(*), sum(n)::BIGINT FROM tg JOIN n USING (question_id) GROUP BY 2""")
+def jobs_search_store(t):
+    made = _store(t)
+    of = lambda name, c: made[name].select(F.lit(c).alias("kind"), F.col(c).alias("value"), "questions", "answers")
+    return of("subjects", "subject").unionByName(of("tags", "tag"))
+
+
+@query(f"""WITH {STORE}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, answer_id) AS r FROM a1)
+SELECT question_id, n AS answers, coalesce(best, '') AS best FROM n LEFT JOIN (SELECT question_id, array_to_string(list(answer_id ORDER BY r) FILTER (r <= 12), ',') AS best FROM r GROUP BY 1) USING (question_id)""")
+def jobs_search_store_questions(t):
+    best = F.coalesce(F.array_join(F.col("copies").cast("array<string>"), ","), F.lit(""))
+    return _store(t)["questions"].select("question_id", F.col("n_copies").alias("answers"), best.alias("best"))
+
+
+@query("""WITH p AS (SELECT * FROM part), g AS (SELECT p_type AS subject, count(DISTINCT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'))) AS questions FROM p GROUP BY 1)
+SELECT subject, questions FROM g""")
+def jobs_workspace(t):
+    """Every type is a node above a node a word; a part stands in the word node of its own type, so the questions below a type are its distinct names."""
+    p = t("part")
+    word = F.split("p_name", " ")[0]
+    leaves = p.select(F.col("p_type").alias("subject"), word.alias("label")).distinct()
+    leaf_id = F.concat_ws("/", "subject", "label")
+    nodes = leaves.select(F.xxhash64(leaf_id).alias("ord"), leaf_id.alias("node_id"), "subject", "label", F.lit("no paper at all").alias("paper"), F.col("subject").alias("parent"))
+    tops = leaves.select("subject").distinct().select(F.xxhash64("subject").alias("ord"), F.col("subject").alias("node_id"), F.lit("top").alias("subject"), F.lit("zzzz").alias("label"), F.lit("no paper at all").alias("paper"), F.lit(None).cast("string").alias("parent"))
+    cards = p.select("p_partkey", F.col("p_name").alias("question"), F.array(word).alias("tags"), F.array("p_type").alias("subjects"), F.col("p_type").alias("hint"), F.col("p_type").alias("fallback"))
+    _, counted = ST.workspace(cards, nodes.unionByName(tops), F.length("question"), "p_partkey", [], [])
+    return counted.filter("own = 0 AND instr(path, ' > ') = 0 AND n > 0").select(F.col("node_id").alias("subject"), F.col("n").alias("questions"))

@@ -174,11 +174,21 @@ def most_hits(c: Column | str, rules: list[tuple[str, str]], default: str) -> Co
     return F.when(best["n"] > 0, best["label"]).otherwise(F.lit(default))
 
 
-def question_lines(c: Column | str, low: int, high: int, words: list[str], most: int = 80) -> Column:
-    """Lines of ``low`` to ``high`` characters that hold a directive word or end in a question mark; the first ``most``."""
-    lines = F.transform(F.split(text(c), "\n"), lambda x: F.trim(x))
-    hit = lambda x: F.length(x).between(low, high) & (x.endswith("?") | F.lower(x).rlike(rf"(?<![a-z])({'|'.join(words)})(?![a-z])"))
-    return F.slice(F.filter(lines, hit), 1, most)
+def question_lines(c: Column | str, low: int, high: int, words: list[str], skip: list[str] | None = None, most: int = 80, cut: int = 260) -> Column:
+    """Lines of ``low`` to ``high`` characters that say their marks, or have a number in front and one of the ``words``; none with a pattern of ``skip``, such as a
+    header's. One space for white space, ``cut`` characters at most, each line once whatever its case; the first ``most``."""
+    begin, end = "(?<![a-z0-9_])", "(?![a-z0-9_])"
+    lines = F.transform(F.split(text(c), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    number = r"^(?:(?:q\.?\s*)?[0-9]{1,2}\s*(?:[.)]|\([a-e]\)|[a-e][.)])|\([a-e]\))\s"
+
+    def hit(x: Column) -> Column:
+        t = F.lower(x)
+        said = t.rlike(rf"{begin}[0-9]{{1,3}}\s*marks?{end}") | (t.rlike(number) & t.rlike(rf"{begin}(?:{'|'.join(words)}){end}"))
+        return F.length(x).between(low, high) & said & (~t.rlike("|".join(skip)) if skip else F.lit(True))
+
+    kept = F.transform(F.filter(lines, hit), lambda x: F.substring(x, 1, cut))
+    first = lambda xs: once(F.transform(xs, lambda x: F.lower(x)), lambda lows: F.filter(xs, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1))
+    return F.slice(once(kept, first), 1, most)
 
 
 def lenient_int(c: Column | str) -> Column:

@@ -125,11 +125,19 @@ def text_most_hits(t):
     return t("documents").select("doc_id", T.most_hits("text", [("th", "th"), ("ch", "ch"), ("que", "que")], "none").alias("class"))
 
 
-@query("""SELECT doc_id, len(l)::INT AS n, array_to_string(l, '|') AS lines FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)),
-lambda x: length(x) BETWEEN 28 AND 320 AND (x LIKE '%?' OR regexp_matches(lower(x), '(^|[^a-z])(discuss|explain|examine|the|und)([^a-z]|$)')))[:80] AS l FROM documents)""")
+@query(r"""WITH x AS (SELECT doc_id, replace(replace(coalesce(text, ''), '. ', '.' || chr(10) || doc_id % 40 || '. '), ', ', CASE WHEN doc_id % 3 = 0 THEN ' 15 marks,' || chr(10) ELSE ', ' END) AS t FROM documents),
+l AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) BETWEEN 28 AND 320
+AND (regexp_matches(lower(x), '\b[0-9]{1,3}\s*marks?\b') OR (regexp_matches(lower(x), '^(?:(?:q\.?\s*)?[0-9]{1,2}\s*(?:[.)]|\([a-e]\)|[a-e][.)])|\([a-e]\))\s') AND regexp_matches(lower(x), '\b(?:discuss|explain|examine|the|und)\b')))
+AND NOT regexp_matches(lower(x), 'quei|thth')) AS l FROM x), k AS (SELECT doc_id, list_transform(l, lambda x: x[1:260]) AS l FROM l),
+f AS (SELECT doc_id, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i)[:80] AS l FROM k)
+SELECT doc_id, len(l)::INT AS n, array_to_string(l, '|') AS lines FROM f""")
 def text_question_lines(t):
-    lines = T.question_lines("text", 28, 320, DIRECTIVES)
-    return t("documents").select("doc_id", F.size(lines).alias("n"), F.array_join(lines, "|").alias("lines"))
+    """The sentences of a text as numbered lines, and in every third text with marks at commas."""
+    k = F.col("doc_id")
+    numbered = F.replace(T.text("text"), F.lit(". "), F.concat(F.lit(".\n"), (k % 40).cast("string"), F.lit(". ")))
+    d = t("documents").select("doc_id", F.replace(numbered, F.lit(", "), F.when(k % 3 == 0, F.lit(" 15 marks,\n")).otherwise(F.lit(", "))).alias("t"))
+    rows = d.withColumn("l", T.question_lines("t", 28, 320, DIRECTIVES, ["quei", "thth"]))
+    return rows.select("doc_id", F.size("l").alias("n"), F.array_join("l", "|").alias("lines"))
 
 
 @query("""SELECT event_id, coalesce(TRY_CAST(regexp_extract(event_type || '', '^\\s*([+-]?[0-9]{1,9})', 1) AS INT), -1) AS bad, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS n,

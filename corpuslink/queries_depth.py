@@ -418,3 +418,26 @@ def jobs_workspace(t):
     cards = p.select("p_partkey", F.col("p_name").alias("question"), F.array(word).alias("tags"), F.array("p_type").alias("subjects"), F.col("p_type").alias("hint"), F.col("p_type").alias("fallback"))
     _, counted = ST.workspace(cards, nodes.unionByName(tops), F.length("question"), "p_partkey", [], [])
     return counted.filter("own = 0 AND instr(path, ' > ') = 0 AND n > 0").select(F.col("node_id").alias("subject"), F.col("n").alias("questions"))
+
+
+# ---- spine search over a table of queries: the first three words of every fiftieth document ----
+
+SPINE = r"""d AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'), ' ') AS h,
+least(0.16, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 0.05 END + CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 0.03 END + CASE WHEN coalesce(source, '') <> '' THEN 0.03 ELSE 0 END + least(0.05, (doc_id % 6) * 0.012))
+ + least(0.14, (n_chars % 131) / 1000 + (900 + 13 * (n_chars % 120) - 1400) / 9000) AS s FROM documents),
+t AS (SELECT *, list_filter(regexp_split_to_array(h, '[^a-z0-9]+'), lambda x: length(x) > 1) AS t FROM d),
+q AS (SELECT doc_id AS query_id, trim(array_to_string(string_split(h, ' ')[1:3], ' '), ' ') AS q FROM d WHERE doc_id % 50 = 0),
+a AS (SELECT query_id, q, list_filter(regexp_split_to_array(q, '[^a-z0-9]+'), lambda x: length(x) > 1) AS a FROM q),
+x AS (SELECT query_id, doc_id, s, contains(h, q) AS w, len(list_filter(a, lambda v: list_contains(t, v))) AS hit, len(a) AS n_all, len(list_distinct(a)) AS n, len(list_distinct(t)) AS m,
+len(list_intersect(a, t)) AS b FROM a CROSS JOIN t WHERE len(a) > 0),
+y AS (SELECT query_id, doc_id, 0.44 * hit / n_all + CASE WHEN w THEN 0.16 ELSE 0 END + 0.22 * CASE WHEN w THEN 1.0 ELSE b / greatest(1, n + m - b) END + s AS score FROM x)"""
+
+
+@query(f"""WITH {SPINE} SELECT query_id, doc_id, place::INT AS place, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS place
+FROM y WHERE score > 0.12) WHERE place <= 15""")
+def search_spine_of_queries(t):
+    k = F.col("doc_id")
+    d = t("documents").withColumn("static", J.spine_static(k % 3, k % 4, F.col("source"), k % 6, F.col("n_chars") % 131, 900 + 13 * (F.col("n_chars") % 120)))
+    words = F.split(F.trim(F.regexp_replace(F.lower(T.text("text")), r"\s+", " ")), " ")
+    asked = d.filter("doc_id % 50 = 0").select(k.alias("query_id"), F.array_join(F.slice(words, 1, 3), " ").alias("asked"))
+    return J.spine_search(d, asked, "doc_id", "query_id", "text", "asked", "static", 15).select("query_id", "doc_id", "place", F.round("score", 6).alias("score"))

@@ -393,9 +393,9 @@ def test_items_lines_and_mentions_are_trimmed(spark):
     from corpuslink.functions import tags as TG
     from corpuslink.functions import text as T
 
-    df = spark.createDataFrame([(" 0a , b1 ,, 2 ", "  why is 0?  \n what is 1? ")], "a string, b string")
-    got = df.select(T.listed("a").alias("a"), T.question_lines("b", 3, 90, ["why"]).alias("b"), TG.mentions("a", [("x", " [a-z0-9]+ ")]).alias("m")).first()
-    assert got["a"] == ["0a", "b1", "2"] and got["b"] == ["why is 0?", "what is 1?"] and [m["value"] for m in got["m"]] == ["0a", "b1", "2"]
+    df = spark.createDataFrame([(" 0a , b1 ,, 2 ", "  1. why is 0  \n what is 1 \n0 5 Marks 0\n1. WHY is 0\n2) when is it\n(a) why not, candidate")], "a string, b string")
+    got = df.select(T.listed("a").alias("a"), T.question_lines("b", 3, 90, ["why"], ["candidate"]).alias("b"), TG.mentions("a", [("x", " [a-z0-9]+ ")]).alias("m")).first()
+    assert got["a"] == ["0a", "b1", "2"] and got["b"] == ["1. why is 0", "0 5 Marks 0"] and [m["value"] for m in got["m"]] == ["0a", "b1", "2"]
 
 
 def test_json_of_any_depth(spark):

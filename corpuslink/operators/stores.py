@@ -109,3 +109,37 @@ def search_store(
     order = refreshed_set(made, path, version, keys, links)
     spark = questions.sparkSession
     return {name: spark.read.parquet(f"{path}/{version}/{name}") for name in order}, order
+
+
+#: What a path may not hold: escaped nulls and slashes, backslashes.
+UNSAFE = ("%00", "%2f", "%5c", "\\")
+
+
+def link_violations(rows: DataFrame, key: str, url: str, page: str, hosts: list[str], form: str, ending: str = ".pdf", stated: int | None = None) -> DataFrame:
+    """(key, rule): every rule that a row breaks, a row for each; an empty result is a clean table.
+
+    Rules: ``key`` (not of the ``form``, a pattern), ``scheme`` (not https), ``credentials``, ``query`` (or a fragment), ``host`` (none of ``hosts``), ``path`` (without the
+    ``ending``, or unsafe) and ``page`` (given, and no number from 1). A row without a link breaks the key's rule at most. ``count``, without a key: the table has not
+    as many rows as ``stated``.
+    """
+    u = F.trim(T.text(url))
+    rest = F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://)?", "")
+    authority = F.regexp_extract(rest, r"^[^/?#]*", 0)
+    named = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":[0-9]*$", ""))
+    path = F.lower(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1))
+    unsafe = F.lit(False)
+    for x in UNSAFE:
+        unsafe = unsafe | path.contains(x)
+    number = F.col(page).cast("string").try_cast("double")
+    there = u != ""
+    broken = {
+        "key": ~T.text(F.col(key).cast("string")).rlike(form), "scheme": there & ~F.lower(u).startswith("https://"), "credentials": there & authority.contains("@"),
+        "query": there & u.rlike("[?#]"), "host": there & ~named.isin(hosts), "path": there & (~path.endswith(ending) | unsafe),
+        "page": there & F.col(page).isNotNull() & F.coalesce(number.isNull() | (number < 1) | F.isnan(number), F.lit(True)),
+    }
+    rules = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in broken.items()]))
+    found = rows.select(F.col(key), F.explode(rules).alias("rule"))
+    if stated is None:
+        return found
+    whole = rows.agg(F.count("*").alias("n")).filter(F.col("n") != stated).select(F.lit(None).cast(rows.schema[key].dataType).alias(key), F.lit("count").alias("rule"))
+    return found.unionByName(whole)

@@ -441,3 +441,25 @@ def search_spine_of_queries(t):
     words = F.split(F.trim(F.regexp_replace(F.lower(T.text("text")), r"\s+", " ")), " ")
     asked = d.filter("doc_id % 50 = 0").select(k.alias("query_id"), F.array_join(F.slice(words, 1, 3), " ").alias("asked"))
     return J.spine_search(d, asked, "doc_id", "query_id", "text", "asked", "static", 15).select("query_id", "doc_id", "place", F.round("score", 6).alias("score"))
+
+
+# ---- link rules: addresses made from the pages' own in seven ways ----
+
+WAYS = r"""x AS (SELECT page_id, 'k' || page_id AS key, page_id % 5 - 1 AS page, regexp_replace(url, '^https?://', '') AS tail, page_id % 7 AS way FROM pages),
+u AS (SELECT key, page, CASE way WHEN 0 THEN 'http://' || tail WHEN 1 THEN 'https://me:pw@' || tail || '.pdf' WHEN 2 THEN 'https://' || tail || '.pdf?x=1' WHEN 3 THEN '  ' WHEN 4 THEN 'https://' || tail || '/a%2Fb.PDF' WHEN 5 THEN 'https://' || tail || '.pdf' ELSE 'https://files.example.org/' || page_id || '.pdf' END AS url FROM x),
+p AS (SELECT *, trim(url, ' ') AS t, regexp_extract(regexp_replace(trim(url, ' '), '^https?://', ''), '^[^/?#]*') AS a, lower(regexp_extract(regexp_replace(trim(url, ' '), '^https?://', ''), '^[^/?#]*([^?#]*)', 1)) AS path FROM u)"""
+
+
+@query(rf"""WITH {WAYS} SELECT key, 'key' AS rule FROM p WHERE NOT regexp_matches(key, '^k[0-9]*[02468]$') UNION ALL SELECT key, 'scheme' FROM p WHERE t <> '' AND NOT starts_with(t, 'https://')
+UNION ALL SELECT key, 'credentials' FROM p WHERE t <> '' AND contains(a, '@') UNION ALL SELECT key, 'query' FROM p WHERE t <> '' AND regexp_matches(t, '[?#]')
+UNION ALL SELECT key, 'host' FROM p WHERE t <> '' AND regexp_replace(a, '^.*@', '') <> 'files.example.org' UNION ALL SELECT key, 'path' FROM p WHERE t <> '' AND (NOT path LIKE '%.pdf' OR contains(path, '%2f'))
+UNION ALL SELECT key, 'page' FROM p WHERE t <> '' AND page < 1""")
+def jobs_link_violations(t):
+    k, tail = F.col("page_id"), F.regexp_replace("url", "^https?://", "")
+    way, s = k % 7, F.lit("https://")
+    url = (
+        F.when(way == 0, F.concat(F.lit("http://"), tail)).when(way == 1, F.concat(F.lit("https://me:pw@"), tail, F.lit(".pdf"))).when(way == 2, F.concat(s, tail, F.lit(".pdf?x=1")))
+        .when(way == 3, F.lit("  ")).when(way == 4, F.concat(s, tail, F.lit("/a%2Fb.PDF"))).when(way == 5, F.concat(s, tail, F.lit(".pdf"))).otherwise(F.concat(F.lit("https://files.example.org/"), k.cast("string"), F.lit(".pdf")))
+    )
+    rows = t("pages").select(F.concat(F.lit("k"), k.cast("string")).alias("key"), url.alias("url"), (k % 5 - 1).alias("page"))
+    return ST.link_violations(rows, "key", "url", "page", ["files.example.org"], "^k[0-9]*[02468]$")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .rounds import settled
 
 #: Fixed value: what one matched position is worth.
 WORTH = 0.1
@@ -36,7 +37,7 @@ def conjunctions(index: DataFrame, queries: DataFrame, ident: str, query: str, t
     """(query, ident, hits, m): rows that hold all ``m`` terms of a query; hits: rising array of (pos, k), k the term's number."""
     asked = queries.select(query, F.array_distinct(F.filter(terms, lambda t: t.isNotNull() & (t != ""))).alias("_t")).filter(F.size("_t") > 0)
     asked = asked.select(query, F.size("_t").alias("m"), F.posexplode("_t").alias("k", "term"))
-    held = index.join(asked.select("term").distinct(), "term", "left_semi")
+    held = settled(index.join(asked.select("term").distinct(), "term", "left_semi"))  # read three times
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     known = asked.join(df, "term")
     # Only queries all of whose terms are held somewhere go on; the rarest term asks.

@@ -51,7 +51,7 @@ def _asked(docs):
 @query(f"""WITH {HITS} SELECT query_id, doc_id, rank::INT AS rank, round(score, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM g) WHERE rank <= 20""")
 def search_cover_density(t):
-    docs = _positions(t)
+    docs = RO.settled(_positions(t))
     found = PO.cover_density_hits(PO.positional_index(docs, "doc_id", "positions"), _asked(docs), "doc_id", "query_id", "terms")
     top = G.top_per_group(found, ["query_id"], [F.desc(F.round("score", 9)), "doc_id"], 20)
     return top.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
@@ -94,7 +94,7 @@ def _dictionary(t):
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(phrase) DESC, phrase) AS r FROM hit)
 SELECT doc_id, array_to_string(list(phrase ORDER BY r), '|') AS phrases FROM r WHERE r <= 30 GROUP BY doc_id""")
 def tags_phrases(t):
-    docs = t("documents").select("doc_id", T.tokens(T.search_normalise("text")).alias("toks"))
+    docs = RO.settled(t("documents").select("doc_id", T.tokens(T.search_normalise("text")).alias("toks")))
     words = _dictionary(t)
     hits = PH.phrase_hits(docs, words.select("ord", "want"), "doc_id", "toks", "want")
     tags = PH.first_tags(hits, words.select("ord", "phrase"), "doc_id", "phrase", [F.desc(F.length("phrase")), "phrase"], 30)
@@ -287,7 +287,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 
 def _hybrid(t):
-    docs, e = _positions(t), t("embeddings")
+    docs, e = RO.settled(_positions(t)), t("embeddings")
     asked = e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
     lexical = PO.cover_density_hits(PO.positional_index(docs, "doc_id", "positions"), _asked(docs), "doc_id", "query_id", "terms")
     held = e.join(t("documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")

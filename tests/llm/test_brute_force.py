@@ -357,6 +357,22 @@ def test_recall_of_the_registered_search(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_nearest_are_all_found_on_any_rows(spark):
+    """Rows without structure, copies, and groups that codes don't tell apart; few cells and rows at first, so that the bounds decide; against brute force."""
+    rng = np.random.default_rng(11)
+    plain = rng.normal(size=(900, 48))
+    groups = np.concatenate([rng.normal(size=(500, 12)) * 1e-3, rng.normal(size=(200, 12)), rng.normal(size=(12, 12)) * 1e6, np.repeat(rng.normal(size=(2, 12)), 40, axis=0)])
+    for x, settings in ((plain, {}), (plain, {"probes": 0.1, "rerank": 5}), (groups[rng.permutation(len(groups))], {"probes": 0.01, "rerank": 5})):
+        base = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        got = defaultdict(list)
+        for r in ann.search(base, base.filter("vec_id % 10 = 0"), **settings).collect():
+            got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+        for q in range(0, len(x), 10):
+            far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+            best = [i for i in np.lexsort((np.arange(len(x)), far)) if i != q][:10]
+            assert sorted(got[q]) == [(n + 1, i, far[i]) for n, i in enumerate(best)]
+
+
 # ---- tokens ----
 
 

@@ -5,8 +5,9 @@
 2. The forest: each of ``TREES`` orders sorts the sets by a signature of ``LEVELS`` values that starts at another place.
    Sorting is a range shuffle on (order, signature, id), so no group of copies is one key. A candidate of a
    set is a neighbour in some order with which it shares the first ``LEAST`` values: in a sparse region that is every
-   set with the same prefix; in a crowded one, at first, the ``NEAR`` neighbours, which share the longest
-   prefixes there, and the region's first set; step 5 does the rest.
+   set with the same prefix; in a crowded one, at first, the neighbour, which shares the longest
+   prefix there, and the region's least set so far, the same in most orders; step 5 does the rest.
+   So a set has at most ``2 * TREES`` candidates there, however large its group is.
 3. Candidates whose set sizes or signatures rule the similarity out are dropped; the others are confirmed on whole shingle sets: first each set with its candidate of smallest id,
    which joins most of a group of copies to one set, then every candidate pair that this left apart.
 4. Connected components by large-star and small-star steps, checkpointed.
@@ -142,7 +143,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int, bytes, int]] = []  # the last NEAR rows
     first: list[tuple[int, bytes, int]] = []
     region: tuple[int, bytes] | None = None
-    pivot = 0
+    pivot = seen = 0
     few: list[tuple[int, int, bytes]] | None = None  # rows of a region that is not crowded so far
     for batch in batches:
         a, b, crowd = [], [], []
@@ -151,14 +152,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             here = (tree, path[:PREFIX])
             if here != region:
                 few = None if region is None else []
-                region, pivot, held = here, i, []
+                region, pivot, held, seen = here, i, [], 1
             else:
-                for _, _, j in held:
+                seen += 1
+                # From here on the region is crowded: the nearest row and the pivot, as step 5 searches the rest.
+                for j in [r[2] for r in held] if seen <= NEAR + 1 else {held[-1][2], pivot}:
                     a.append(i)
                     b.append(j)
-                if len(held) == NEAR and pivot != held[0][2]:
-                    a.append(i)
-                    b.append(pivot)
                 pivot = min(pivot, i)
             if few is None:
                 crowd.append((i, *here))

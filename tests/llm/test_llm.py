@@ -81,6 +81,18 @@ def test_near_duplicates_in_a_crowd(spark):
     assert got == {i: rows[w][0] for (i, _), w in zip(rows, want, strict=True)}
 
 
+def test_candidates_of_a_group_grow_with_its_size(spark):
+    """Two groups of near copies, one twice the other: a set has few candidates in either, and each group is one component."""
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(400)]
+    for m in (600, 1200):
+        rows = [(i, " ".join(f"x{i}" if k in own else w for k, w in enumerate(base))) for i in range(m) for own in [set(rng.choice(400, 6, replace=False).tolist())]]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+        sets = near_dup.stored(near_dup.distinct_sets(near_dup.signatures(docs, "doc_id", "text", 2)), "sets")
+        assert near_dup.candidates(sets)[0].count() < 25 * m  # 33 to 37 a set with three neighbours each
+        assert near_dup.near_duplicates(docs).filter("component_id != 0").count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(1, 20)] + [(30, 25)], "a long, b long")
     got = {r["id"]: r["component"] for r in near_dup.components(edges).collect()}

@@ -1,22 +1,25 @@
 """MinHash near-duplicates by an LSH forest.
 
-1. One pass over the texts makes, per document, the fingerprint of its shingle set and ``HASHES``
-   MinHash values. Documents with the same set collapse to one set, which gets a number of its own, before anything else.
+1. One pass over the texts makes, per document, the fingerprint of its shingle set, ``HASHES``
+   MinHash values and a sketch: the parities of its shingles in ``BITS`` classes. Documents with the same set collapse to one set, which gets a number of its own, before anything else.
 2. The forest: each of ``TREES`` orders sorts the sets by a signature of ``LEVELS`` values that starts at another place.
    Sorting is a range shuffle on (order, signature, id), so no group of copies is one key. A candidate of a
    set is a neighbour in some order with which it shares the first ``LEAST`` values: in a sparse region that is every
    set with the same prefix; in a crowded one, at first, the neighbour, which shares the longest
    prefix there, and the region's least set so far, the same in most orders; step 5 does the rest.
    So a set has at most ``2 * TREES`` candidates there, however large its group is.
-3. Candidates whose set sizes or signatures rule the similarity out are dropped; the others are confirmed on whole shingle sets: first each set with its candidate of smallest id,
+3. Candidates whose set sizes, sketches or signatures rule the similarity out are dropped; the others are confirmed on whole shingle sets: first each set with its candidate of smallest id,
    which joins most of a group of copies to one set, then every candidate pair that this left apart.
 4. Connected components by large-star and small-star steps, checkpointed.
-5. Crowded regions that hold several components are searched whole: all pairs of sets of different components by signatures, and where
-   a pair may belong, all pairs of such sets on whole shingle sets. A region is dealt in blocks of about ``BLOCK`` sets; the sets outside its
-   largest component visit every block. A task returns a spanning forest of the links it finds, so rows out grow with the sets.
-
-Memory and shuffles: whole texts are shuffled for documents with candidates, and once a block for sets that step 5 compares; everything else
-is ids and signatures. A crowd of m sets that stay apart takes m * m comparisons a region. Chance of a miss: a pair of similarity s agrees on a tree's prefix with probability
+5. Crowded regions that hold several components are searched whole: all pairs of sets of different components by sketches and signatures, and
+   where a pair may belong, all pairs of such sets on whole shingle sets. The sets outside a region's largest component are dealt in blocks,
+   which the region's sets visit in slices. There are at most ``SPREAD`` blocks, and copies of a block for as many slices, however large the
+   region is: beyond ``SPREAD * BLOCK`` sets the blocks grow, so the rows dealt grow with the sets. Only where a block would
+   weigh over ``HELD`` bytes (60,000 sets by signatures, 500,000 shingles with their index on whole sets) are there more of them.
+   A task returns a spanning forest of the links it finds, so rows out grow with the sets, too.
+
+Memory and shuffles: whole texts are shuffled for documents with candidates, and whole sets a few times where step 5 compares them; everything
+else is ids, sketches and signatures. A crowd of m sets that stay apart takes m * m comparisons a region. Chance of a miss: a pair of similarity s agrees on a tree's prefix with probability
 s**LEAST, so at 0.8 it is missed by all 32 trees with 0.59**32, below 1e-7.
 
 Defined results: null, empty or blank texts have no shingles, form their own component and are kept; repeated rows give one row each; rows of
@@ -32,12 +35,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, discard, stored
 
-HASHES, TREES, LEAST, LEVELS, NEAR, SLACK, BLOCK, SALT = 128, 32, 4, 10, 3, 0.2, 256, 16
+HASHES, TREES, LEAST, LEVELS, NEAR, SLACK, BLOCK, SPREAD, SALT = 128, 32, 4, 10, 3, 0.2, 256, 8, 16
+#: Classes of a sketch, and the bytes of sets that a block of step 5 holds.
+BITS, HELD = 1024, 2**24
 #: Bytes of a path: a hash of the first LEAST values, then two of each further one.
 PREFIX, WIDTH = 8, 8 + 2 * (LEVELS - LEAST)
 WORDS_CACHE = 150_000
@@ -84,12 +89,29 @@ def minhash(s: np.ndarray) -> np.ndarray:
     return best
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """The parities of the numbers of hashes in BITS classes."""
+    return np.packbits(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
+def sketches(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, BITS // 64)
+
+
+def alike(p: np.ndarray, q: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sketches, and of these sums of two sizes, may be similar; none that is gets False.
+
+    Sketches differ in no more classes than sets have elements that the other lacks, and similar sets have few of these.
+    """
+    return (100 + percent) * np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= (100 - percent) * sizes
+
+
 def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Per row: k (its id), t (hash of its text), n (set size), fp (fingerprint of the set), sig (MinHash values, big-endian), low (their low bytes)."""
+    """Per row: k (its id), t (hash of its text), n (set size), fp (fingerprint of the set), sig (MinHash values, big-endian), low (their low bytes), odd (sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, fp, sig, low = [], [], [], []
+            n, fp, sig, low, odd = [], [], [], [], []
             for t in batch.column(2):
                 s = shingles(t.as_py(), size)
                 n.append(len(s))
@@ -97,19 +119,20 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 m = minhash(s) if len(s) else None
                 sig.append(None if m is None else m.astype(">u4").tobytes())
                 low.append(None if m is None else m.astype(np.uint8).tobytes())
+                odd.append(None if m is None else sketch(s))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())],
-                names=["k", "t", "n", "fp", "sig", "low"],
+                [*batch.columns[:2], pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (fp, sig, low, odd))],
+                names=["k", "t", "n", "fp", "sig", "low", "odd"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), text).mapInArrow(run, f"k {kind}, t long, n long, fp binary, sig binary, low binary")
+    return docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), text).mapInArrow(run, f"k {kind}, t long, n long, fp binary, sig binary, low binary, odd binary")
 
 
 def distinct_sets(rows: DataFrame) -> DataFrame:
-    """One row a set of ``signatures``: id (a number of its own), first (the least row that has it: no_id, k, t), n, fp, sig, low."""
+    """One row a set of ``signatures``: id (a number of its own), first (the least row that has it: no_id, k, t), n, fp, sig, low, odd."""
     first = F.struct(F.col("k").isNull().alias("no_id"), "k", "t")
-    same = [F.first(c).alias(c) for c in ("n", "sig", "low")]  # functions of the set
+    same = [F.first(c).alias(c) for c in ("n", "sig", "low", "odd")]  # functions of the set
     by_set = rows.filter("fp is not null").groupBy("fp").agg(F.min(first).alias("first"), *same)
     return by_set.withColumn("id", F.monotonically_increasing_id())
 
@@ -220,7 +243,7 @@ def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose set sizes allow the similarity and whose signatures agree in at least that share less SLACK.
+    """The pairs whose set sizes and sketches allow the similarity and whose signatures agree in at least that share less SLACK.
 
     The low bytes of 128 values agree in 0.8 of them on average at a similarity of 0.8, with a deviation of 0.035: a pair that belongs
     is dropped with a chance below 1e-7.
@@ -231,12 +254,14 @@ def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p, q = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, HASHES) for c in batch.columns[2:])
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array((p == q).sum(axis=1) >= least))
+            p, q = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, HASHES) for c in batch.columns[2:4])
+            may = alike(*(sketches(c.to_pylist()) for c in batch.columns[4:6]), batch.column(6).to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(may & ((p == q).sum(axis=1) >= least)))
 
-    side = lambda end: sets.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("low").alias(f"low_{end}"))
+    side = lambda end: sets.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "low", "odd")])
     both = pairs.join(side("b"), "b").join(side("a"), "a").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return both.select("a", "b", "low_a", "low_b").mapInArrow(run, "a long, b long")
+    both = both.select("a", "b", "low_a", "low_b", "odd_a", "odd_b", (F.col("n_a") + F.col("n_b")).alias("sizes"))
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _texts_of(docs: DataFrame, sets: DataFrame, ids: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -296,24 +321,39 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def dealt(members: DataFrame, data: DataFrame) -> DataFrame:
-    """Rows (tree, path, block, visitor, id, component) of regions with several components, with the columns of ``data`` (by id).
+def dealt(members: DataFrame, data: DataFrame, weight: Column) -> DataFrame:
+    """Rows (tree, path, block, visitor, own, id, component) of regions with several components, with the columns of ``data`` (by id).
 
-    Any two members of different components meet in one block, one of them as a visitor. Rows of a block follow each other, visitors last.
+    The sets outside a region's largest component are residents, in one block each, with a copy for each slice of the visitors; ``weight`` is their
+    bytes. Any two members of different components meet in one block: as residents of it, one of which is there on its own account (own), or one as
+    a visitor. Rows of a block follow each other, visitors last.
     """
-    sizes = members.groupBy("tree", "path", "component").agg(F.count("*").alias("n"))
-    regions = sizes.groupBy("tree", "path").agg(F.sum("n").alias("m"), F.count("*").alias("k"), F.max_by("component", F.struct("n", "component")).alias("major"))
+    by = ["tree", "path"]
+    sizes = members.groupBy(*by, "component").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
+    most = lambda c: F.max_by(c, F.struct("n", "component"))
+    regions = sizes.groupBy(*by).agg(
+        F.sum("n").alias("m"), F.count("*").alias("k"), most("component").alias("major"), (F.sum("n") - most("n")).alias("few"), (F.sum("w") - most("w")).alias("w")
+    )
+    parts = F.greatest(F.least(F.lit(SPREAD), F.ceil(F.col("few") / BLOCK)), F.ceil(F.col("w") / HELD)).cast("int")
+    # Slices for about SPREAD tasks, or as many as cost no more copies of residents than there are visitors.
+    slices = F.greatest(F.ceil(F.least(F.lit(SPREAD), F.col("m") / BLOCK) / F.col("parts")), F.floor(F.col("m") / F.greatest("few", F.lit(BLOCK)))).cast("int")
     # Large regions are spread over SALT keys.
-    regions = regions.filter("k > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    regions = regions.filter("k > 1").withColumn("parts", parts).withColumn("slices", slices)
+    regions = regions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     hashed = F.xxhash64("id")
-    inside = members.withColumn("salt", F.pmod(hashed, F.lit(SALT)).cast("int")).join(regions, ["tree", "path", "salt"])
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    home = F.pmod(F.shiftright(hashed, 8), blocks).cast("int")
-    visits = F.when(F.col("component") != F.col("major"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>"))
-    visits = F.transform(visits, lambda x: F.struct(x.alias("block"), F.lit(1).alias("visitor")))
-    places = F.concat(F.array(F.struct(home.alias("block"), F.lit(0).alias("visitor"))), visits)
-    rows = inside.select("tree", "path", "id", "component", F.explode(places).alias("at")).select("tree", "path", "at.block", "at.visitor", "id", "component")
-    return rows.join(data, "id").repartition("tree", "path", "block").sortWithinPartitions("tree", "path", "block", "visitor")
+    inside = members.withColumn("salt", F.pmod(hashed, F.lit(SALT)).cast("int")).join(regions, [*by, "salt"])
+    parts, slices = F.col("parts"), F.col("slices")
+    home, own = F.pmod(F.shiftright(hashed, 8), parts).cast("int"), F.pmod(F.shiftright(hashed, 32), slices).cast("int")
+    block = lambda part, piece: (part * slices + piece).alias("block")
+    stay = F.transform(F.sequence(F.lit(0), slices - 1), lambda x: F.struct(block(home, x), F.lit(0).alias("visitor"), (x == own).cast("int").alias("own")))
+    visit = lambda part: F.struct(block(part, own), F.lit(1).alias("visitor"), F.lit(1).alias("own"))
+    # Of two residents' parts one is within half a turn of the other.
+    turn = F.filter(F.sequence(F.lit(0), F.floor(parts / 2).cast("int")), lambda x: x > 0)
+    places = F.when(F.col("component") == F.col("major"), F.transform(F.sequence(F.lit(0), parts - 1), visit)).otherwise(
+        F.concat(stay, F.transform(turn, lambda x: visit(F.pmod(home + x, parts))))
+    )
+    rows = inside.select(*by, "id", "component", F.explode(places).alias("at")).select(*by, "at.*", "id", "component")
+    return rows.join(data, "id").repartition(*by, "block").sortWithinPartitions(*by, "block", "visitor")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, bytes], bool, list[tuple]]]:
@@ -338,32 +378,38 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, byte
 
 
 def hopeful(rows: DataFrame, percent: int) -> DataFrame:
-    """(tree, path, id) of dealt rows that sizes and signatures let be similar to one of another component."""
+    """(tree, path, id, n) of dealt rows that sizes, sketches and signatures let be similar to one of another component."""
     least = HASHES * (percent / 100 - SLACK)
 
     def arrays(part: list[tuple]) -> tuple[np.ndarray, ...]:
-        i, c, n, low = zip(*part, strict=True)
-        return np.array(i), np.array(c), np.array(n), np.frombuffer(b"".join(low), np.uint8).reshape(-1, HASHES)
+        own, i, c, n, low, odd = zip(*part, strict=True)
+        return np.array(own, bool), np.array(i), np.array(c), np.array(n), np.frombuffer(b"".join(low), np.uint8).reshape(-1, HASHES), sketches(odd)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (tree, path), visitors, part in _blocks(batches):
+            own, *rest = arrays(part)
             if not visitors:
-                i, c, n, low = arrays(part)
-                continue
-            x, y, z, own = arrays(part)
-            may = (c[None] != y[:, None]) & (100 * np.minimum(n[None], z[:, None]) >= percent * np.maximum(n[None], z[:, None]))
-            u, v = np.nonzero(may)
-            for at in range(0, len(u), 8192):
-                p, q = u[at : at + 8192], v[at : at + 8192]
-                may[p, q] = (own[p] == low[q]).sum(axis=1) >= least
-            found = np.union1d(x[may.any(axis=1)], i[may.any(axis=0)])
+                i, c, n, low, odd = rest
+            come = [x[own] for x in rest]
+            came, met, step = np.zeros(len(come[0]), bool), np.zeros(len(i), bool), max(1, 2**20 // len(i))
+            for start in range(0, len(came), step):
+                _, y, z, own_low, own_odd = (x[start : start + step] for x in come)
+                u, v = np.nonzero((c[None] != y[:, None]) & (100 * np.minimum(n[None], z[:, None]) >= percent * np.maximum(n[None], z[:, None])))
+                for at in range(0, len(u), 8192):
+                    p, q = u[at : at + 8192], v[at : at + 8192]
+                    may = alike(own_odd[p], odd[q], z[p] + n[q], percent)
+                    p, q = p[may], q[may]
+                    may = (own_low[p] == low[q]).sum(axis=1) >= least
+                    came[start + p[may]], met[q[may]] = True, True
+            found, size = np.concatenate([come[0][came], i[met]]), np.concatenate([come[2][came], n[met]])
             if len(found):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([tree] * len(found), pa.int32()), pa.array([path] * len(found), pa.binary()), pa.array(found)], names=["tree", "path", "id"]
+                    [pa.array([tree] * len(found), pa.int32()), pa.array([path] * len(found), pa.binary()), pa.array(found), pa.array(size)],
+                    names=["tree", "path", "id", "n"],
                 )
 
-    ready = rows.select("tree", "path", "block", "visitor", "id", "component", "n", "low")
-    return ready.mapInArrow(run, "tree int, path binary, id long").distinct()
+    ready = rows.select("tree", "path", "block", "visitor", "own", "id", "component", "n", "low", "odd")
+    return ready.mapInArrow(run, "tree int, path binary, id long, n long").distinct()
 
 
 def linked(rows: DataFrame, percent: int) -> DataFrame:
@@ -372,16 +418,17 @@ def linked(rows: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, visitors, part in _blocks(batches):
             if not visitors:  # postings of the residents' shingles
-                ids, of = [r[0] for r in part], np.array([r[1] for r in part])
-                s = [np.frombuffer(r[2], np.uint64) for r in part]
+                ids, of = [r[1] for r in part], np.array([r[2] for r in part])
+                s = [np.frombuffer(r[3], np.uint64) for r in part]
                 n = np.array([len(x) for x in s])
                 all_of, who = np.concatenate(s), np.repeat(np.arange(len(s)), n)
                 order = np.argsort(all_of, kind="stable")
                 values, starts, counts = np.unique(all_of[order], return_index=True, return_counts=True)
                 who, root = who[order], {}
-                continue
             a, b = [], []
-            for i, c, t in part:
+            for own, i, c, t in part:
+                if not own:
+                    continue
                 t = np.frombuffer(t, np.uint64)
                 c = root.get(c, c)
                 if (of == c).all():
@@ -401,7 +448,7 @@ def linked(rows: DataFrame, percent: int) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.select("tree", "path", "block", "visitor", "id", "component", "s").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("tree", "path", "block", "visitor", "own", "id", "component", "s").mapInArrow(run, "a long, b long").distinct()
 
 
 def labelled(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -426,10 +473,11 @@ def labelled(docs: DataFrame, key: str, text: str, size: int, percent: int) -> D
     joined = components(first.union(rest))
     discard(whole, pairs, first)
     members = stored(crowds.join(joined, "id", "left").select("tree", "path", "id", F.coalesce("component", "id").alias("component")), "crowds")
-    hope = stored(hopeful(dealt(members, sets.select("id", "n", "low")), percent), "hopeful")
+    marks = HASHES + BITS // 8 + 24
+    hope = stored(hopeful(dealt(members, sets.select("id", "n", "low", "odd"), F.lit(marks)), percent), "hopeful")
     if not hope.isEmpty():
         few = stored(_texts_of(docs, sets, hope.select("id").distinct(), key, text, size), "sets")
-        more = stored(linked(dealt(members.join(hope, ["tree", "path", "id"]), few), percent), "links")
+        more = stored(linked(dealt(members.join(hope, ["tree", "path", "id"]), few, 32 * F.col("n")), percent), "links")
         joined = joined if more.isEmpty() else components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
         discard(few)
     discard(members)

@@ -93,6 +93,49 @@ def test_candidates_of_a_group_grow_with_its_size(spark):
         assert near_dup.near_duplicates(docs).filter("component_id != 0").count() == 0
 
 
+def _region(spark, m, apart):
+    """A crowded region: ``apart`` sets, each a component, and one component of the others."""
+    ids = spark.range(m).withColumn("component", F.when(F.col("id") < apart, F.col("id")).otherwise(apart))
+    return ids.select(F.lit(1).alias("tree"), F.lit(b"p").alias("path"), "id", "component")
+
+
+@pytest.mark.parametrize("apart", [0.1, 0.5, 1])
+def test_rows_dealt_in_a_region_grow_with_its_size(spark, apart):
+    """Of 16,000 sets each took part in 7, 32 and 64 blocks when all sets outside the largest component visited every block of 256."""
+    for m in (2_000, 16_000):
+        members = _region(spark, m, int(m * apart))
+        assert near_dup.dealt(members, members.select("id"), F.lit(280)).count() < 1.5 * near_dup.SPREAD * m
+
+
+@pytest.mark.parametrize(("m", "apart", "weight"), [(300, 40, 1), (300, 150, 1), (300, 300, 1), (60, 3, 1), (300, 120, 2**20)])
+def test_all_pairs_of_components_meet(spark, monkeypatch, m, apart, weight):
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    members, met, blocks = _region(spark, m, apart), set(), {}
+    for r in near_dup.dealt(members, members.select("id"), F.lit(weight)).collect():
+        blocks.setdefault(r["block"], []).append(r)
+    of = {r["id"]: r["component"] for r in members.collect()}
+    for rows in blocks.values():
+        assert len({r["id"] for r in rows}) == len(rows)
+        for x in (r["id"] for r in rows if r["own"]):
+            met |= {frozenset((x, r["id"])) for r in rows if not r["visitor"] and of[x] != of[r["id"]]}
+    assert met == {frozenset((x, y)) for x in range(m) for y in range(x) if of[x] != of[y]}
+
+
+def test_sketches_keep_all_similar_sets():
+    rng = np.random.default_rng(3)
+    kept = {True: 0, False: 0}
+    for n in (5, 40, 300, 5000):
+        for other in range(0, n // 3 + 2):
+            s = rng.integers(0, 2**64, n + other, dtype=np.uint64)
+            p, q = s[:n], s[other:]
+            both, similar = n - other, 100 * (n - other) >= 80 * (n + other)
+            assert both == len(np.intersect1d(p, q))
+            may = near_dup.alike(*(near_dup.sketches([near_dup.sketch(x)]) for x in (p, q)), np.array([2 * n]), 80)[0]
+            assert may or not similar
+            kept[bool(similar)] += n == 300 and bool(may)
+    assert kept[True] == 34 and kept[False] < 40  # of 67
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(1, 20)] + [(30, 25)], "a long, b long")
     got = {r["id"]: r["component"] for r in near_dup.components(edges).collect()}

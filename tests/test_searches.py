@@ -26,7 +26,7 @@ def met(monkeypatch):
     return sizes
 
 
-@pytest.mark.parametrize("stop", [None])
+@pytest.mark.parametrize("stop", [None, ["the"]])
 def test_official_search_meets_distinct_contents(spark, monkeypatch, stop):
     rows, queries = repeated(spark)
     sizes = met(monkeypatch)

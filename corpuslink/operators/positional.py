@@ -6,14 +6,20 @@ so a frequent term never pairs its query with all its rows. What is ranked is on
 
 Defined results: null texts have no tokens; a query without terms matches nothing; a query's repeated terms count once; a term that no
 row holds leaves its query without matches; repeated ids are one row with the union of their positions.
+
+``cover_density_best`` gives the first rows of every query only. Rows are dealt in blocks, distinct sets of terms meet each block in one task, and no more
+than the first rows of a block leave it, so that pairs of queries and rows are neither shuffled nor stored.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .grouping import top_per_group
 from .rounds import settled
 
 #: Fixed value: what one matched position is worth.
@@ -78,3 +84,99 @@ def cover_density(hits: Column, m: Column) -> Column:
 def cover_density_hits(index: DataFrame, queries: DataFrame, ident: str, query: str, terms: str) -> DataFrame:
     """(query, ident, score) of all rows that hold all terms of a query."""
     return conjunctions(index, queries, ident, query, terms).select(query, ident, cover_density(F.col("hits"), F.col("m")).alias("score"))
+
+
+def places(rows: DataFrame, ident: str, positions: str, *more: str) -> DataFrame:
+    """(ident, term, pos) and columns ``more``, a row a token, from an array of (pos, token)."""
+    return rows.select(ident, *more, F.explode(positions).alias("_x")).select(ident, *more, F.col("_x.token").alias("term"), F.col("_x.pos").alias("pos"))
+
+
+def block_covers(hits: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that all terms hit, and their cover densities. ``hits``: of each term the rows and positions, in rising order.
+
+    As ``cover_density``: hits pass by in order; the earliest of the terms' latest places begins the stretch that ends here, which is minimal where it has moved on.
+    """
+    rows = np.unique(hits[0][0])
+    for r, _ in hits[1:]:
+        rows = rows[np.isin(rows, r, assume_unique=False)]
+        if not len(rows):
+            return rows, np.empty(0)
+    keys = []
+    for k, (r, pos) in enumerate(hits):
+        at = np.searchsorted(rows, r)
+        kept = rows[np.minimum(at, len(rows) - 1)] == r
+        keys.append((at[kept].astype(np.int64) << 44) | (pos[kept].astype(np.int64) << 12) | k)
+    key = np.sort(np.concatenate(keys)) if len(keys) > 1 else keys[0]
+    row, pos, term, n = key >> 44, (key >> 12) & 0xFFFFFFFF, key & 0xFFF, np.arange(len(key))
+    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    begin = n
+    for k in range(len(hits)):
+        begin = np.minimum(begin, np.maximum.accumulate(np.where(term == k, n, -1)))
+    whole = begin >= starts[row]  # every row of ``rows`` has hits, so that row numbers are dense
+    moved = np.r_[True, pos[begin[1:]] > pos[begin[:-1]]] | np.r_[True, ~whole[:-1]] | np.r_[True, row[1:] != row[:-1]]
+    ends = np.flatnonzero(whole & moved)
+    b = begin[ends]
+    worth = WORTH / (1 + np.maximum(0, (pos[ends] - pos[b]) - (ends - b)))  # rows of one id may hold two tokens at a place
+    return rows, np.bincount(row[ends], worth, len(rows))
+
+
+def _best_of_block(ident: str, most: int, ahead: str | None):
+    def best(held: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        ids, row = np.unique(held[ident].to_numpy(), return_inverse=True)
+        code, pos = held["code"].to_numpy(), held["pos"].to_numpy()
+        tie = np.zeros(len(ids))
+        if ahead:
+            tie[row] = held[ahead].to_numpy()
+        order = np.lexsort((pos, row, code))
+        code, row, pos = code[order], row[order], pos[order]
+        new = np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1]) | (pos[1:] != pos[:-1])] if len(code) else np.empty(0, bool)
+        code, row, pos = code[new], row[new], pos[new]
+        names, first = np.unique(code, return_index=True)
+        where = {c: slice(a, b) for c, a, b in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(code)])}
+        out = []
+        for key, codes in zip(sets["set"].tolist(), sets["codes"].tolist()):
+            spans = [where.get(int(c)) for c in codes]
+            if None in spans:
+                continue
+            spans.sort(key=lambda x: x.stop - x.start)
+            found, score = block_covers([(row[x], pos[x]) for x in spans])
+            if not len(found):
+                continue
+            rounded = np.round(score, 9)
+            if len(found) > most:
+                kept = rounded >= np.partition(rounded, -most)[-most]
+                found, score, rounded = found[kept], score[kept], rounded[kept]
+            top = np.lexsort((found, -tie[found], -rounded))[:most]  # ids are in their order
+            out.append(pd.DataFrame({"set": np.full(len(top), key), ident: ids[found[top]], "score": score[top], "_tie": tie[found[top]]}))
+        return pd.concat(out) if out else pd.DataFrame({"set": [], ident: ids[:0], "score": [], "_tie": []})
+
+    return best
+
+
+def cover_density_best(held: DataFrame, queries: DataFrame, ident: str, query: str, terms: str, most: int, blocks: int, ahead: str | None = None) -> DataFrame:
+    """(query, ident, score): of every query the ``most`` rows of greatest cover density to 9 places, ties to the greater ``ahead`` (a number), then to the smaller id.
+
+    ``held``: (ident, term, pos) and ``ahead``, as ``places`` makes them. Only places of asked terms are shuffled, once, to one of ``blocks`` tasks; a block should have
+    some million of them at most. Terms asked for, and distinct sets of them, are small beside the rows: they go to every task.
+    """
+    asked = queries.select(query, F.explode(F.array_distinct(F.filter(terms, lambda t: t.isNotNull() & (t != "")))).alias("term"))
+    codes = settled(asked.select("term").distinct().withColumn("code", F.monotonically_increasing_id()))
+    of_query = settled(asked.join(codes, "term").groupBy(query).agg(F.sort_array(F.collect_set("code")).alias("codes")))  # one query's terms
+    sets = settled(of_query.select("codes").distinct().withColumn("set", F.monotonically_increasing_id()))
+    more = [F.col(ahead).cast("double").alias(ahead)] if ahead else []
+    met = held.join(F.broadcast(codes), "term").select(F.pmod(F.xxhash64(ident), F.lit(blocks)).alias("block"), ident, "code", "pos", *more)
+    each = sets.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    schema = f"set long, {ident} {held.schema[ident].dataType.simpleString()}, score double, _tie double"
+    found = met.groupBy("block").cogroup(each.groupBy("block")).applyInPandas(_best_of_block(ident, most, ahead), schema)
+    best = top_per_group(found, ["set"], [F.desc(F.round("score", 9)), F.desc("_tie"), ident], most, "_r").select("set", ident, "score")
+    return of_query.join(sets, "codes").select(query, "set").join(best, "set").select(query, ident, "score")
+
+
+#: Characters of text that a block of ``cover_density_best`` has about.
+BLOCK_CHARS = 32_000_000
+
+
+def blocks_of(rows: DataFrame, text: str, chars: int = BLOCK_CHARS) -> int:
+    """How many blocks the texts make."""
+    total = rows.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0  # one number
+    return max(1, -(-total // chars))

@@ -1,11 +1,16 @@
 """Searches over rows that repeat, and over many pairs: what is met, and brute force."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslink.functions import text as T
 from corpuslink.operators import jobs as J
+from corpuslink.operators import positional as PO
 from corpuslink.operators import ranking as R
+from corpuslink.operators import search as S
 
 COPIES = 30
 
@@ -84,3 +89,22 @@ def test_document_search_meets_distinct_texts(spark, monkeypatch):
     score = R.document_score(terms, F.col("title"), F.col("person"), F.col("concepts"), F.col("rest"), n, n % 3, n % 2)
     want = J.top_per_group(held.crossJoin(queries).withColumn("score", score), ["query_id"], [F.desc(F.round("score", 9)), "id"], 5, "place").collect()
     assert got == {(r["query_id"], r["place"]): (r["id"], round(r["score"], 9)) for r in want}
+
+
+def test_best_covers_leave_a_block_without_pairs(spark):
+    """The first rows are those of all pairs, and no exchange of the plan carries a pair of a query and a row that isn't among the first of its block."""
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    texts = [(i, " ".join(rng.choices(words + ["filler"] * 4, k=rng.randint(0, 40))) if i % 17 else None, i % 3) for i in range(300)]
+    docs = spark.createDataFrame(texts, "id long, text string, e int").withColumn("e", (F.col("id") % 3).cast("int"))
+    rows = docs.select("id", "e", PO.positioned_tokens("text", []).alias("p"))
+    asked = [(q, rng.sample(words, rng.randint(1, 4))) for q in range(40)] + [(90, []), (91, None), (92, ["alpha", "missing"]), (93, ["beta", None, "", "beta"])]
+    asked = spark.createDataFrame(asked, "q long, t array<string>")
+    order = [F.desc(F.round("score", 9)), F.desc("e"), "id"]
+    every = PO.cover_density_hits(PO.positional_index(rows, "id", "p"), asked, "id", "q", "t").join(docs.select("id", "e").distinct(), "id")
+    want = {(r["q"], r["id"], round(r["score"], 9)) for r in J.top_per_group(every, ["q"], order, 7).collect()}
+    found = PO.cover_density_best(PO.places(rows, "id", "p", "e"), asked, "id", "q", "t", 7, 3, "e")
+    got = [(r["q"], r["id"], round(r["score"], 9)) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) > 200
+    none = PO.cover_density_best(PO.places(rows.limit(0), "id", "p", "e"), asked, "id", "q", "t", 7, 3, "e")
+    assert none.count() == 0

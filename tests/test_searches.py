@@ -108,3 +108,20 @@ def test_best_covers_leave_a_block_without_pairs(spark):
     assert set(got) == want and len(got) == len(want) > 200
     none = PO.cover_density_best(PO.places(rows.limit(0), "id", "p", "e"), asked, "id", "q", "t", 7, 3, "e")
     assert none.count() == 0
+
+
+def test_vector_hits_of_odd_vectors_equal_all_cosines(spark):
+    rng = np.random.default_rng(5)
+    inf, nan = float("inf"), float("nan")
+    v = [x.tolist() for x in rng.normal(size=(150, 6)).round(1)]
+    v[3], v[4], v[5], v[6], v[7], v[8], v[9] = None, [], [0.0] * 6, [1.0, 2.0], [1.0, None, 2.0, 3.0, 4.0, 5.0], [nan] * 6, [inf, 1.0, 1.0, 1.0, 1.0, 1.0]
+    for i in range(20, 60):
+        v[i] = v[10]  # equal vectors: ties by id
+    v[60] = [1e200] * 6
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "id long, v array<double>")
+    asked = rows.filter("id % 3 = 0 or id < 12").withColumnRenamed("id", "q")
+    pairs = rows.filter("v is not null").crossJoin(asked.filter("v is not null").withColumnRenamed("v", "w")).filter("id != q").withColumn("score", S.cosine(F.col("v"), F.col("w")))
+    want = {(r["q"], r["id"], str(r["score"] + 0.0)) for r in J.top_per_group(pairs, ["q"], [F.desc("score"), "id"], 4).collect()}
+    got = [(r["q"], r["id"], str(r["score"] + 0.0)) for r in S.vector_hits(rows, asked, "id", "q", "v", 4, block=40, asked=9).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert S.vector_hits(rows.limit(0), asked, "id", "q", "v", 4).count() == 0 == S.vector_hits(rows, asked.limit(0), "id", "q", "v", 4).count()

@@ -12,12 +12,17 @@ first by ``ord`` stays; repeated ids are rows of one id; an empty dictionary or
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grouping import first_per_key
+from .grouping import first_per_key, top_per_group
+from .positional import blocks_of
 
 GRAM = 4
+#: Characters of text in a block of ``alias_tags``, and aliases that meet it at once.
+TEXT_CHARS, PIECE = 16_000_000, 500_000
 
 
 def _rarest(parts: DataFrame, counts: DataFrame, key: str) -> DataFrame:
@@ -76,3 +81,104 @@ def first_tags(hits: DataFrame, dictionary: DataFrame, ident: str, tag: str, ord
     best = named.withColumn("_r", place).filter("_r = 1")
     ranked = best.withColumn("_r", F.row_number().over(Window.partitionBy(ident).orderBy(*order))).filter(F.col("_r") <= most)
     return ranked.groupBy(ident).agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", tag))), lambda x: x[tag]).alias("tags"))
+
+
+def _places(runs: np.ndarray, asked: set[int], slot) -> dict[int, np.ndarray]:
+    """Where each of ``asked`` stands in ``runs``, rising; ``slot`` puts numbers in a table that tells most others apart."""
+    if not asked:
+        return {}
+    known = np.array(sorted(asked), np.uint32)
+    may = np.zeros(int(slot(known).max()) + 1, bool)
+    may[slot(known)] = True
+    at = slot(runs)
+    places = np.flatnonzero(may[np.minimum(at, len(may) - 1)] & (at < len(may)))
+    which = np.searchsorted(known, runs[places])
+    ok = known[np.minimum(which, len(known) - 1)] == runs[places]
+    places, which = places[ok].astype(np.int32), which[ok].astype(np.uint16 if len(known) < 1 << 16 else np.int64)
+    places, first = places[np.argsort(which, kind="stable")], np.r_[0, np.cumsum(np.bincount(which, minlength=len(known)))]
+    return {int(x): places[first[i] : first[i + 1]] for i, x in enumerate(known)}
+
+
+def found_in(texts: list[str], wants: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, want) numbers of all wants that a text holds, each once. Wants are looked up by their rarest run of GRAM bytes in all texts together.
+
+    Containment of texts is that of their bytes in UTF-8; the byte between texts is in none.
+    """
+    parts = [t.encode() for t in texts]
+    data = np.frombuffer(b"\xff".join(parts) + b"\xff" * GRAM, np.uint8)
+    last = len(data) - GRAM + 1
+    runs = np.zeros(last, np.uint32)
+    for i in range(GRAM):
+        runs |= data[i : last + i].astype(np.uint32) << np.uint32(8 * i)
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) + 1 for p in parts])
+    number = lambda w: int.from_bytes(w, "little")
+    coded = [w.encode() for w in wants]
+    spread = lambda x: (x * np.uint32(2654435761)) >> np.uint32(10)
+    looked_up = {n: _places(runs & np.uint32((1 << 8 * n) - 1), {number(w) for w in coded if len(w) == n}, lambda x: x) for n in range(1, GRAM)}
+    grams = _places(runs, {number(w[i : i + GRAM]) for w in coded for i in range(len(w) - GRAM + 1)}, spread)
+    rows, hits = [], []
+    for i, w in enumerate(coded):
+        if len(w) < GRAM:
+            found = looked_up[len(w)][number(w)]
+        else:
+            spots = [grams[number(w[k : k + GRAM])] for k in range(len(w) - GRAM + 1)]
+            off = min(range(len(spots)), key=lambda k: len(spots[k]))
+            found = spots[off] - off
+            found = found[(found >= 0) & (found + len(w) <= len(data))]
+            for k in [*range(off), *range(off + GRAM, len(w))]:
+                found = found[data[found + k] == w[k]]
+        if len(found):
+            at = owner[found]
+            at = at[np.r_[True, at[1:] != at[:-1]]]  # places rise, and so do texts
+            rows.append(at)
+            hits.append(np.full(len(at), i))
+    none = np.empty(0, int)
+    return (np.concatenate(rows), np.concatenate(hits)) if rows else (none, none)
+
+
+def _tags_of_block(ident: str, most: int):
+    def best(held: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({ident: held[ident].iloc[:0], "n": np.empty(0, int), "found": np.empty(0, object)})
+        if not len(held) or not len(words):
+            return none
+        words = words.sort_values("place", ignore_index=True)
+        ids, row_id = np.unique(held[ident].to_numpy(), return_inverse=True)
+        row, hit = found_in(held["t"].tolist(), words["want"].tolist())
+        if not len(row):
+            return none
+        pairs = np.unique(row_id[row] * len(words) + hit)  # rising by id, then by place
+        who, hit = pairs // len(words), pairs % len(words)
+        tag = pd.factorize(words["tag"])[0][hit] + 1  # 0: null
+        _, first = np.unique(who * (int(tag.max()) + 1) + tag, return_index=True)
+        first = np.sort(first)
+        first = first[np.arange(len(first)) - np.searchsorted(who[first], who[first]) < most]
+        counts, places, names = np.bincount(who), words["place"].tolist(), words["tag"].tolist()
+        lists: dict[int, list] = {}
+        for w, h in zip(who[first].tolist(), hit[first].tolist()):
+            lists.setdefault(w, []).append({"place": places[h], "tag": names[h]})
+        whose = np.array(list(lists))
+        return pd.DataFrame({ident: ids[whose], "n": counts[whose], "found": list(lists.values())})
+
+    return best
+
+
+def alias_tags(rows: DataFrame, dictionary: DataFrame, ident: str, text: str, alias: str, tag: str, order: list, most: int) -> DataFrame:
+    """(ident, n, tags): how many aliases of ``dictionary`` (ord, ``alias``, ``tag``) the row's lower-case text contains, and the distinct tags of these by ``order``, ``most`` at most.
+
+    As ``alias_hits`` and ``first_tags``, but texts are dealt in blocks, which meet the dictionary in pieces, and a row a text leaves the task
+    instead of a row a hit. ``order``: Columns on ``dictionary``, whose rows it numbers: a dictionary, not the texts. Rows without hits are left out.
+    """
+    words = first_per_key(dictionary.filter(F.length(alias) > 0).withColumn("want", F.lower(alias)), ["want"], ["ord"])
+    words = words.select("want", F.col(tag).alias("tag"), F.row_number().over(Window.orderBy(*order)).alias("place"))
+    blocks, pieces = blocks_of(rows, text, TEXT_CHARS), max(1, -(-dictionary.count() // PIECE))  # two numbers
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    held = rows.filter(F.col(text).isNotNull()).select(ident, F.lower(text).alias("t"), F.pmod(F.xxhash64(ident), F.lit(blocks)).alias("block")).withColumn("piece", each(pieces))
+    words = words.withColumn("piece", F.pmod(F.xxhash64("want"), F.lit(pieces))).withColumn("block", each(blocks))
+    schema = f"{ident} {rows.schema[ident].dataType.simpleString()}, n long, found array<struct<place:int,tag:{dictionary.schema[tag].dataType.simpleString()}>>"
+    found = held.groupBy("block", "piece").cogroup(words.groupBy("block", "piece")).applyInPandas(_tags_of_block(ident, most), schema)
+    if pieces > 1:
+        counts = found.groupBy(ident).agg(F.sum("n").alias("n"))
+        one = found.select(ident, F.explode("found").alias("x")).groupBy(ident, F.col("x.tag").alias("tag")).agg(F.min("x.place").alias("place"))
+        lists = top_per_group(one, [ident], ["place"], most, "_r").groupBy(ident).agg(F.sort_array(F.collect_list(F.struct("place", "tag"))).alias("found"))
+        found = counts.join(lists, ident)
+    return found.select(ident, "n", F.transform("found", lambda x: x["tag"]).alias("tags"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslink.functions import text as T
 from corpuslink.operators import jobs as J
+from corpuslink.operators import phrases as PH
 from corpuslink.operators import positional as PO
 from corpuslink.operators import ranking as R
 from corpuslink.operators import search as S
@@ -160,3 +161,29 @@ def test_words_hold_texts_wherever_they_stand():
     words = Words(pa.array(texts, pa.large_string()))
     for asked in ["the", "he", "e", "the cat", "he cat", "e cat sa", "cat the cat the", "t the cat the c", "cat", "zzz", "the zzz cat", "the cat sat x", "a the cat"]:
         assert words.holding(asked).tolist() == [i for i, t in enumerate(texts) if asked in t], asked
+
+
+@pytest.mark.parametrize("piece", [7, 1000])
+def test_tags_leave_a_block_as_a_row_a_text(spark, monkeypatch, piece):
+    rng = random.Random(6)
+    monkeypatch.setattr(PH, "PIECE", piece)
+    monkeypatch.setattr(PH, "blocks_of", lambda *_: 3)
+    letters = "abéß日 "
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))).upper() for _ in range(150)] + [None, "", "a"]
+    rows = spark.createDataFrame([(i % 140, t) for i, t in enumerate(texts)], "id long, text string")  # some ids twice
+    aliases = ["".join(rng.choices(letters, k=rng.randint(1, 7))) for _ in range(60)] + ["", None, "a", "AB", "zzzzz"]
+    words = spark.createDataFrame([(i, a, f"tag {i % 9}" if i % 13 else None) for i, a in enumerate(aliases)], "ord long, alias string, tag string")
+    got = {r["id"]: (r["n"], list(r["tags"])) for r in PH.alias_tags(rows, words, "id", "text", "alias", "tag", [F.desc("ord")], 3).collect()}
+    known = {}
+    for i, a in enumerate(aliases):
+        if a:
+            known.setdefault(a.lower(), i)
+    want = {}
+    for i in range(140):
+        held = [t.lower() for k, t in enumerate(texts) if k % 140 == i and t is not None]
+        hits = sorted((o for a, o in known.items() if any(a in t for t in held)), reverse=True)
+        tags = list(dict.fromkeys(f"tag {o % 9}" if o % 13 else None for o in hits))
+        if hits:
+            want[i] = (len(hits), tags[:3])
+    assert got == want and len(got) > 100
+    assert PH.alias_tags(rows, words.limit(0), "id", "text", "alias", "tag", ["ord"], 3).count() == 0

@@ -13,7 +13,7 @@ from ..sources.bucketed import refreshed_set
 from ..streaming.counters import unseen
 from .grouping import first_per_key
 from .merging import keyword_index, listed_copies, merged_duplicates, pruned
-from .phrases import alias_hits, first_tags
+from .phrases import alias_tags
 from .placement import placed_by_candidates
 from .rounds import settled, tree_sums
 
@@ -25,13 +25,13 @@ def tagged_and_indexed(
 
     ``aliases`` (ord, alias, tag): a tag of every alias that the text contains, by ``ord``; then the category's ``defaults``; distinct, ``most`` at most.
     """
-    hits = alias_hits(rows, aliases.select("ord", "alias"), ident, text, "alias")
-    found = first_tags(hits, aliases.select("ord", "tag"), ident, "tag", ["ord"], most)
+    found = alias_tags(rows, aliases.select("ord", "alias", "tag"), ident, text, "alias", "tag", ["ord"], most).drop("n")
     extra = F.array().cast("array<string>")
     for name, tags in defaults.items():
         extra = F.when(F.col(category) == name, F.array(*map(F.lit, tags))).otherwise(extra)
     none = F.array().cast("array<string>")
-    tagged = settled(rows.join(found, ident, "left").withColumn("tags", F.slice(F.array_distinct(F.concat(F.coalesce("tags", none), extra)), 1, most)))
+    found = settled(found)  # without the texts
+    tagged = rows.join(found, ident, "left").withColumn("tags", F.slice(F.array_distinct(F.concat(F.coalesce("tags", none), extra)), 1, most))
     return tagged, keyword_index(tagged.select(ident, "tags"), ident, "tags", ids)
 
 

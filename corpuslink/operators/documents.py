@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .merging import concept_index
-from .phrases import first_tags, phrase_hits
+from .phrases import first_named, phrase_hits, run_hits
+from .rounds import settled
 
 
 def marked_segments(rows: DataFrame, ident: str, text: str, marker: str) -> DataFrame:
@@ -51,26 +52,32 @@ def prompts(rows: DataFrame, ident: str, text: str, marker: str, instruction: st
 
 def vault(
     pages: DataFrame, dictionary: DataFrame, doc: str, page: str, text: str, subject: str, concept: str, want: str, words: list[str],
-    least: int = 8, of_document: int = 40, of_chunk: int = 16,
+    least: int = 8, of_document: int = 40, of_chunk: int = 16, sizes: list[int] | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents, chunks and the concept index of ``pages`` (doc, page, text, subject).
 
     ``dictionary``: (ord, ``want``: tokens, ``concept``). Documents: pages, pages of more than ``least`` words, words, question lines, subject (the least), and
     the ``of_document`` longest concepts; chunks: such pages with their words, question lines and ``of_chunk`` longest concepts. A
-    concept that begins on one page and ends on the next is not found.
+    concept that begins on one page and ends on the next is not found. ``sizes``: the numbers of tokens that concepts have, if they are few and known;
+    ``want`` is then a text, tokens with single spaces, and may be ``concept`` itself.
+
+    A document's first concepts are among the first of its chunks, so no more than these are stored.
     """
     each = pages.select(
         T.stable_id("chunk_", 12, doc, page).alias("chunk_id"), doc, page, subject, T.word_count(text).alias("words"),
         F.size(T.question_lines(text, 28, 320, words)).alias("questions"), T.tokens(T.search_normalise(text)).alias("_toks"),
     )
-    hits = phrase_hits(each.select("chunk_id", "_toks"), dictionary.select("ord", want), "chunk_id", "_toks", want)
+    if sizes is None:
+        hits = phrase_hits(each.select("chunk_id", "_toks"), dictionary.select("ord", want), "chunk_id", "_toks", want).join(dictionary.select("ord", concept), "ord")
+    else:
+        hits = run_hits(each.select("chunk_id", "_toks"), dictionary.select(*dict.fromkeys(["ord", want, concept])), "chunk_id", "_toks", want, sizes)
     order = [F.desc(F.length(concept)), concept]
-    table = dictionary.select("ord", concept)
     none = F.array().cast("array<string>")
-    tagged = first_tags(hits, table, "chunk_id", concept, order, of_chunk).select("chunk_id", F.col("tags").alias("concepts"))
-    chunks = each.filter(F.col("words") > least).drop("_toks").join(tagged, "chunk_id", "left").withColumn("concepts", F.coalesce("concepts", none))
-    in_doc = hits.join(each.select("chunk_id", doc), "chunk_id").select(doc, "ord").distinct()
-    named = first_tags(in_doc, table, doc, concept, order, of_document).select(doc, F.col("tags").alias("concepts"))
+    tagged = settled(first_named(hits.select("chunk_id", concept), "chunk_id", concept, order, max(of_chunk, of_document)))
+    listed = tagged.select("chunk_id", F.slice("tags", 1, of_chunk).alias("concepts"))
+    chunks = each.filter(F.col("words") > least).drop("_toks").join(listed, "chunk_id", "left").withColumn("concepts", F.coalesce("concepts", none))
+    in_doc = tagged.join(each.select("chunk_id", doc), "chunk_id").select(doc, F.explode("tags").alias(concept)).distinct()
+    named = first_named(in_doc, doc, concept, order, of_document).select(doc, F.col("tags").alias("concepts"))
     sums = each.groupBy(doc).agg(
         F.count("*").alias("pages"), F.count(F.when(F.col("words") > least, 1)).alias("text_pages"), F.sum("words").alias("words"), F.sum("questions").alias("questions"), F.min(subject).alias(subject)
     )

@@ -45,6 +45,22 @@ def phrase_hits(rows: DataFrame, dictionary: DataFrame, ident: str, toks: str, p
     return met.filter(fits).groupBy(ident, "ord").agg(F.min(F.col("i") - F.col("off")).cast("int").alias("start"))
 
 
+def run_hits(rows: DataFrame, dictionary: DataFrame, ident: str, toks: str, phrase: str, sizes: list[int]) -> DataFrame:
+    """(ident) and the columns of ``dictionary``: phrases (texts of so many tokens with single spaces) that the row's token array holds in a row, each once.
+
+    Runs of the rows' tokens meet phrases by one equal join, so work is free of how many phrases share a token, and ``dictionary``, if it is made
+    by a query, is made once. For a few sizes; ``phrase_hits`` takes all, and tells places.
+    """
+    words = first_per_key(dictionary.filter(F.size(F.split(phrase, " ")).isin(sizes)), [phrase], ["ord"])
+
+    def of_size(n: int) -> Column:
+        spots = F.sequence(F.lit(1), F.greatest(F.size(toks) - (n - 1), F.lit(1)))
+        return F.when(F.size(toks) >= n, F.transform(spots, lambda i: F.array_join(F.slice(toks, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    runs = F.concat(*[of_size(n) for n in sizes])
+    return rows.select(ident, F.explode(F.array_distinct(runs)).alias(phrase)).distinct().join(words, phrase)
+
+
 def _runs(chars: Column, n: int = GRAM) -> Column:
     """Runs of ``n`` characters, of an array of characters that has as many; a place in an array costs nothing, one in a string a scan."""
     spots = F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0)))
@@ -76,7 +92,11 @@ def alias_hits(rows: DataFrame, dictionary: DataFrame, ident: str, text: str, al
 
 def first_tags(hits: DataFrame, dictionary: DataFrame, ident: str, tag: str, order: list, most: int) -> DataFrame:
     """(ident, tags): distinct tags of a row's hits in the order of their best hit, ``most`` at most. ``order``: Columns on ``dictionary``."""
-    named = hits.select(ident, "ord").join(dictionary, "ord")
+    return first_named(hits.select(ident, "ord").join(dictionary, "ord"), ident, tag, order, most)
+
+
+def first_named(named: DataFrame, ident: str, tag: str, order: list, most: int) -> DataFrame:
+    """As ``first_tags``, of hits that have the dictionary's columns."""
     place = F.row_number().over(Window.partitionBy(ident, tag).orderBy(*order))
     best = named.withColumn("_r", place).filter("_r = 1")
     ranked = best.withColumn("_r", F.row_number().over(Window.partitionBy(ident).orderBy(*order))).filter(F.col("_r") <= most)

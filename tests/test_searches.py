@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslink.functions import text as T
+from corpuslink.operators import documents as D
 from corpuslink.operators import jobs as J
 from corpuslink.operators import phrases as PH
 from corpuslink.operators import positional as PO
@@ -187,3 +188,18 @@ def test_tags_leave_a_block_as_a_row_a_text(spark, monkeypatch, piece):
             want[i] = (len(hits), tags[:3])
     assert got == want and len(got) > 100
     assert PH.alias_tags(rows, words.limit(0), "id", "text", "alias", "tag", ["ord"], 3).count() == 0
+
+
+def test_vault_by_runs_equals_vault_by_rarest_tokens(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" * (i % 3 + 1) for i in range(12)]
+    pages = spark.createDataFrame([(i // 4, i, " ".join(rng.choices(words, k=rng.randint(0, 30))) if i % 9 else None, "s") for i in range(80)], "doc long, page long, text string, subject string")
+    wants = {tuple(rng.choices(words, k=rng.randint(1, 3))) for _ in range(90)}
+    table = spark.createDataFrame([(i, list(w), " ".join(w)) for i, w in enumerate(sorted(wants))], "ord long, want array<string>, concept string")
+    made = lambda want, **more: D.vault(pages, table, "doc", "page", "text", "subject", "concept", want, [], 3, 5, 4, **more)
+    rows = lambda tables: [sorted(map(str, df.collect())) for df in tables]
+    got = rows(made("concept", sizes=[1, 2, 3]))
+    assert got == rows(made("want")) and len(got[2]) > 5
+    hits = {(r["page"], tuple(r["want"])) for r in PH.run_hits(pages.withColumn("t", F.split("text", " ")), table, "page", "t", "concept", [2]).collect()}
+    want = {(r["page"], w) for r in pages.collect() for w in wants if len(w) == 2 and r["text"] and f" {' '.join(w)} " in f" {r['text']} "}
+    assert hits == want and want

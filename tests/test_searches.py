@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslink.functions import text as T
+from corpuslink.operators import buckets as B
 from corpuslink.operators import documents as D
 from corpuslink.operators import jobs as J
 from corpuslink.operators import phrases as PH
@@ -203,3 +204,20 @@ def test_vault_by_runs_equals_vault_by_rarest_tokens(spark):
     hits = {(r["page"], tuple(r["want"])) for r in PH.run_hits(pages.withColumn("t", F.split("text", " ")), table, "page", "t", "concept", [2]).collect()}
     want = {(r["page"], w) for r in pages.collect() for w in wants if len(w) == 2 and r["text"] and f" {' '.join(w)} " in f" {r['text']} "}
     assert hits == want and want
+
+
+def test_near_vectors_are_told_by_keys_within_a_block(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    keys, probes = rng.integers(0, 6, (50, 3)), rng.integers(0, 6, (8, 6))
+    met = B._meeting(keys, probes, 3)(np.array([5, 2]))
+    want = [[any(keys[r, t] in probes[q, 2 * t : 2 * t + 2] for t in range(3)) for r in range(50)] for q in (5, 2)]
+    assert met.tolist() == want
+    v = rng.normal(size=(400, 5))
+    v[50:120] = v[3]  # equal vectors
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    asked = rows.filter("id % 9 = 0 or id = 3").withColumnRenamed("id", "q")
+    one = lambda: sorted((r["q"], r["r"], r["id"], round(r["score"], 9)) for r in B.near_vectors(rows, asked, "id", "q", "v", 6, tables=4, lines=3).collect())
+    whole = one()
+    monkeypatch.setattr(B, "ROWS", 90)
+    monkeypatch.setattr(B, "QUERIES", 20)
+    assert one() == whole and [x[2] for x in whole if x[0] == 3] == list(range(50, 56))

@@ -12,6 +12,7 @@ from corpuslink.functions import text as T
 from corpuslink.operators import buckets as B
 from corpuslink.operators import documents as D
 from corpuslink.operators import jobs as J
+from corpuslink.operators import merging as M
 from corpuslink.operators import phrases as PH
 from corpuslink.operators import positional as PO
 from corpuslink.operators import ranking as R
@@ -221,3 +222,14 @@ def test_near_vectors_are_told_by_keys_within_a_block(spark, monkeypatch):
     monkeypatch.setattr(B, "ROWS", 90)
     monkeypatch.setattr(B, "QUERIES", 20)
     assert one() == whole and [x[2] for x in whole if x[0] == 3] == list(range(50, 56))
+
+
+def test_staged_matches_find_who_matched_without_the_pairs(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "c d"), (2, "b a"), (3, "x y"), (4, ""), (5, "a b")]
+    left = spark.createDataFrame(rows, "a long, n string").withColumn("w", F.split("n", " ")).withColumn("t", F.array(F.lit("z")))
+    right = spark.createDataFrame([(10, "a b"), (10, "c d"), (10, "a b"), (11, "d c"), (12, "x q"), (13, "a b"), (14, "")], "b long, n string").withColumn("w", F.split("n", " ")).withColumn("t", F.array(F.lit("z")))
+    got = sorted((r["a"], r["b"], r["stage"]) for r in M.staged_matches(left, right, "a", "b", "n", "w", "t").collect() if r["stage"] != "scored")
+    assert got == [(1, 10, "exact"), (1, 13, "exact"), (2, 10, "signature"), (2, 13, "signature"), (5, 10, "exact"), (5, 13, "exact")]
+    pairs, met = M._equal_pairs(left.select("a", "n"), right.select("b", "n"), "a", "b", "n")
+    assert sorted(r["a"] for r in met.collect()) == [1, 4, 5]
+    assert pairs.count() == 5  # (1, 10) once, though two of its texts are equal
